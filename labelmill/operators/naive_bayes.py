@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from labelmill.operators.labels import Classes, class_sizes
 from labelmill.operators.tokens import word_rows
-from labelmill.scratch import BROADCAST_BYTES, fits_broadcast, lookup_join, materialize
+from labelmill.scratch import BROADCAST_BYTES, materialize, row_bytes, shuffled_lookup
 
 
 @dataclass(frozen=True)
@@ -22,6 +22,7 @@ class NaiveBayesModel:
     classes: Classes
     log_priors: tuple[float, ...]
     tokens: DataFrame  # token string, weights array<double>
+    bytes: int  # estimate of the token table as a broadcast table
 
 
 def token_class_counts(train: DataFrame, k: int, text: str = "text") -> DataFrame:
@@ -37,7 +38,9 @@ def fit_from_counts(
     """Model from a (materialized) count table; several smoothings can share one table."""
     k = len(classes)
     totals = counts.agg(
-        F.count("*").alias("v"), *[F.coalesce(F.sum(F.get("counts", F.lit(c))), F.lit(0)).alias(f"t{c}") for c in range(k)]
+        F.count("*").alias("v"),
+        F.coalesce(F.sum(row_bytes(counts.schema)), F.lit(0)).alias("bytes"),
+        *[F.coalesce(F.sum(F.get("counts", F.lit(c))), F.lit(0)).alias(f"t{c}") for c in range(k)],
     ).first()
     weights = [
         F.ln((F.get("counts", F.lit(c)) + smoothing) / F.lit(totals[f"t{c}"] + smoothing * totals["v"]))
@@ -45,7 +48,8 @@ def fit_from_counts(
     ]
     n = sum(sizes.values())
     priors = tuple(log(sizes[c] / n) if sizes.get(c) else float("-inf") for c in range(k))
-    return NaiveBayesModel(classes, priors, counts.select("token", F.array(*weights).alias("weights")))
+    tokens = counts.select("token", F.array(*weights).alias("weights"))
+    return NaiveBayesModel(classes, priors, tokens, totals["bytes"])
 
 
 def fit(train: DataFrame, classes: Classes, text: str = "text", smoothing: float = 1.0) -> NaiveBayesModel:
@@ -69,11 +73,11 @@ def class_scores(
     """
     k = len(model.classes)
     rows = word_rows(df, keep, text)
-    if fits_broadcast(model.tokens, max_bytes):
+    if model.bytes <= max_bytes:
         joined = rows.join(F.broadcast(model.tokens), "token", "left").withColumn("tf", F.lit(1))
     else:
         counted = rows.groupBy(*keep, "token").agg(F.count("*").alias("tf"))
-        joined = lookup_join(counted, model.tokens, "token", keep[0], "left", max_bytes)
+        joined = shuffled_lookup(counted, model.tokens, "token", keep[0])
     sums = [F.sum(F.get("weights", F.lit(c)) * F.col("tf")).alias(f"_s{c}") for c in range(k)]
     summed = joined.groupBy(*keep).agg(*sums)
     scores = [F.coalesce(f"_s{c}", F.lit(0.0)) + F.lit(model.log_priors[c]) for c in range(k)]

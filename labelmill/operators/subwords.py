@@ -39,34 +39,37 @@ def segment_words(distinct_words: DataFrame, vocab: DataFrame, max_word_chars: i
             ),
         )
     )
-    hits = lookup_join(spans, vocab.select("piece", "token_id"), "piece", "word", "inner")
-    best = hits.groupBy("word", "start").agg(
-        F.max(F.struct("len", "piece", "token_id")).alias("hit")
-    )
+    found = lookup_join(spans, vocab.select("piece", "token_id"), "piece", "word", "inner")
+    # Length and id in one number: its maximum is the longest piece, in a fixed-size buffer.
+    packed = F.shiftleft(F.col("len").cast("bigint"), 32) + F.col("token_id")
+    best = found.groupBy("word", "start").agg(F.max(packed).alias("hit"))
     by_word = best.groupBy("word").agg(
         F.map_from_entries(F.collect_list(F.struct("start", "hit"))).alias("hits")
     )
 
-    start = F.struct(
-        F.lit(1).alias("at"),
+    begin = F.struct(
+        F.lit(1).alias("next"),
         F.array().cast("array<string>").alias("pieces"),
         F.array().cast("array<int>").alias("ids"),
     )
 
     def step(acc, i):
         hit = F.col("hits")[i]
+        length = F.shiftright(hit, 32).cast("int")
+        mark = F.when(i > 1, F.lit(CONTINUATION)).otherwise(F.lit(""))
+        piece = F.concat(mark, F.substring(F.col("word"), i, length))
         return F.when(
-            (acc["at"] == i) & hit.isNotNull(),
+            (acc["next"] == i) & hit.isNotNull(),
             F.struct(
-                (i + hit["len"]).alias("at"),
-                F.concat(acc["pieces"], F.array(hit["piece"])).alias("pieces"),
-                F.concat(acc["ids"], F.array(hit["token_id"].cast("int"))).alias("ids"),
+                (i + length).alias("next"),
+                F.concat(acc["pieces"], F.array(piece)).alias("pieces"),
+                F.concat(acc["ids"], F.array(hit.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"))).alias("ids"),
             ),
         ).otherwise(acc)
 
     return (
-        by_word.withColumn("walk", F.aggregate(F.sequence(F.lit(1), size), start, step))
-        .where(F.col("walk.at") == size + 1)
+        by_word.withColumn("walk", F.aggregate(F.sequence(F.lit(1), size), begin, step))
+        .where(F.col("walk.next") == size + 1)
         .select("word", F.col("walk.pieces").alias("pieces"), F.col("walk.ids").alias("piece_ids"))
     )
 
@@ -94,7 +97,7 @@ def subwords(
     )
     return (
         found.groupBy(id)
-        .agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), item))).alias("items"))
+        .agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), item))).alias("items"))
         .select(
             id,
             F.flatten("items.pieces").alias("pieces"),

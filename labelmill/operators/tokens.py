@@ -85,7 +85,7 @@ def encode_ids(
     item = F.struct("pos", F.coalesce("token_id", F.lit(UNK)).alias("token_id"))
     return (
         found.groupBy(id, *keep)
-        .agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), item))).alias("items"))
+        .agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), item))).alias("items"))
         .select(
             id,
             *keep,

@@ -58,10 +58,9 @@ def row_bytes(schema: T.StructType) -> Column:
     return size.cast("bigint")
 
 
-def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure a (materialized) table against the broadcast limit."""
-    total = df.agg(F.sum(row_bytes(df.schema))).first()[0]
-    return (total or 0) <= max_bytes
+def table_bytes(df: DataFrame) -> int:
+    """Measured size of a (materialized) table, to hold against a broadcast limit."""
+    return df.agg(F.sum(row_bytes(df.schema))).first()[0] or 0
 
 
 def hot_keys(df: DataFrame, key: str) -> list:
@@ -85,27 +84,32 @@ def lookup_join(
     spread: str,
     how: str = "left",
     max_bytes: int = BROADCAST_BYTES,
-    salts: int = 32,
 ) -> DataFrame:
     """Join ``facts`` with ``dim`` (unique on ``on``), whatever the size and skew.
 
-    A dimension measured below ``max_bytes`` is broadcast. A larger one is shuffled on
-    (key, salt): the few hot keys of ``facts`` are spread over ``salts`` partitions by a
-    hash of ``spread``, and only their dimension rows are repeated.
+    A dimension measured below ``max_bytes`` is broadcast, a larger one is shuffled.
     """
-    if fits_broadcast(dim, max_bytes):
+    if table_bytes(dim) <= max_bytes:
         return facts.join(F.broadcast(dim), on, how)
+    return shuffled_lookup(facts, dim, on, spread, how)
+
+
+def shuffled_lookup(
+    facts: DataFrame, dim: DataFrame, on: str, spread: str, how: str = "left", salts: int = 32
+) -> DataFrame:
+    """The join for a dimension of any size, on (key, salt).
+
+    The few hot keys of ``facts`` are spread over ``salts`` partitions by a hash of
+    ``spread``, and only their dimension rows are repeated.
+    """
     hot = hot_keys(facts, on)
     if not hot:
         return facts.join(dim, on, how)
     is_hot = F.coalesce(F.col(on).isin(hot), F.lit(False))
-    salted_facts = facts.withColumn(
-        "_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
-    )
-    salted_dim = dim.withColumn(
-        "_salt",
-        F.explode(
-            F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        ),
+    salt = F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
+    every_salt = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return (
+        facts.withColumn("_salt", salt)
+        .join(dim.withColumn("_salt", F.explode(every_salt)), [on, "_salt"], how)
+        .drop("_salt")
     )
-    return salted_facts.join(salted_dim, [on, "_salt"], how).drop("_salt")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from labelmill import schemas
 from labelmill.operators.labels import MAX_CLASSES, Classes
 from labelmill.operators.naive_bayes import NaiveBayesModel
+from labelmill.scratch import table_bytes
 
 
 def save_classes(spark: SparkSession, classes: Classes, path: str) -> None:
@@ -33,11 +34,13 @@ def save_naive_bayes(model: NaiveBayesModel, path: str) -> None:
 
 
 def load_naive_bayes(spark: SparkSession, path: str) -> NaiveBayesModel:
+    tokens = spark.read.parquet(f"{path}/tokens")
     priors = spark.read.parquet(f"{path}/priors").limit(MAX_CLASSES).collect()
     return NaiveBayesModel(
         load_classes(spark, path),
         tuple(r["log_prior"] for r in sorted(priors, key=lambda r: r["class_id"])),
-        spark.read.parquet(f"{path}/tokens"),
+        tokens,
+        table_bytes(tokens),
     )
 
 

@@ -94,6 +94,15 @@ def tag_source(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("label", F.lit(label))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Repartition a scan that has fewer splits than there are cores; others stay as they are.
+
+    For tables read straight into CPU-heavy text work. A table of many files is untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _reads_from(df: DataFrame, path: str) -> bool:
     def plain(p: str) -> str:
         return p.split("://", 1)[-1].removeprefix("file:").rstrip("/").replace("///", "/")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.sources.samples import row_order
+from labelmill.sources.samples import row_order, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str, label: str = "lang") -> DataFrame:
     """``documents`` as samples (id, ord, text, label)."""
-    return table(spark, sf_dir, "documents").select(
+    return _as_samples(table(spark, sf_dir, "documents"), label)
+
+
+def spread_samples(spark: SparkSession, sf_dir: str, label: str = "lang") -> DataFrame:
+    """The same for queries that work on the words right after the scan."""
+    return _as_samples(spread(table(spark, sf_dir, "documents")), label)
+
+
+def _as_samples(documents: DataFrame, label: str) -> DataFrame:
+    return documents.select(
         F.col("doc_id").alias("id"),
         row_order(F.col("doc_id")).alias("ord"),
         "text",

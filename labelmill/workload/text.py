@@ -9,23 +9,23 @@ from labelmill.operators import subwords as sub
 from labelmill.operators import tokens
 from labelmill.plans.training import prepare
 from labelmill.scratch import materialize
-from labelmill.workload.base import WORDS, corpus_sql, joined, samples, table
+from labelmill.workload.base import WORDS, corpus_sql, joined, samples, spread_samples, table
 
 MARKS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')"
 
 
 def word_split(spark, sf):
-    docs = samples(spark, sf).select("id", words(F.col("text")).alias("w"))
+    docs = spread_samples(spark, sf).select("id", words(F.col("text")).alias("w"))
     return docs.select("id", F.size("w").alias("n_words"), F.array_join("w", " ").alias("words"))
 
 
 def word_split_marks(spark, sf):
-    docs = samples(spark, sf).select("id", words_and_marks(F.col("text")).alias("w"))
+    docs = spread_samples(spark, sf).select("id", words_and_marks(F.col("text")).alias("w"))
     return docs.select("id", F.size("w").alias("n_tokens"), F.array_join("w", " ").alias("tokens"))
 
 
 def vocabulary(spark, sf):
-    return tokens.vocabulary(samples(spark, sf), min_df=2).select("token", "n", "doc_freq", "token_id")
+    return tokens.vocabulary(spread_samples(spark, sf), min_df=2).select("token", "n", "doc_freq", "token_id")
 
 
 VOCABULARY = f"""
@@ -38,7 +38,7 @@ vocab AS (
 
 def encode_ids(spark, sf):
     """Whole texts, of any length."""
-    docs = samples(spark, sf)
+    docs = spread_samples(spark, sf)
     vocab = materialize(tokens.vocabulary(docs, min_df=2), "vocabulary")
     return tokens.encode_ids(docs, vocab).select("id", joined("input_ids").alias("input_ids"))
 
@@ -100,7 +100,7 @@ def subword_pieces(spark, sf):
     inside = turns.select(F.concat(F.lit(sub.CONTINUATION), "token").alias("piece"))
     pieces = tokens.with_dense_ids(starts.union(inside), [F.asc("piece")], "token_id", start=4)
     vocab = materialize(pieces, "pieces")
-    found = sub.subwords(samples(spark, sf), vocab)
+    found = sub.subwords(spread_samples(spark, sf), vocab)
     return found.select("id", F.array_join("pieces", " ").alias("pieces"), joined("input_ids").alias("input_ids"))
 
 
