@@ -40,32 +40,47 @@ def joined(ids: str):
     return F.concat_ws(",", F.transform(ids, lambda x: x.cast("string")))
 
 
-def corpus_sql(label: str = "lang") -> str:
-    """CTEs ``corpus``, ``classes``, ``folds`` for the distinct corpus of one label column."""
+def split_sql(source: str, suffix: str = "", seed: int = 42) -> str:
+    """CTEs ``classes``, ``quotas`` and ``folds`` (with ``suffix``) for the 80/20 split of a CTE."""
     return f"""
-corpus AS (
-  SELECT id, text, label FROM (
-    SELECT doc_id AS id, text, {label} AS label,
-           row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn
-    FROM documents WHERE text IS NOT NULL AND {label} IS NOT NULL) WHERE rn = 1),
-classes AS (
+classes{suffix} AS (
   SELECT label, n, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS class_id
-  FROM (SELECT label, count(*) AS n FROM corpus GROUP BY label)),
-totals AS (SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) AS BIGINT) - (CAST(sum(n) AS BIGINT) * 20 + 99) // 100 AS n_train FROM classes),
-shares AS (
+  FROM (SELECT label, count(*) AS n FROM {source} GROUP BY label)),
+totals{suffix} AS (
+  SELECT CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) AS BIGINT) - (CAST(sum(n) AS BIGINT) * 20 + 99) // 100 AS n_train
+  FROM classes{suffix}),
+shares{suffix} AS (
   SELECT c.label, c.n, c.class_id, c.n * t.n_train // t.n AS base, c.n * t.n_train % t.n AS rem, t.n_train
-  FROM classes c, totals t),
-quotas AS (
+  FROM classes{suffix} c, totals{suffix} t),
+quotas{suffix} AS (
   SELECT label, n, class_id,
          base + CASE WHEN row_number() OVER (ORDER BY rem DESC, label)
                           <= n_train - CAST(sum(base) OVER () AS BIGINT) THEN 1 ELSE 0 END AS n_train
-  FROM shares),
-folds AS (
+  FROM shares{suffix}),
+folds{suffix} AS (
   SELECT c.id, c.text, c.label, q.class_id,
          CASE WHEN row_number() OVER (PARTITION BY c.label
-                     ORDER BY md5('42:' || CAST(c.id AS VARCHAR)), c.id) <= q.n_train
+                     ORDER BY md5('{seed}:' || CAST(c.id AS VARCHAR)), c.id) <= q.n_train
               THEN 'train' ELSE 'test' END AS fold
-  FROM corpus c JOIN quotas q ON c.label = q.label)"""
+  FROM {source} c JOIN quotas{suffix} q ON c.label = q.label)"""
+
+
+def corpus_sql(label: str = "lang", validation: bool = False) -> str:
+    """CTE ``corpus``, the distinct texts of one label column, and its folds.
+
+    With ``validation`` the folds are those of the train fold split once more.
+    """
+    corpus = f"""
+corpus AS (
+  SELECT id, text, label FROM (
+    SELECT doc_id AS id, text, {label} AS label,
+           row_number() OVER (PARTITION BY text ORDER BY doc_id) AS rn
+    FROM documents WHERE text IS NOT NULL AND {label} IS NOT NULL) WHERE rn = 1),"""
+    if not validation:
+        return corpus + split_sql("corpus")
+    return f"""{corpus}{split_sql("corpus", "_outer")},
+train_corpus AS (SELECT id, text, label FROM folds_outer WHERE fold = 'train'),
+{split_sql("train_corpus", seed=43)}"""
 
 
 WORDS = r"list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '')"
@@ -74,16 +89,18 @@ WORDS = r"list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+',
 TEST_FOLD = "SELECT id, text, label FROM folds WHERE fold = 'test'"
 
 
-def nb_sql(label: str = "lang", scored: str = TEST_FOLD) -> str:
+def nb_sql(
+    label: str = "lang", scored: str = TEST_FOLD, smoothing: float = 1.0, validation: bool = False
+) -> str:
     """CTEs up to ``probs(id, label, class_id, class_name, p)`` and ``best`` for the ``scored`` rows."""
-    return f"""{corpus_sql(label)},
+    return f"""{corpus_sql(label, validation)},
 scored AS ({scored}),
 train_words AS (SELECT label, unnest({WORDS}) AS token FROM folds WHERE fold = 'train'),
 token_counts AS (SELECT token, label, count(*) AS n FROM train_words GROUP BY token, label),
 label_totals AS (SELECT label, CAST(sum(n) AS DOUBLE) AS total FROM token_counts GROUP BY label),
 vocab AS (SELECT DISTINCT token FROM token_counts),
 likelihoods AS (
-  SELECT v.token, t.label, ln((coalesce(c.n, 0) + 1.0E0) / (t.total + (SELECT count(*) FROM vocab))) AS ll
+  SELECT v.token, t.label, ln((coalesce(c.n, 0) + {smoothing}E0) / (t.total + {smoothing}E0 * (SELECT count(*) FROM vocab))) AS ll
   FROM vocab v CROSS JOIN label_totals t
   LEFT JOIN token_counts c ON c.token = v.token AND c.label = t.label),
 priors AS (

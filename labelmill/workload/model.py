@@ -251,6 +251,18 @@ REPORT = """
          round_even(sum(recall * support) / sum(support), 4), round_even(sum(f1 * support) / sum(support), 4),
          CAST(sum(support) AS BIGINT) FROM per_class"""
 
+
+
+def _candidate_sql(candidate: int, smoothing: float) -> str:
+    return f"""
+  SELECT 'nb' AS run_id, {candidate} AS candidate, unnest(['accuracy', 'precision_macro', 'recall_macro', 'f1_macro']) AS metric,
+         unnest([round(accuracy, 9), round(precision_macro, 9), round(recall_macro, 9), round(f1_macro, 9)]) AS value
+  FROM (WITH {nb_sql('source', smoothing=smoothing, validation=True)}, {PER_CLASS}
+        SELECT sum(tp) / CAST(sum(support) AS DOUBLE) AS accuracy, avg(precision) AS precision_macro,
+               avg(recall) AS recall_macro, avg(f1) AS f1_macro FROM per_class)"""
+
+
+SEARCH = " UNION ALL ".join(_candidate_sql(i, x) for i, x in enumerate(SMOOTHINGS, start=1))
 ALL_DOCUMENTS = "SELECT doc_id AS id, text, lang AS label FROM documents"
 BEST_LANG = "id, label, class_id, prediction, confidence FROM best"
 
@@ -339,7 +351,7 @@ QUERIES = {
             SELECT run_id, stop, candidate AS best, value AS best_value FROM f WHERE rn = 1""",
     ),
     "run_log": (run_log, f"WITH {EVENT_RUNS} SELECT run_id, candidate, 'f1_macro' AS metric, value FROM runs"),
-    "smoothing_search": (smoothing_search, None),
+    "smoothing_search": (smoothing_search, SEARCH),
     "logistic_search": (logistic_search, None),
     "naive_bayes_round_trip": (
         naive_bayes_round_trip, f"WITH {nb_sql()} SELECT id, label, prediction, confidence FROM best",
