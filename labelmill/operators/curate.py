@@ -42,11 +42,12 @@ def dedup_keep_first(
     """One row per exact text: the one first in ``priority`` order. Null texts are equal.
 
     An aggregate, not a window: each task first reduces its own copies of a text, so a text
-    that makes up a third of the corpus sends one row per task through the shuffle.
+    that makes up a third of the corpus sends one row per task through the shuffle. The hash
+    in front of the text lets Spark sort by a number; equality is still that of the texts.
     """
     rest = [c for c in df.columns if c != text]
     first = F.min_by(F.struct(*rest), F.struct(*priority)).alias("_first")
-    return df.groupBy(text).agg(first).select(*[c if c == text else F.col(f"_first.{c}") for c in df.columns])
+    return df.groupBy(F.xxhash64(text), text).agg(first).select(*[c if c == text else F.col(f"_first.{c}") for c in df.columns])
 
 
 def duplicates_removed(df: DataFrame, text: str = "text") -> DataFrame:

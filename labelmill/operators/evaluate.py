@@ -112,6 +112,11 @@ def confusion_wide(df: DataFrame, classes: list[str], y: str = "label", yhat: st
     return confusion(df, y, yhat, classes).groupBy("true_label").pivot("predicted_label", classes).agg(F.sum("n"))
 
 
+def with_shown_text(df: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``shown``, the display form of the text, to be kept through scoring."""
+    return df.withColumn("shown", cut(F.col(text)))
+
+
 def misclassified(df: DataFrame, y: str = "label", yhat: str = "prediction") -> DataFrame:
     """Rows with a wrong prediction. Needs all_probabilities; texts are not needed yet."""
     return df.where(F.col(y) != F.col(yhat)).withColumn(
@@ -120,23 +125,18 @@ def misclassified(df: DataFrame, y: str = "label", yhat: str = "prediction") ->
 
 
 def error_report(
-    wrong: DataFrame, texts: DataFrame, id: str = "id", text: str = "text",
-    y: str = "label", yhat: str = "prediction",
+    wrong: DataFrame, id: str = "id", text: str = "shown", y: str = "label", yhat: str = "prediction"
 ) -> DataFrame:
     """(id, text, true_label, predicted_label, confidence_pct, true_class_prob), surest first.
 
-    One decimal, long texts cut for display. Texts are joined to the wrong rows only.
+    Percentages with one decimal. Add the display text by ``with_shown_text`` and keep it
+    through scoring; then no text has to be joined to the errors afterwards.
     """
-    shown = texts.select(id, cut(F.col(text)).alias("text"))
-    return (
-        wrong.join(shown, id)
-        .select(
-            id,
-            "text",
-            F.col(y).alias("true_label"),
-            F.col(yhat).alias("predicted_label"),
-            F.bround("confidence", 1).alias("confidence_pct"),
-            F.bround("true_class_prob", 1).alias("true_class_prob"),
-        )
-        .orderBy(F.desc("confidence_pct"), id)
-    )
+    return wrong.select(
+        id,
+        F.col(text).alias("text"),
+        F.col(y).alias("true_label"),
+        F.col(yhat).alias("predicted_label"),
+        F.bround("confidence", 1).alias("confidence_pct"),
+        F.bround("true_class_prob", 1).alias("true_class_prob"),
+    ).orderBy(F.desc("confidence_pct"), id)

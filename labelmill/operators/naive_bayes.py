@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from labelmill.operators.labels import Classes, class_sizes
 from labelmill.operators.tokens import word_rows
-from labelmill.scratch import BROADCAST_BYTES, materialize, row_bytes, shuffled_lookup
+from labelmill.scratch import BROADCAST_BYTES, hot_keys, materialize, row_bytes, shuffled_lookup
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,7 @@ def class_scores(
         joined = rows.join(F.broadcast(model.tokens), "token", "left").withColumn("tf", F.lit(1))
     else:
         counted = rows.groupBy(*keep, "token").agg(F.count("*").alias("tf"))
-        joined = shuffled_lookup(counted, model.tokens, "token", keep[0])
+        joined = shuffled_lookup(counted, model.tokens, "token", keep[0], hot=hot_keys(rows, "token"))
     sums = [F.sum(F.get("weights", F.lit(c)) * F.col("tf")).alias(f"_s{c}") for c in range(k)]
     summed = joined.groupBy(*keep).agg(*sums)
     scores = [F.coalesce(f"_s{c}", F.lit(0.0)) + F.lit(model.log_priors[c]) for c in range(k)]

@@ -59,11 +59,12 @@ def with_rank_within(
     )
     cuts = F.broadcast(spark.createDataFrame(cuts.collect(), cuts.schema))
 
-    h = seeded_hash(id, seed)
-    inside = (h < F.col("_cut_hash")) | ((h == F.col("_cut_hash")) & (F.col(id) <= F.col("_cut_id")))
+    # A class without a cut compares with (null, null), which sorts before every row.
+    here = F.struct(seeded_hash(id, seed).alias("h"), F.col(id).alias("i"))
+    cut = F.struct(F.col("_cut_hash").alias("h"), F.col("_cut_id").alias("i"))
     return (
         df.join(cuts, df[label] == cuts["_label"], "left")
-        .withColumn(out, F.coalesce(inside, F.lit(False)))
+        .withColumn(out, here <= cut)
         .drop("_label", "_cut_hash", "_cut_id")
     )
 

@@ -95,18 +95,24 @@ def lookup_join(
 
 
 def shuffled_lookup(
-    facts: DataFrame, dim: DataFrame, on: str, spread: str, how: str = "left", salts: int = 32
+    facts: DataFrame,
+    dim: DataFrame,
+    on: str,
+    spread: str,
+    how: str = "left",
+    hot: list | None = None,
+    salts: int = 32,
 ) -> DataFrame:
     """The join for a dimension of any size, on (key, salt).
 
-    The few hot keys of ``facts`` are spread over ``salts`` partitions by a hash of
-    ``spread``, and only their dimension rows are repeated.
+    The few hot keys of ``facts`` (looked for unless given) are spread over ``salts``
+    partitions by a hash of ``spread``, and only their dimension rows are repeated. Null
+    keys, which match nothing, are spread the same way.
     """
-    hot = hot_keys(facts, on)
-    if not hot:
-        return facts.join(dim, on, how)
-    is_hot = F.coalesce(F.col(on).isin(hot), F.lit(False))
-    salt = F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
+    hot = hot_keys(facts, on) if hot is None else hot
+    is_hot = F.coalesce(F.col(on).isin(hot), F.lit(False)) if hot else F.lit(False)
+    apart = is_hot | F.col(on).isNull()
+    salt = F.when(apart, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
     every_salt = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     return (
         facts.withColumn("_salt", salt)

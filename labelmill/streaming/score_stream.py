@@ -37,8 +37,10 @@ def score_stream(
     """Texts to prediction rows (JSON files) with the naive Bayes scorer.
 
     Each micro-batch is scored as a table and written to a folder of its own by overwrite,
-    so a batch that is replayed after a failure replaces its first try.
+    so a batch that is replayed after a failure replaces its first try. The token table is
+    kept in memory between batches.
     """
+    model.tokens.persist()
 
     def score_batch(batch: DataFrame, batch_id: int) -> None:
         predict(batch, model, keep).write.mode("overwrite").json(f"{out}/batch={batch_id}")

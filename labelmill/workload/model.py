@@ -92,8 +92,11 @@ def confusion_wide(spark, sf):
 
 
 def error_report(spark, sf):
-    wrong = evaluate.misclassified(_nb(spark, sf, "source")[2])
-    return evaluate.error_report(wrong, samples(spark, sf, "source"))
+    p = training.prepare(samples(spark, sf, "source"))
+    model = naive_bayes.fit(p.fold("train"), p.classes)
+    test = evaluate.with_shown_text(p.fold("test"))
+    predicted = training.nb_predictions(test, model, ["id", "label", "shown"])
+    return evaluate.error_report(evaluate.misclassified(materialize(predicted, "predicted")))
 
 
 def embedding_argmax(spark, sf):

@@ -151,11 +151,14 @@ def test_metrics_with_a_class_never_predicted_and_one_only_predicted(spark):
 
 def test_error_report(spark):
     wrong = spark.createDataFrame(
-        [(1, "a", "b", 99.94, {"a": 0.06, "b": 99.94}), (2, "a", "a", 80.0, {"a": 80.0}), (3, "b", "a", 99.99, {"b": 0.01})],
-        "id int, label string, prediction string, confidence double, all_probabilities map<string,double>",
+        [
+            (1, "x" * 130, "a", "b", 99.94, {"a": 0.06, "b": 99.94}),
+            (2, "y", "a", "a", 80.0, {"a": 80.0}),
+            (3, "z", "b", "a", 99.99, {"b": 0.01}),
+        ],
+        "id int, text string, label string, prediction string, confidence double, all_probabilities map<string,double>",
     )
-    texts = spark.createDataFrame([(1, "x" * 130), (2, "y"), (3, "z")], "id int, text string")
-    got = values(evaluate.error_report(evaluate.misclassified(wrong), texts))
+    got = values(evaluate.error_report(evaluate.misclassified(evaluate.with_shown_text(wrong))))
     assert got == [(3, "z", "b", "a", 100.0, 0.0), (1, "x" * 120 + "...", "a", "b", 99.9, 0.1)]
 
 
