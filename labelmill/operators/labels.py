@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Every scored row carries one probability per class, so the class list is small by nature.
@@ -25,8 +25,8 @@ class Classes:
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(enumerate(self.names)), "class_id int, class_name string")
 
-    def array(self):
-        return F.array(*[F.lit(n) for n in self.names])
+    def array(self) -> Column:
+        return F.lit(list(self.names))
 
 
 def class_sizes(df: DataFrame, label: str = "label") -> dict[str, int]:

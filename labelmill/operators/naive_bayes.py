@@ -27,35 +27,48 @@ class NaiveBayesModel:
 
 def token_class_counts(train: DataFrame, k: int, text: str = "text") -> DataFrame:
     """(token, counts): occurrences of the token per class id. Tasks sum their own words first."""
-    per_class = [F.count_if(F.col("class_id") == c).alias(f"c{c}") for c in range(k)]
-    counted = word_rows(train, ["class_id"], text).where(F.col("token") != "").groupBy("token").agg(*per_class)
+    per_class = [F.expr(f"count_if(class_id = {c}) AS c{c}") for c in range(k)]
+    counted = word_rows(train, ["class_id"], text).where("token <> ''").groupBy("token").agg(*per_class)
     return counted.select("token", F.array(*[f"c{c}" for c in range(k)]).alias("counts"))
 
 
 def fit_from_counts(
     counts: DataFrame, sizes: dict[int, int], classes: Classes, smoothing: float = 1.0
 ) -> NaiveBayesModel:
-    """Model from a (materialized) count table; several smoothings can share one table."""
-    k = len(classes)
+    """Model from a (materialized) count table; several smoothings can share one table.
+
+    ``sizes`` are the training texts per class id.
+    """
+    k, smoothing = len(classes), float(smoothing)
     totals = counts.agg(
         F.count("*").alias("v"),
         F.coalesce(F.sum(row_bytes(counts.schema)), F.lit(0)).alias("bytes"),
-        *[F.coalesce(F.sum(F.get("counts", F.lit(c))), F.lit(0)).alias(f"t{c}") for c in range(k)],
+        *[F.expr(f"coalesce(sum(get(counts, {c})), 0) AS t{c}") for c in range(k)],
     ).first()
-    weights = [
-        F.ln((F.get("counts", F.lit(c)) + smoothing) / F.lit(totals[f"t{c}"] + smoothing * totals["v"]))
+    weights = ", ".join(
+        f"ln((get(counts, {c}) + {smoothing!r}D) / {totals[f't{c}'] + smoothing * totals['v']!r}D)"
         for c in range(k)
-    ]
+    )
     n = sum(sizes.values())
     priors = tuple(log(sizes[c] / n) if sizes.get(c) else float("-inf") for c in range(k))
-    tokens = counts.select("token", F.array(*weights).alias("weights"))
+    tokens = counts.selectExpr("token", f"array({weights}) AS weights")
     return NaiveBayesModel(classes, priors, tokens, totals["bytes"])
 
 
-def fit(train: DataFrame, classes: Classes, text: str = "text", smoothing: float = 1.0) -> NaiveBayesModel:
-    """Fit on ``train(text, class_id)``, add-``smoothing`` over the training vocabulary."""
+def fit(
+    train: DataFrame,
+    classes: Classes,
+    text: str = "text",
+    smoothing: float = 1.0,
+    sizes: dict[int, int] | None = None,
+) -> NaiveBayesModel:
+    """Fit on ``train(text, class_id)``, add-``smoothing`` over the training vocabulary.
+
+    ``sizes`` are the texts per class id; they are counted if not given.
+    """
     counts = materialize(token_class_counts(train, len(classes), text), "token-counts")
-    return fit_from_counts(counts, class_sizes(train, "class_id"), classes, smoothing)
+    sizes = class_sizes(train, "class_id") if sizes is None else sizes
+    return fit_from_counts(counts, sizes, classes, smoothing)
 
 
 def class_scores(
@@ -78,7 +91,6 @@ def class_scores(
     else:
         counted = rows.groupBy(*keep, "token").agg(F.count("*").alias("tf"))
         joined = shuffled_lookup(counted, model.tokens, "token", keep[0], hot=hot_keys(rows, "token"))
-    sums = [F.sum(F.get("weights", F.lit(c)) * F.col("tf")).alias(f"_s{c}") for c in range(k)]
-    summed = joined.groupBy(*keep).agg(*sums)
-    scores = [F.coalesce(f"_s{c}", F.lit(0.0)) + F.lit(model.log_priors[c]) for c in range(k)]
-    return summed.select(*keep, F.array(*scores).alias("scores"))
+    summed = joined.groupBy(*keep).agg(*[F.expr(f"sum(get(weights, {c}) * tf) AS _s{c}") for c in range(k)])
+    scores = ", ".join(f"coalesce(_s{c}, 0D) + double('{p!r}')" for c, p in enumerate(model.log_priors))
+    return summed.select(*keep, F.expr(f"array({scores})").alias("scores"))

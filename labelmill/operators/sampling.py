@@ -107,12 +107,14 @@ def stratified_split(
     id: str = "id",
     seed: int = 42,
     bucket_digits: int = 4,
+    quotas: dict[str, int] | None = None,
 ) -> DataFrame:
     """Add ``fold`` ('train' or 'test'); both folds keep the class proportions.
 
     Every row of a known label gets exactly one fold, so the folds are complements.
+    ``quotas`` may hand in the train rows per class if they are known already.
     """
-    quotas = split_quotas(class_sizes(df, label), test_percent)
+    quotas = split_quotas(class_sizes(df, label), test_percent) if quotas is None else quotas
     known = df.where(F.col(label).isNotNull())
     marked = with_rank_within(known, quotas, "_train", label, id, seed, bucket_digits)
     return marked.withColumn(

@@ -29,25 +29,35 @@ class Prepared:
 
     corpus: DataFrame
     classes: Classes
+    train_sizes: dict[str, int]
 
     def fold(self, name: str) -> DataFrame:
         return self.corpus.where(self.corpus["fold"] == name)
 
+    def fit_naive_bayes(self, smoothing: float = 1.0) -> NaiveBayesModel:
+        return naive_bayes.fit(self.fold("train"), self.classes, smoothing=smoothing, sizes=self.sizes_by_id())
+
+    def sizes_by_id(self) -> dict[int, int]:
+        """Training texts per class id."""
+        return {i: self.train_sizes[name] for i, name in enumerate(self.classes.names)}
+
 
 def prepare(samples: DataFrame, test_percent: int = 20, seed: int = 42) -> Prepared:
     """Clean, de-duplicate (smallest ``ord`` first), encode and split ``samples(id, ord, text, label)``."""
     narrow = curate.clean(samples.select("id", "ord", "text", "label"))
     distinct = materialize(curate.dedup_keep_first(narrow, priority=["ord"]).drop("ord"), "distinct")
-    classes = labels.fit_classes(distinct)
-    split = sampling.stratified_split(labels.encode(distinct, classes), test_percent, seed=seed)
-    return Prepared(split, classes)
+    sizes = labels.class_sizes(distinct)
+    classes, quotas = Classes(tuple(sizes)), sampling.split_quotas(sizes, test_percent)
+    split = sampling.stratified_split(labels.encode(distinct, classes), seed=seed, quotas=quotas)
+    return Prepared(split, classes, quotas)
 
 
 def with_validation(prepared: Prepared, valid_percent: int = 20, seed: int = 43) -> Prepared:
     """Move part of the train fold to a 'valid' fold, so that choosing never looks at 'test'."""
-    train = sampling.stratified_split(prepared.fold("train").drop("fold"), valid_percent, seed=seed)
+    quotas = sampling.split_quotas(prepared.train_sizes, valid_percent)
+    train = sampling.stratified_split(prepared.fold("train").drop("fold"), seed=seed, quotas=quotas)
     train = train.replace({"test": "valid"}, subset=["fold"])
-    return Prepared(train.unionByName(prepared.fold("test")), prepared.classes)
+    return Prepared(train.unionByName(prepared.fold("test")), prepared.classes, quotas)
 
 
 def nb_predictions(test: DataFrame, model: NaiveBayesModel, keep=("id", "label")) -> DataFrame:
@@ -57,7 +67,7 @@ def nb_predictions(test: DataFrame, model: NaiveBayesModel, keep=("id", "label")
 def train_and_test(samples: DataFrame) -> tuple[NaiveBayesModel, DataFrame]:
     """Fit naive Bayes on the train fold, predict the test fold."""
     p = prepare(samples)
-    model = naive_bayes.fit(p.fold("train"), p.classes)
+    model = p.fit_naive_bayes()
     return model, nb_predictions(p.fold("test"), model)
 
 
@@ -70,7 +80,7 @@ def search_naive_bayes(prepared: Prepared, smoothings: Iterable[float], run_id:
     train, valid = prepared.fold("train"), prepared.fold("valid")
     k = len(prepared.classes)
     counts = materialize(naive_bayes.token_class_counts(train, k), "token-counts")
-    sizes = labels.class_sizes(train, "class_id")
+    sizes = prepared.sizes_by_id()
     path = new_path(train.sparkSession, "runs")
     for i, smoothing in enumerate(smoothings, start=1):
         model = naive_bayes.fit_from_counts(counts, sizes, prepared.classes, smoothing)

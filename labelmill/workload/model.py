@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from labelmill import schemas
 from labelmill.functions.scores import argmax, percent, with_softmax
-from labelmill.operators import evaluate, labels, logistic, naive_bayes, scoring, selection
+from labelmill.operators import evaluate, logistic, scoring, selection
 from labelmill.plans import scoring as score_plan
 from labelmill.plans import training
 from labelmill.scratch import materialize, new_path
@@ -20,14 +20,14 @@ LR_FEATURES = 1 << 14
 def _nb(spark, sf, label="lang"):
     """Fitted model and materialized test predictions, without the texts."""
     p = training.prepare(samples(spark, sf, label))
-    model = naive_bayes.fit(p.fold("train"), p.classes)
+    model = p.fit_naive_bayes()
     predicted = training.nb_predictions(p.fold("test"), model, ["id", "label"])
     return p, model, materialize(predicted, "predicted")
 
 
 def nb_fit(spark, sf):
     p = training.prepare(samples(spark, sf))
-    model = naive_bayes.fit(p.fold("train"), p.classes)
+    model = p.fit_naive_bayes()
     per_class = model.tokens.select("token", F.posexplode("weights").alias("class_id", "w"))
     return per_class.select("token", "class_id", F.round("w", 6).alias("log_likelihood"))
 
@@ -93,7 +93,7 @@ def confusion_wide(spark, sf):
 
 def error_report(spark, sf):
     p = training.prepare(samples(spark, sf, "source"))
-    model = naive_bayes.fit(p.fold("train"), p.classes)
+    model = p.fit_naive_bayes()
     test = evaluate.with_shown_text(p.fold("test"))
     predicted = training.nb_predictions(test, model, ["id", "label", "shown"])
     return evaluate.error_report(evaluate.misclassified(materialize(predicted, "predicted")))
@@ -158,7 +158,7 @@ def naive_bayes_round_trip(spark, sf):
     """Predictions of a model that was saved and loaded."""
     p = training.prepare(samples(spark, sf))
     path = new_path(spark, "model")
-    models.save_naive_bayes(naive_bayes.fit(p.fold("train"), p.classes), path)
+    models.save_naive_bayes(p.fit_naive_bayes(), path)
     loaded = models.load_naive_bayes(spark, path)
     return training.nb_predictions(p.fold("test"), loaded).select("id", "label", "prediction", "confidence")
 
@@ -189,7 +189,7 @@ def lr_round_trip(spark, sf):
 def stream_score(spark, sf):
     """All documents as a stream, scored by naive Bayes trained on the train fold."""
     p = training.prepare(samples(spark, sf))
-    model = naive_bayes.fit(p.fold("train"), p.classes)
+    model = p.fit_naive_bayes()
     texts = (
         spark.readStream.schema("doc_id bigint, text string")
         .option("pathGlobFilter", "documents.parquet")
