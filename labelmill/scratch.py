@@ -25,7 +25,9 @@ def scratch_dir(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = _local_dirs.setdefault(app, tempfile.mkdtemp(prefix="labelmill-"))
+        if app not in _local_dirs:
+            _local_dirs[app] = tempfile.mkdtemp(prefix="labelmill-")
+        base = _local_dirs[app]
     return f"{base.rstrip('/')}/labelmill/{app}"
 
 

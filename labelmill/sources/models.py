@@ -11,6 +11,7 @@ from labelmill import schemas
 from labelmill.operators.labels import MAX_CLASSES, Classes
 from labelmill.operators.naive_bayes import NaiveBayesModel
 from labelmill.scratch import table_bytes
+from labelmill.sources.samples import CSV_OPTIONS
 
 
 def save_classes(spark: SparkSession, classes: Classes, path: str) -> None:
@@ -59,5 +60,9 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 def write_errors(report: DataFrame, path: str) -> None:
     """Error report as CSV, keeping its order."""
     report.select(*[F.col(f.name) for f in schemas.ERRORS]).write.mode("overwrite").options(
-        header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **CSV_OPTIONS
     ).csv(path)
+
+
+def read_errors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.ERRORS).options(multiLine=True, **CSV_OPTIONS).csv(path)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from labelmill.operators.labels import Classes
 from labelmill.operators.naive_bayes import NaiveBayesModel
 from labelmill.plans.scoring import answer_logistic, predict
+from labelmill.sources.requests import rejected, with_request_text
 
 
 def answer_stream(
@@ -26,6 +27,17 @@ def answer_stream(
     )
 
 
+def reject_stream(requests: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """The request lines ``answer_stream`` does not answer because they are not valid."""
+    return (
+        rejected(with_request_text(requests))
+        .writeStream.format("text")
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start(out)
+    )
+
+
 def score_stream(
     texts: DataFrame,
     model: NaiveBayesModel,

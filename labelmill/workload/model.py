@@ -99,6 +99,13 @@ def error_report(spark, sf):
     return evaluate.error_report(evaluate.misclassified(materialize(predicted, "predicted")))
 
 
+def error_report_csv(spark, sf):
+    """The error report written as CSV and read back."""
+    path = new_path(spark, "errors")
+    models.write_errors(error_report(spark, sf), path)
+    return models.read_errors(spark, path)
+
+
 def embedding_argmax(spark, sf):
     """``embeddings`` as logits: softmax, arg-max and confidence per row."""
     z = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("z"))
@@ -154,7 +161,7 @@ def logistic_search(spark, sf):
     return selection.early_stop(runs)
 
 
-def naive_bayes_round_trip(spark, sf):
+def nb_roundtrip(spark, sf):
     """Predictions of a model that was saved and loaded."""
     p = training.prepare(samples(spark, sf))
     path = new_path(spark, "model")
@@ -174,7 +181,7 @@ def lr_predict(spark, sf):
     return scored.select("id", "label", "prediction", "confidence")
 
 
-def lr_round_trip(spark, sf):
+def model_roundtrip(spark, sf):
     from pyspark.ml import PipelineModel
 
     p, model = _lr(spark, sf)
@@ -267,6 +274,12 @@ def _candidate_sql(candidate: int, smoothing: float) -> str:
 
 SEARCH = " UNION ALL ".join(_candidate_sql(i, x) for i, x in enumerate(SMOOTHINGS, start=1))
 ALL_DOCUMENTS = "SELECT doc_id AS id, text, lang AS label FROM documents"
+ERRORS = """CASE WHEN length(f.text) > 120 THEN substring(f.text, 1, 120) || '...' ELSE f.text END AS text,
+  b.label AS true_label, b.prediction AS predicted_label, round_even(b.confidence, 1) AS confidence_pct,
+  round_even(round_even(p.p * 100, 2), 1) AS true_class_prob
+  FROM best b JOIN folds f ON f.id = b.id JOIN probs p ON p.id = b.id AND p.class_name = b.label
+  WHERE b.label <> b.prediction"""
+
 BEST_LANG = "id, label, class_id, prediction, confidence FROM best"
 
 QUERIES = {
@@ -319,15 +332,8 @@ QUERIES = {
                    count(*) FILTER (prediction = 'es') AS es, count(*) FILTER (prediction = 'fr') AS fr
             FROM best GROUP BY label""",
     ),
-    "error_report": (
-        error_report,
-        f"""WITH {nb_sql('source')}
-            SELECT b.id, CASE WHEN length(f.text) > 120 THEN substring(f.text, 1, 120) || '...' ELSE f.text END AS text,
-                   b.label AS true_label, b.prediction AS predicted_label, round_even(b.confidence, 1) AS confidence_pct,
-                   round_even(round_even(p.p * 100, 2), 1) AS true_class_prob
-            FROM best b JOIN folds f ON f.id = b.id JOIN probs p ON p.id = b.id AND p.class_name = b.label
-            WHERE b.label <> b.prediction""",
-    ),
+    "error_report": (error_report, f"WITH {nb_sql('source')} SELECT b.id, {ERRORS}"),
+    "error_report_csv": (error_report_csv, f"WITH {nb_sql('source')} SELECT {ERRORS}"),
     "embedding_argmax": (
         embedding_argmax,
         """SELECT vec_id, CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS class_id,
@@ -356,11 +362,11 @@ QUERIES = {
     "run_log": (run_log, f"WITH {EVENT_RUNS} SELECT run_id, candidate, 'f1_macro' AS metric, value FROM runs"),
     "smoothing_search": (smoothing_search, SEARCH),
     "logistic_search": (logistic_search, None),
-    "naive_bayes_round_trip": (
-        naive_bayes_round_trip, f"WITH {nb_sql()} SELECT id, label, prediction, confidence FROM best",
+    "nb_roundtrip": (
+        nb_roundtrip, f"WITH {nb_sql()} SELECT id, label, prediction, confidence FROM best",
     ),
     "lr_predict": (lr_predict, None),
-    "lr_round_trip": (lr_round_trip, None),
+    "model_roundtrip": (model_roundtrip, None),
     "stream_score": (
         stream_score,
         f"WITH {nb_sql(scored=ALL_DOCUMENTS)} SELECT id, prediction, confidence FROM best",

@@ -53,7 +53,7 @@ ENCODE = f"""
     LEFT JOIN vocab v USING (token) GROUP BY id) t ON d.id = t.id"""
 
 
-def training_examples(spark, sf):
+def pad_mask(spark, sf):
     """Per fold: ids cut at 64 positions as the encoder does, padded, masked, with their class."""
     p = prepare(samples(spark, sf))
     vocab = materialize(tokens.vocabulary(p.fold("train"), min_df=2), "vocabulary")
@@ -72,7 +72,7 @@ def training_examples(spark, sf):
     )
 
 
-TRAINING_EXAMPLES = f"""
+PAD_MASK = f"""
 WITH {corpus_sql()},
 split AS (SELECT id, fold, class_id, {WORDS} AS words FROM folds),
 train_rows AS (SELECT id, unnest(words) AS token FROM split WHERE fold = 'train'),
@@ -147,6 +147,6 @@ QUERIES = {
     ),
     "vocabulary": (vocabulary, f"WITH {VOCABULARY} SELECT token, n, doc_freq, token_id FROM vocab"),
     "encode_ids": (encode_ids, f"WITH {VOCABULARY} {ENCODE}"),
-    "training_examples": (training_examples, TRAINING_EXAMPLES),
+    "pad_mask": (pad_mask, PAD_MASK),
     "subword_pieces": (subword_pieces, SUBWORDS),
 }

@@ -240,6 +240,9 @@ def test_logistic_learns_saves_and_answers_a_stream(spark, make, tmp_path):
     q.awaitTermination()
     answers = spark.read.text(out).select(F.from_json("value", "prediction string, confidence double").alias("a"))
     assert sorted(values(answers, "a.prediction", "a.confidence")) == sorted(values(scored, "prediction", "confidence"))
+    refused = str(tmp_path / "refused")
+    streams.reject_stream(spark.readStream.text(inbox), refused, str(tmp_path / "cp2")).awaitTermination()
+    assert sorted(values(spark.read.text(refused))) == [("no json",), ('{"txt":"hi"}',)]
 
 
 def test_model_selection(make):

@@ -21,7 +21,7 @@ def test_query_equals_sql(spark, duck, name):
     assert verdict.startswith("ok"), verdict
 
 
-@pytest.mark.parametrize("name", ["lr_predict", "lr_round_trip"])
+@pytest.mark.parametrize("name", ["lr_predict", "model_roundtrip"])
 def test_logistic_queries(spark, name):
     got = queries()[name](spark, SMOKE_DIR).collect()
     right = sum(r["label"] == r["prediction"] for r in got)
