@@ -82,25 +82,17 @@ def subwords(
     max_word_chars: int = MAX_WORD_CHARS,
     unk_id: int = UNK,
 ) -> DataFrame:
-    """(id, pieces, input_ids) per text; a word that cannot be spelled becomes one [UNK].
+    """(id, input_ids): piece ids per text; a word that cannot be spelled becomes one [UNK].
 
-    Only distinct words are segmented; their pieces are then joined back to the texts.
+    Only distinct words are segmented; their piece ids are then joined back to the texts.
     """
     rows = df.select(id, F.posexplode_outer(words(F.col(text))).alias("pos", "word"))
     distinct_words = rows.where(F.col("word").isNotNull()).select("word").distinct()
-    spelled = materialize(segment_words(distinct_words, vocab, max_word_chars), "segmented")
-    found = lookup_join(rows, spelled, "word", id)
-    item = F.struct(
-        "pos",
-        F.coalesce("pieces", F.array(F.lit("[UNK]"))).alias("pieces"),
-        F.coalesce("piece_ids", F.array(F.lit(unk_id))).alias("piece_ids"),
-    )
+    spelled = segment_words(distinct_words, vocab, max_word_chars).select("word", "piece_ids")
+    found = lookup_join(rows, materialize(spelled, "segmented"), "word", id)
+    item = F.struct("pos", F.coalesce("piece_ids", F.array(F.lit(unk_id))).alias("piece_ids"))
     return (
         found.groupBy(id)
         .agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), item))).alias("items"))
-        .select(
-            id,
-            F.flatten("items.pieces").alias("pieces"),
-            F.flatten("items.piece_ids").alias("input_ids"),
-        )
+        .select(id, F.flatten("items.piece_ids").alias("input_ids"))
     )

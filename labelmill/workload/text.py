@@ -93,15 +93,26 @@ SELECT id, fold, class_id, ids || repeat(',0', longest - size) AS input_ids,
 FROM sized"""
 
 
-def subword_pieces(spark, sf):
+def _pieces(spark, sf):
     """Pieces taken from the words of ``conversations``, each usable at the start and inside."""
     turns = materialize(tokens.token_stats(table(spark, sf, "conversations")).where("n >= 3 AND length(token) <= 12"))
     starts = turns.select(F.col("token").alias("piece"))
     inside = turns.select(F.concat(F.lit(sub.CONTINUATION), "token").alias("piece"))
     pieces = tokens.with_dense_ids(starts.union(inside), [F.asc("piece")], "token_id", start=4)
-    vocab = materialize(pieces, "pieces")
-    found = sub.subwords(spread_samples(spark, sf), vocab)
-    return found.select("id", F.array_join("pieces", " ").alias("pieces"), joined("input_ids").alias("input_ids"))
+    return materialize(pieces, "pieces")
+
+
+def subword_pieces(spark, sf):
+    """Every distinct word of the documents that the pieces can spell."""
+    rows = spread_samples(spark, sf).select(F.explode(words(F.col("text"))).alias("word"))
+    spelled = sub.segment_words(rows.distinct(), _pieces(spark, sf))
+    return spelled.select("word", F.array_join("pieces", " ").alias("pieces"))
+
+
+def subword_ids(spark, sf):
+    """Whole documents as piece ids."""
+    found = sub.subwords(spread_samples(spark, sf), _pieces(spark, sf))
+    return found.select("id", joined("input_ids").alias("input_ids"))
 
 
 SUBWORDS = rf"""
@@ -125,12 +136,13 @@ walk AS (
   UNION ALL
   SELECT w.word, w.reached + h.len, w.pieces || ' ' || h.piece, w.ids || ',' || CAST(h.token_id AS VARCHAR)
   FROM walk w JOIN hits h ON h.word = w.word AND h.start = w.reached AND h.rn = 1),
-spelled AS (SELECT word, substring(pieces, 2) AS pieces, substring(ids, 2) AS ids FROM walk WHERE reached = length(word) + 1),
+spelled AS (SELECT word, substring(pieces, 2) AS pieces, substring(ids, 2) AS ids FROM walk WHERE reached = length(word) + 1)"""
+
+SUBWORD_IDS = f"""{SUBWORDS},
 texts AS (
-  SELECT o.id, string_agg(coalesce(s.pieces, '[UNK]'), ' ' ORDER BY o.pos) AS pieces,
-         string_agg(coalesce(s.ids, '1'), ',' ORDER BY o.pos) AS input_ids
+  SELECT o.id, string_agg(coalesce(s.ids, '1'), ',' ORDER BY o.pos) AS input_ids
   FROM occurrences o LEFT JOIN spelled s ON s.word = o.word GROUP BY o.id)
-SELECT d.doc_id AS id, coalesce(t.pieces, '') AS pieces, coalesce(t.input_ids, '') AS input_ids
+SELECT d.doc_id AS id, coalesce(t.input_ids, '') AS input_ids
 FROM documents d LEFT JOIN texts t ON t.id = d.doc_id"""
 
 
@@ -148,5 +160,6 @@ QUERIES = {
     "vocabulary": (vocabulary, f"WITH {VOCABULARY} SELECT token, n, doc_freq, token_id FROM vocab"),
     "encode_ids": (encode_ids, f"WITH {VOCABULARY} {ENCODE}"),
     "pad_mask": (pad_mask, PAD_MASK),
-    "subword_pieces": (subword_pieces, SUBWORDS),
+    "subword_pieces": (subword_pieces, f"{SUBWORDS} SELECT word, pieces FROM spelled"),
+    "subword_ids": (subword_ids, SUBWORD_IDS),
 }

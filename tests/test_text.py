@@ -94,9 +94,11 @@ def test_subwords_against_brute_force(spark, make):
     words += ["".join(rng.choice("abelfunzé") for _ in range(rng.randint(1, 9))) for _ in range(200)]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(60)]
     ids = {p: i for i, p in enumerate(pieces, start=4)} | {"[UNK]": 1}
-    want = {}
-    for i, t in enumerate(texts):
-        spelled = [p for w in t.split() for p in greedy(w, ids)]
-        want[i] = (spelled, [ids[p] for p in spelled])
+    want = {i: [ids[p] for w in t.split() for p in greedy(w, ids)] for i, t in enumerate(texts)}
     got = sub.subwords(make([(t, "x") for t in texts]), vocab)
-    assert {r["id"]: (r["pieces"], r["input_ids"]) for r in got.collect()} == want
+    assert {r["id"]: r["input_ids"] for r in got.collect()} == want
+
+    distinct = spark.createDataFrame([(w,) for w in set(words)], "word string")
+    spelled = {r["word"]: (r["pieces"], r["piece_ids"]) for r in sub.segment_words(distinct, vocab).collect()}
+    by_hand = {w: greedy(w, ids) for w in words}
+    assert spelled == {w: (p, [ids[x] for x in p]) for w, p in by_hand.items() if p != ["[UNK]"]}
