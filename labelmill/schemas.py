@@ -16,6 +16,8 @@ ORD = T.StructType(
     ]
 )
 
+SAMPLES_IN_ORDER = T.StructType([*SAMPLES.fields, T.StructField("ord", ORD)])
+
 RUNS = T.StructType(
     [
         T.StructField("run_id", T.StringType()),

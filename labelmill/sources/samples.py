@@ -47,7 +47,7 @@ def file_order() -> Column:
 
 
 def empty_samples(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], schemas.SAMPLES).withColumn("ord", row_order(F.lit(0)))
+    return spark.createDataFrame([], schemas.SAMPLES_IN_ORDER)
 
 
 def read_samples(
