@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelmill.llm.arrays import chunks, select_text
+from labelmill.llm.token_counts import byte_letters
 from labelmill.llm.word_cache import WordCache
 from labelmill.scratch import materialize
 
@@ -40,11 +41,26 @@ PIECE_SCHEMA = (
 )
 
 
+
+def as_bytes(ids: list[list[int]]) -> list[bytes]:
+    raw = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+    ends = (4 * np.cumsum([len(i) for i in ids])).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+
+#: Signs that are a pre-token of their own after letters.
+SIGNS = frozenset(".,;:!?")
+#: Below this character, a word of letters is NFC already and its lower case is the plain one.
+LATIN_END = "\u0180"
+
+
 class WordIds:
     """Ids of white-space separated words by a ``tokenizers`` file, as little-endian uint32 bytes.
 
     The file's pre-tokens never reach across white space, so a text's ids are those of its
-    words in turn, and the library sees each distinct word about once.
+    words in turn, and each distinct word is worked out about once. Latin letters, alone or with
+    one sign after them, are lower-cased here and go to the library's model as the one or two
+    pre-tokens they are; any other word goes through the library's whole pipeline.
     """
 
     def __init__(self, path: str):
@@ -52,14 +68,35 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.cache = WordCache(self.encode_words)
+        self.letters_cache = WordCache(self.encode_letters, 150_000)
+
+    def encode_letters(self, runs: list[str]) -> list[bytes]:
+        spell, tokenize = dict(enumerate(self.letters)), self.model.tokenize
+        spelt = [r if r.isascii() else r.encode().decode("latin-1").translate(spell) for r in runs]
+        return as_bytes([[t.id for t in tokenize(s)] for s in spelt])
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        raw = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
-        ends = (4 * np.cumsum([len(i) for i in ids])).tolist()
-        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+        simple, whole = {}, []
+        for raw in words:
+            word = raw.decode()
+            low = word.lower()
+            if not low.isalpha() and low[-1] in SIGNS:
+                low, sign = low[:-1], low[-1]
+            else:
+                sign = ""
+            if low.isalpha() and (word.isascii() or max(word) < LATIN_END):
+                simple[raw] = low, sign
+            else:
+                whole.append(raw)
+        self.letters_cache.fill({*SIGNS, *(low for low, _ in simple.values())})
+        ids = self.letters_cache
+        found = {raw: ids[low] + ids[sign] if sign else ids[low] for raw, (low, sign) in simple.items()}
+        rest = self.tokenizer.encode_batch_fast([w.decode() for w in whole], add_special_tokens=False)
+        found.update(zip(whole, as_bytes([e.ids for e in rest])))
+        return [found[w] for w in words]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words = [t.split() for t in texts]

@@ -58,7 +58,7 @@ class Pieces:
                 self.by_length[n] = hashes[order], np.array([i for _, i in same], np.int64)[order]
         pairs = {(a, b) for p in self.ids for a, b in zip(p, p[1:])}
         self.adjacent = np.sort(np.array([ord(a) << 21 | ord(b) for a, b in pairs], np.int64))
-        self.fits = WordCache(self.fit_pairs, 600_000)
+        self.fits = WordCache(self.fit_pairs, 400_000)
         self.cache = WordCache(self.encode_words)
         self.bytes_of = [BLANK.encode() if p is None else p.replace(BLANK, " ").encode() for p in self.text]
         for b, i in self.byte_ids.items():
