@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import exact_dedup, language_id, packing, quality_rules, sentencepieces, token_counts, url_filters
+from labelmill.llm import exact_dedup, language_id, near_dedup, packing, quality_rules, sentencepieces, token_counts, url_filters
 from labelmill.llm.ship import ship
 
 
@@ -22,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents")).drop("row_id")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -116,6 +120,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_near_dedup": (op1_near_dedup, None),
     "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
     "op4_packing": (op4_packing, None),
     "op5_url_filters": (op5_url_filters, OP5_SQL),
