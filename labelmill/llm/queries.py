@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import exact_dedup, language_id, near_dedup, packing, quality_rules, sentencepieces, token_counts, url_filters
+from labelmill.llm import exact_dedup, language_id, near_dedup, packing, quality_rules, sentencepieces, substring_dedup, token_counts, url_filters
 from labelmill.llm.ship import ship
 
 
@@ -91,6 +91,33 @@ ranked AS (
 SELECT doc_id, keep_id, group_size, nth = 1 AS kept, text_sha256 FROM ranked"""
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH lists AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM lists WHERE len(w) >= 50)),
+owned AS (SELECT h, min(doc_id) AS owner FROM windows GROUP BY h),
+late AS (
+  SELECT w.doc_id, list(w.p) AS ps FROM windows w JOIN owned o USING (h) WHERE o.owner < w.doc_id GROUP BY w.doc_id),
+gone AS (
+  SELECT doc_id, list(DISTINCT q) AS qs
+  FROM (SELECT doc_id, unnest(range(p, p + 50)) AS q FROM (SELECT doc_id, unnest(ps) AS p FROM late)) GROUP BY doc_id),
+words AS (SELECT l.doc_id, l.w, coalesce(g.qs, []) AS qs FROM lists l LEFT JOIN gone g USING (doc_id)),
+kept AS (
+  SELECT doc_id, coalesce(string_agg(word, ' ' ORDER BY i), '') AS text
+  FROM (SELECT l.doc_id, unnest(l.w) AS word, unnest(range(1, len(l.w) + 1)) AS i FROM lists l) x
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, unnest(qs) AS q FROM gone) g WHERE g.doc_id = x.doc_id AND g.q = x.i)
+  GROUP BY doc_id)
+SELECT w.doc_id, len(w.w) AS n_words, CAST(len(w.qs) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k USING (doc_id)"""
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -124,6 +151,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
     "op4_packing": (op4_packing, None),
     "op5_url_filters": (op5_url_filters, OP5_SQL),
+    "op6_substring_dedup": (op6_substring_dedup, OP6_SQL),
     "op7_token_counts": (op7_token_counts, None),
     "op8_sentencepiece": (op8_sentencepiece, None),
     "op9_language_id": (op9_language_id, None),
