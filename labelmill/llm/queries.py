@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelmill.llm import exact_dedup, language_id, near_dedup, packing, quality_rules, sentencepieces, substring_dedup, token_counts, url_filters
+from labelmill.llm import (
+    exact_dedup,
+    language_id,
+    lm_scores,
+    near_dedup,
+    packing,
+    quality_rules,
+    sentencepieces,
+    substring_dedup,
+    token_counts,
+    url_filters,
+)
 from labelmill.llm.ship import ship
 
 
@@ -31,6 +42,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.score(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -149,6 +164,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_near_dedup": (op1_near_dedup, None),
     "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
+    "op3_lm_scores": (op3_lm_scores, None),
     "op4_packing": (op4_packing, None),
     "op5_url_filters": (op5_url_filters, OP5_SQL),
     "op6_substring_dedup": (op6_substring_dedup, OP6_SQL),
