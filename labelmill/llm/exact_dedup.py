@@ -31,6 +31,8 @@ from labelmill.scratch import materialize, new_path
 
 #: Digests a filter is built for, and the bound of what one task probes at once.
 SHARD_KEYS = 50_000
+#: Column with an id per row, made from its place in its file unless the caller has one.
+ROW_COL = "__row_id"
 WHITE = b" \t\n\x0b\x0c\r"
 
 FILTER_SCHEMA = "shard int, seed int, segment int, segments int, fingerprints binary"
@@ -177,14 +179,17 @@ def dedup_batch(
     return classes, materialize(same_bytes(pairs, docs, row_col, text_col), "same_bytes")
 
 
-def dedup(docs: DataFrame, first: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(
+    docs: DataFrame, first: Column | None = None, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
+) -> DataFrame:
     """One row per document: (row_id, doc_id, keep_id, group_size, kept, text_sha256).
 
     Rows where ``first``, an expression on ``doc_id``, holds (default: by a hash, about half) are
-    the snapshot, the others a batch that comes later.
+    the snapshot, the others a batch that comes later. ``row_col`` names an id of its own per row.
     """
-    spark, row_col = docs.sparkSession, "__row_id"
-    keyed = with_row_id(docs, row_col)
+    spark = docs.sparkSession
+    keyed = docs if row_col else with_row_id(docs, ROW_COL)
+    row_col = row_col or ROW_COL
     rows = digests(keyed, row_col, id_col, text_col)
     early = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0 if first is None else first
     rows = materialize(rows.withColumn("late", ~F.coalesce(early, F.lit(False))), "digests")

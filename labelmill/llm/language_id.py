@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql import types as T
 
 from labelmill.llm.arrays import CHUNK_BYTES, chunks, select_text, text_bytes
 
@@ -147,24 +148,29 @@ def fit(
     return Model(languages, (marks.T @ weights.astype(np.float32)))
 
 
+def classify(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the language, score) of each text; one past the last index is ``und``."""
+    languages, weights = model.languages, model.weights
+    data, offsets = text_bytes(texts)
+    known = has_letter(data, offsets, texts) & (len(languages) > 0)
+    best, score = np.full(len(known), len(languages)), np.zeros(len(known))
+    if known.any():
+        flags = presence(data, offsets)
+        raw = (flags.astype(np.float32) @ weights).astype(np.float64)
+        raw /= np.sqrt(np.maximum(flags.sum(axis=1), 1))[:, None]
+        best = np.where(known, raw.argmax(axis=1), best)
+        score = np.where(known, np.clip((raw.max(axis=1) + 1) / 2, 0, 1), 0.0)
+    return best, score
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, weights = shared.value.languages, shared.value.weights
-        names = np.array([*languages, UNKNOWN], object)
+        names = np.array([*shared.value.languages, UNKNOWN], object)
         for part in chunks(batches, max_rows=ROWS_A_PRODUCT):
-            texts = part.column("text")
-            data, offsets = text_bytes(texts)
-            known = has_letter(data, offsets, texts) & (len(languages) > 0)
-            best, score = np.full(len(known), len(languages)), np.zeros(len(known))
-            if known.any():
-                flags = presence(data, offsets)
-                raw = (flags.astype(np.float32) @ weights).astype(np.float64)
-                raw /= np.sqrt(np.maximum(flags.sum(axis=1), 1))[:, None]
-                best = np.where(known, raw.argmax(axis=1), best)
-                score = np.where(known, np.clip((raw.max(axis=1) + 1) / 2, 0, 1), 0.0)
+            best, score = classify(part.column("text"), shared.value)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": part.column("doc_id"),
@@ -176,3 +182,18 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     rows = select_text(docs, id_col, text_col).withColumn("held_out", held_out(F.col("doc_id")))
     return rows.mapInArrow(run, SCHEMA)
+
+
+def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The whole rows of ``docs`` whose language is one of the model's."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, max_rows=ROWS_A_PRODUCT):
+            best, _ = classify(part.column("text"), shared.value)
+            yield part.select(["row"]).filter(pa.array(best < len(shared.value.languages)))
+
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
+    rows = docs.select(text, F.struct("*").alias("row"))
+    schema = T.StructType([f for f in rows.schema if f.name == "row"])
+    return rows.mapInArrow(run, schema).select("row.*")

@@ -36,6 +36,8 @@ SIMILARITY = 0.8
 BANDS = 20
 ROWS = 5
 SMALL = 8
+#: Column with an id per row, made from its place in its file unless the caller has one.
+ROW_COL = "__row_id"
 #: Ids up to this number are sent to all tasks to find the texts to compare; more are shuffled.
 SENT_IDS = 1_000_000
 
@@ -201,13 +203,15 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, row_col: str,
     return rows.select("a", "b", "x", "x_counts", "y", "y_counts").mapInArrow(compare, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(
+    docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
+) -> DataFrame:
     """One row per document: (row_id, doc_id, class_id, class_size, copies, kept).
 
     ``class_id`` is the id of the class's row that stays, ``copies`` how many rows have the same words.
     """
-    row_col = "__row_id"
-    keyed = with_row_id(docs, row_col)
+    keyed = docs if row_col else with_row_id(docs, ROW_COL)
+    row_col = row_col or ROW_COL
     rows = materialize(sketches(keyed, row_col, id_col, text_col), "sketches")
     best = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("row_id").alias("row_id"))
     groups = rows.groupBy("d1", "d2").agg(F.min(best).alias("best"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))

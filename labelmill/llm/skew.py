@@ -54,6 +54,13 @@ def join_counted(rows: DataFrame, per_key: DataFrame, keys: list[str], count: st
     return salted.drop("_salts").join(repeated, [*keys, "_salt"]).drop("_salt")
 
 
+def without_rows(keyed: DataFrame, dropped: DataFrame, row_col: str, max_rows: int = 1_000_000) -> DataFrame:
+    """``keyed`` without the rows named in ``dropped`` (written, column ``row_id``), and without ``row_col``."""
+    ids = dropped.select(F.col("row_id").alias(row_col))
+    side = F.broadcast(ids) if ids.count() <= max_rows else ids.hint("shuffle_hash")
+    return keyed.join(side, row_col, "left_anti").drop(row_col)
+
+
 def only_ids(docs: DataFrame, ids: DataFrame, id_col: str, max_bytes: int = 64 << 20) -> DataFrame:
     """Rows of ``docs`` whose ``id_col`` is in ``ids`` (written, one column): sent to all if measured small."""
     n = ids.count()
