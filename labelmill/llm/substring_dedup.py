@@ -152,10 +152,10 @@ def occurrences(rows: DataFrame, recurring: np.ndarray, unlike: np.ndarray) -> D
             more = is_set(some, phrase)
             windows, owner = spread(lo[more], hi[more])
             w1, w2 = (range_hashes(words, windows, windows + WINDOW, k) for k in (0, 1))
-            doc, phrase = doc[more][owner], phrase[more][owner]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a) for a in (bucket[doc], ids[doc], phrase.view(np.int64), w1.view(np.int64), w2.view(np.int64))], schema=schema
-            )
+            doc = doc[more][owner]
+            none = pa.nulls(len(doc), pa.int64())
+            hashes = [pa.array(w.view(np.int64)) for w in (w1, w2)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[doc]), pa.array(ids[doc]), none, *hashes], schema=schema)
 
     return rows.select("bucket", "doc", "text").mapInArrow(run, "bucket long, doc long, phrase long, w1 long, w2 long")
 
@@ -177,10 +177,10 @@ def owners(where: DataFrame, phrases: DataFrame) -> DataFrame:
         F.lit(None).cast("long").alias("w2"),
         F.when(F.col("alike"), F.col("owner")).alias("owner"),
     )
-    windows = where.where("w1 IS NOT NULL").groupBy("bucket", "phrase", "w1", "w2").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    windows = where.where("w1 IS NOT NULL").groupBy("bucket", "w1", "w2").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     repeated = windows.groupBy("w1", "w2").agg(F.min("low").alias("owner"), F.max("high").alias("other")).where("owner < other")
     mine = windows.join(repeated.drop("other"), ["w1", "w2"]).where("high > owner")
-    return like.unionByName(mine.select("bucket", "phrase", "w1", "w2", "owner"))
+    return like.unionByName(mine.select("bucket", F.lit(None).cast("long").alias("phrase"), "w1", "w2", "owner"))
 
 
 def removed_words(part: pa.Table, known: pa.Table, words: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -190,7 +190,7 @@ def removed_words(part: pa.Table, known: pa.Table, words: np.ndarray, first: np.
     ids = np.asarray(part.column("doc"))
     columns = {n: known.column(n).combine_chunks() for n in ("phrase", "w1", "w2", "owner")}
     is_phrase = np.asarray(columns["w1"].is_null())
-    keys = np.asarray(columns["phrase"])[is_phrase].view(np.uint64)
+    keys = np.asarray(columns["phrase"].fill_null(0))[is_phrase].view(np.uint64)
     owner = np.asarray(columns["owner"].fill_null(-1))
     alike = np.asarray(columns["owner"].is_valid())
     order = np.argsort(keys)
