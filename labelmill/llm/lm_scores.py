@@ -1,7 +1,7 @@
 """Language-model scores from a log-frequency Bloom filter of quantised bigram counts.
 
-One pass counts tokens and bigrams of the training documents in numpy and deals the counts into
-shards by key. Each shard sums its keys; its bigram counts, quantised to powers of two, become a
+Two passes count tokens and bigrams of the training documents in numpy and deal the counts into
+shards by key; only such sums are shuffled. Each shard sums its keys; its bigram counts, quantised to powers of two, become a
 segment of the filter: a key of level q is inserted as (key, 1) to (key, q). All segments together
 have at most ``MAX_BITS`` bits and are broadcast; with more bigrams than that holds well, wrong
 levels get more frequent, and nothing is left out. A count is read by asking for level after level
@@ -38,7 +38,7 @@ MAX_LEVEL = 40
 BUCKET_BYTES = 8 << 20
 END = np.uint64(0x6A09E667F3BCC909)
 
-COUNT_SCHEMA = "bigrams boolean, shard long, buckets binary, keys binary, counts binary"
+COUNT_SCHEMA = "shard long, buckets binary, keys binary, counts binary"
 SCORE_SCHEMA = (
     "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 )
@@ -74,33 +74,32 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((mix(keys, 7) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def count_rows(rows: DataFrame, shards: int) -> DataFrame:
-    """Counts per chunk and shard: of tokens by bucket (0 where only held-out rows have one), of bigrams."""
+def count_rows(rows: DataFrame, shards: int, of_bigrams: bool) -> DataFrame:
+    """Counts per chunk and shard: of bigrams, or of tokens by bucket (0 where only held-out rows have one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, BUCKET_BYTES):
             ids, first = tokens(part.column("text"))
             doc = np.repeat(np.arange(part.num_rows), np.diff(first))
             learn = ~np.asarray(part.column("held_out"), bool)[doc]
-            bucket = np.asarray(part.column("bucket"), np.int64)[doc]
-            shard = shard_of(ids, shards)
+            if of_bigrams:
+                pairs, n = np.unique(bigrams(ids, first)[learn], return_counts=True)
+                shard = shard_of(pairs, shards)
+                order = np.argsort(shard, kind="stable")
+                yield pack(shard[order], None, pairs[order], n[order])
+                continue
+            bucket, shard = np.asarray(part.column("bucket"), np.int64)[doc], shard_of(ids, shards)
             order = np.lexsort((ids, bucket, shard))
-            ids_, bucket, shard, seen = ids[order], bucket[order], shard[order], learn[order].astype(np.uint32)
-            new = np.append(True, (ids_[1:] != ids_[:-1]) | (bucket[1:] != bucket[:-1]))
-            heads = np.flatnonzero(new)
-            yield pack(False, shard[heads], bucket[heads], ids_[heads], np.add.reduceat(seen, heads))
-            pairs, n = np.unique(bigrams(ids, first)[learn], return_counts=True)
-            shard = shard_of(pairs, shards)
-            order = np.argsort(shard, kind="stable")
-            yield pack(True, shard[order], None, pairs[order], n[order])
-
-    def pack(is_pair: bool, shard: np.ndarray, bucket: np.ndarray | None, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            ids, bucket, shard, seen = ids[order], bucket[order], shard[order], learn[order].astype(np.uint32)
+            heads = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (bucket[1:] != bucket[:-1])))
+            yield pack(shard[heads], bucket[heads], ids[heads], np.add.reduceat(seen, heads))
+
+    def pack(shard: np.ndarray, bucket: np.ndarray | None, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         heads = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[: len(shard)])
         spans = list(zip(heads.tolist(), [*heads[1:].tolist(), len(shard)]))
         n = n.astype("<u4")
         return pa.RecordBatch.from_pydict(
             {
-                "bigrams": pa.array([is_pair] * len(spans), pa.bool_()),
                 "shard": pa.array(shard[heads], pa.int64()),
                 "buckets": pa.array([b"" if bucket is None else bucket[a:b].tobytes() for a, b in spans], pa.binary()),
                 "keys": pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()),
@@ -138,7 +137,7 @@ def token_counts(counted: DataFrame) -> DataFrame:
             }
         )
 
-    rows = counted.where("NOT bigrams").groupBy("shard")
+    rows = counted.groupBy("shard")
     return rows.applyInArrow(run, "bucket long, keys binary, counts binary, n long, v long")
 
 
@@ -171,7 +170,7 @@ def segments(counted: DataFrame, most: int) -> DataFrame:
                 flags[place] = True
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(flags).tobytes()])})
 
-    return counted.where("bigrams").groupBy("shard").applyInArrow(run, "shard long, bits binary")
+    return counted.groupBy("shard").applyInArrow(run, "shard long, bits binary")
 
 
 class CountFilter:
@@ -217,11 +216,10 @@ def score(
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT[0] == HELD_OUT[1]
     rows = rows.withColumn("held_out", F.coalesce(held, F.lit(False)))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)))
-    counted = materialize(count_rows(rows, buckets), "token_and_bigram_counts")
-    known = materialize(token_counts(counted), "token_counts")
+    known = materialize(token_counts(count_rows(rows, buckets, of_bigrams=False)), "token_counts")
     total = known.where("bucket = -1").agg(F.sum("n"), F.sum("v")).first()
     n_train, n_distinct = total[0] or 0, total[1] or 0
-    parts = {r["shard"]: r["bits"] for r in segments(counted, max_bits // buckets).toLocalIterator()}
+    parts = {r["shard"]: r["bits"] for r in segments(count_rows(rows, buckets, of_bigrams=True), max_bits // buckets).toLocalIterator()}
     shared = docs.sparkSession.sparkContext.broadcast(CountFilter(parts, buckets))
 
     def run(part: pa.Table, mine: pa.Table) -> pa.Table:
