@@ -4,10 +4,11 @@ The model is of the merging kind, so the best path is the one its merges give. A
 is what merging gives exactly if each two neighbours, merged alone, stay these two pieces. That
 makes the score of a step local: 1 if the piece before and the piece fit, else nothing. All
 distinct words of one length advance together, position by position: substring hashes probe the
-sorted hashes of the pieces, the maximum over all piece lengths picks the step, and a
+sorted hashes of the pieces, the longest that fits is the maximum (one fits at most), and a
 backpointer keeps it. Whether two pieces fit is worked out once per pair and remembered.
 
-Words start where a blank follows something else; no piece reaches across. Characters without a
+Words start where a blank follows something else, and are cut once more where no piece has the
+two characters side by side; no piece reaches across. Characters without a
 piece become their bytes. Cases: a null or empty text has no ids and decodes to an empty text;
 the sign that stands for a blank decodes to a blank, as in the library; repeated rows are
 encoded each; an empty table gives an empty result; other columns are not read.
@@ -28,12 +29,16 @@ from labelmill.llm.arrays import chunks, range_hashes, select_text
 from labelmill.llm.word_cache import WordCache
 
 BLANK = "▁"
-#: Longer words are first cut where no piece of the vocabulary has the two characters side by side.
-LONG_WORD = 48
 WORDS_A_BLOCK = 4096
+NO_TOKEN = np.iinfo(np.int64).min
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
+def as_bytes(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class Pieces:
     """A merging SentencePiece model read for the Viterbi: sorted piece hashes and the fit of pairs."""
 
@@ -59,7 +64,7 @@ class Pieces:
         pairs = {(a, b) for p in self.ids for a, b in zip(p, p[1:])}
         self.adjacent = np.sort(np.array([ord(a) << 21 | ord(b) for a, b in pairs], np.int64))
         self.fits = WordCache(self.fit_pairs, 400_000)
-        self.cache = WordCache(self.encode_words)
+        self.cache, self.parts = WordCache(self.encode_words, 250_000), WordCache(self.encode_parts, 250_000)
         self.bytes_of = [BLANK.encode() if p is None else p.replace(BLANK, " ").encode() for p in self.text]
         for b, i in self.byte_ids.items():
             self.bytes_of[i] = bytes([b])
@@ -78,27 +83,34 @@ class Pieces:
         """Text of a token of the Viterbi: a piece, or a character without one (negative)."""
         return self.text[token] if token >= 0 else chr(-2 - token)
 
-    def merge(self, left: str, right: str) -> list[str]:
-        """The two texts merged as one, best score first and leftmost among equals."""
-        parts = [*left, *right]
-        while len(parts) > 1:
-            best = max(
-                ((self.scores[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.scores),
-                default=None,
-            )
-            if best is None:
+    def stays(self, left: str, right: str) -> bool:
+        """Whether merging both texts as one, best score first and leftmost among equals, ends with these two."""
+        parts, score, edge = [*left, *right], self.scores.get, len(left)
+        none = -np.inf
+        scores = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while scores:
+            best = max(scores)
+            if best == none:
                 break
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+            i = scores.index(best)
+            if i == edge - 1:
+                return False
+            if i < edge:
+                edge -= 1
+            parts[i] += parts.pop(i + 1)
+            del scores[i]
+            if i < len(scores):
+                scores[i] = score(parts[i] + parts[i + 1], none)
+            if i:
+                scores[i - 1] = score(parts[i - 1] + parts[i], none)
+        return len(parts) == (2 if left else 1)
 
     def fit_pairs(self, keys: list[int]) -> list[bool]:
         out = []
         for key in keys:
             before, token = (key >> 22) - (1 << 21), (key & ((1 << 22) - 1)) - (1 << 21)
             left = "" if before == -1 else self.spelling(before)
-            right = self.spelling(token)
-            out.append(self.merge(left, right) == ([left, right] if left else [right]))
+            out.append(self.stays(left, self.spelling(token)))
         return out
 
     def fit(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -116,62 +128,66 @@ class Pieces:
         last = np.full((n, length + 1), -1, np.int64)  # the piece that ends at a position
         back = np.zeros((n, length + 1), np.int64)  # its length
         for end in range(1, length + 1):
-            rows, tokens, sizes = [], [], []
-            for size in range(1, min(end, self.longest) + 1):
-                if size not in self.by_length:
+            open_ = np.arange(n)
+            for size in range(min(end, self.longest), 0, -1):
+                if size not in self.by_length or not len(open_):
                     continue
                 hashes, ids = self.by_length[size]
-                probe = range_hashes(flat, row0 + end - size, row0 + end)
+                probe = range_hashes(flat, row0[open_] + end - size, row0[open_] + end)
                 at = np.minimum(np.searchsorted(hashes, probe), len(hashes) - 1)
-                hit = hashes[at] == probe
-                token = ids[at]
-                if size == 1:
-                    token = np.where(hit, token, -2 - codes[:, end - 1])
-                    hit = np.ones(n, bool)
-                found = np.flatnonzero(hit)
-                rows.append(found)
-                tokens.append(token[found])
-                sizes.append(np.full(len(found), size))
-            rows, tokens, sizes = map(np.concatenate, (rows, tokens, sizes))
-            fits = self.fit(last[rows, end - sizes], tokens)
-            rows, tokens, sizes = rows[fits], tokens[fits], sizes[fits]
-            np.maximum.at(back[:, end], rows, sizes)
-            best = sizes == back[rows, end]
-            last[rows[best], end] = tokens[best]
-        ends = np.full(n, length)
-        steps = []
+                hit, token = hashes[at] == probe, ids[at]
+                if size == 1:  # exactly one step fits, so where no longer one does it is this
+                    fits, token = np.ones(len(open_), bool), np.where(hit, token, -2 - codes[open_, end - 1])
+                else:
+                    fits = hit.copy()
+                    fits[hit] = self.fit(last[open_[hit], end - size], token[hit])
+                last[open_[fits], end], back[open_[fits], end] = token[fits], size
+                open_ = open_[~fits]
+        ends, steps = np.full(n, length), []
         while (ends > 0).any():
-            open_ = ends > 0
-            steps.append(np.where(open_, last[np.arange(n), ends], np.iinfo(np.int64).min))
-            ends = np.where(open_, ends - back[np.arange(n), ends], 0)
+            here = np.arange(n), ends
+            steps.append(np.where(ends > 0, last[here], NO_TOKEN))
+            ends = ends - back[here]
         path = np.array(steps[::-1]).T
-        return [self.to_bytes(p[p > np.iinfo(np.int64).min]) for p in path]
-
-    def to_bytes(self, tokens: np.ndarray) -> bytes:
-        if (tokens < 0).any():
-            tokens = np.array(
-                [i for t in tokens.tolist() for i in ([t] if t >= 0 else map(self.byte_ids.get, chr(-2 - t).encode()))]
-            )
-        return tokens.astype("<u4").tobytes()
-
-    def cut_long(self, word: str) -> list[str]:
-        codes = np.frombuffer(word.encode("utf-32-le"), "<u4").astype(np.int64)
+        sizes = (path != NO_TOKEN).sum(axis=1)
+        found = as_bytes(path[path != NO_TOKEN], sizes)
+        for i in np.flatnonzero((path < 0).any(axis=1) & ((path < 0) & (path != NO_TOKEN)).any(axis=1)).tolist():
+            found[i] = self.with_bytes(path[i][path[i] != NO_TOKEN].tolist())
+        return found
+
+    def with_bytes(self, tokens: list[int]) -> bytes:
+        """Ids where characters without a piece are their bytes."""
+        ids = [i for t in tokens for i in ([t] if t >= 0 else map(self.byte_ids.get, chr(-2 - t).encode()))]
+        return np.array(ids, "<u4").tobytes()
+
+    def cut(self, words: list[str]) -> list[list[str]]:
+        """Each word cut where no piece of the vocabulary has the two characters side by side."""
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
         keys = codes[:-1] << 21 | codes[1:]
         at = np.minimum(np.searchsorted(self.adjacent, keys), len(self.adjacent) - 1)
-        cuts = (np.flatnonzero(self.adjacent[at] != keys) + 1).tolist()
-        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
-
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        parts = {w: self.cut_long(w) if len(w) > LONG_WORD else [w] for w in words}
+        cuts = np.flatnonzero(self.adjacent[at] != keys) + 1
+        ends = np.cumsum([len(w) for w in words])
+        bounds = np.union1d(cuts, ends)
+        text, bounds = "".join(words), bounds.tolist()
+        parts = [text[a:b] for a, b in zip([0, *bounds], bounds)]
+        stops = (np.searchsorted(bounds, ends) + 1).tolist()
+        return [parts[a:b] for a, b in zip([0, *stops], stops)]
+
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
         by_length: dict[int, list[str]] = {}
-        for p in set(chain.from_iterable(parts.values())):
+        for p in parts:
             by_length.setdefault(len(p), []).append(p)
         found = {}
         for same in by_length.values():
             for lo in range(0, len(same), WORDS_A_BLOCK):
                 block = same[lo : lo + WORDS_A_BLOCK]
                 found.update(zip(block, self.viterbi(block)))
-        return [b"".join(map(found.__getitem__, parts[w])) for w in words]
+        return [found[p] for p in parts]
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        parts = self.cut(words)
+        self.parts.fill(chain.from_iterable(parts))
+        return [b"".join(map(self.parts.__getitem__, ps)) for ps in parts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [_WORD.findall((BLANK + t).replace(" ", BLANK)) if t else [] for t in texts]
