@@ -26,6 +26,6 @@ def predict_logistic(df: DataFrame, model: PipelineModel, classes: Classes) -> D
 
 
 def answer_logistic(request_rows: DataFrame, model: PipelineModel, classes: Classes) -> DataFrame:
-    """JSON requests in column ``value`` to JSON responses; bad and blank requests give none."""
-    texts = drop_blank(requests.accepted(requests.with_request_text(request_rows)))
+    """JSON requests in column ``value`` to JSON responses; bad requests give none, blank texts are scored."""
+    texts = requests.accepted(requests.with_request_text(request_rows))
     return predict_logistic(texts, model, classes).select(requests.short_response().alias("value"))

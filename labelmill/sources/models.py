@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill import schemas
-from labelmill.operators.labels import MAX_CLASSES, Classes
+from labelmill.operators.labels import Classes
 from labelmill.operators.naive_bayes import NaiveBayesModel
 from labelmill.scratch import table_bytes
 from labelmill.sources.samples import CSV_OPTIONS
@@ -19,7 +19,7 @@ def save_classes(spark: SparkSession, classes: Classes, path: str) -> None:
 
 
 def load_classes(spark: SparkSession, path: str) -> Classes:
-    rows = spark.read.parquet(f"{path}/classes").limit(MAX_CLASSES).collect()
+    rows = spark.read.parquet(f"{path}/classes").collect()
     return Classes(tuple(r["class_name"] for r in sorted(rows, key=lambda r: r["class_id"])))
 
 
@@ -36,9 +36,12 @@ def save_naive_bayes(model: NaiveBayesModel, path: str) -> None:
 
 def load_naive_bayes(spark: SparkSession, path: str) -> NaiveBayesModel:
     tokens = spark.read.parquet(f"{path}/tokens")
-    priors = spark.read.parquet(f"{path}/priors").limit(MAX_CLASSES).collect()
+    priors = spark.read.parquet(f"{path}/priors").collect()
+    classes = load_classes(spark, path)
+    if len(priors) != len(classes):
+        raise ValueError(f"{path}: {len(priors)} priors for {len(classes)} classes")
     return NaiveBayesModel(
-        load_classes(spark, path),
+        classes,
         tuple(r["log_prior"] for r in sorted(priors, key=lambda r: r["class_id"])),
         tokens,
         table_bytes(tokens),

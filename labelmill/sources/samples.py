@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill import schemas
@@ -50,6 +50,16 @@ def empty_samples(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], schemas.SAMPLES_IN_ORDER)
 
 
+def _exists(reader: DataFrameReader, path: str) -> bool:
+    try:
+        reader.load(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def read_samples(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -62,18 +72,18 @@ def read_samples(
 
     ``null_tokens`` are texts to read as null (``PANDAS_NULLS`` gives pandas' reading).
     ``multi_line`` accepts line breaks inside quotes, at one task per CSV file; turn it off
-    to split big files that have none. With ``missing_ok`` an absent path reads as empty.
+    to split big files that have none. With ``missing_ok`` absent paths read as empty.
     """
     reader = spark.read.schema(schemas.SAMPLES)
     if fmt == "csv":
         reader = reader.options(multiLine=multi_line, **CSV_OPTIONS)
     paths = [path] if isinstance(path, str) else list(path)
-    try:
-        df = reader.format(fmt).load(paths)
-    except AnalysisException as e:
-        if missing_ok and e.getCondition() == "PATH_NOT_FOUND":
+    reader = reader.format(fmt)
+    if missing_ok:
+        paths = [p for p in paths if _exists(reader, p)]
+        if not paths:
             return empty_samples(spark)
-        raise
+    df = reader.load(paths)
     nulls = list(null_tokens)
 
     def read_null(name: str) -> Column:

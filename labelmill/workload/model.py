@@ -373,7 +373,7 @@ QUERIES = {
     ),
     "stream_answers": (
         stream_answers,
-        "SELECT count(*) AS answers, count(*) AS named, count(*) AS in_range FROM documents WHERE text <> ''",
+        "SELECT count(*) AS answers, count(*) AS named, count(*) AS in_range FROM documents WHERE text IS NOT NULL",
     ),
     "python_scorer": (
         python_scorer,

@@ -239,7 +239,9 @@ def test_logistic_learns_saves_and_answers_a_stream(spark, make, tmp_path):
     q = streams.answer_stream(spark.readStream.text(inbox), loaded, classes, out, str(tmp_path / "cp"))
     q.awaitTermination()
     answers = spark.read.text(out).select(F.from_json("value", "prediction string, confidence double").alias("a"))
-    assert sorted(values(answers, "a.prediction", "a.confidence")) == sorted(values(scored, "prediction", "confidence"))
+    blank = score_plan.predict_logistic(spark.createDataFrame([("  ",)], "text string"), loaded, classes)
+    wanted = values(scored, "prediction", "confidence") + values(blank, "prediction", "confidence")
+    assert sorted(values(answers, "a.prediction", "a.confidence")) == sorted(wanted)
     refused = str(tmp_path / "refused")
     streams.reject_stream(spark.readStream.text(inbox), refused, str(tmp_path / "cp2")).awaitTermination()
     assert sorted(values(spark.read.text(refused))) == [("no json",), ('{"txt":"hi"}',)]

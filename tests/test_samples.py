@@ -116,3 +116,9 @@ def test_literal_sources_keep_list_order(spark):
     kept = curate.dedup_keep_first(curate.union_sources([a, b]))
     assert sorted(values(kept, "text", "label")) == [("one", "a"), ("three", "b"), ("two", "a")]
     assert kept.where(F.col("source_rank") == 1).count() == 1
+
+
+def test_one_of_two_paths_is_absent(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("text,label\none,x\ntwo,y\n")
+    paths = [str(tmp_path / "a.csv"), str(tmp_path / "nope.csv")]
+    assert src.read_samples(spark, paths, missing_ok=True).count() == 2
