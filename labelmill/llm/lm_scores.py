@@ -1,9 +1,9 @@
 """Language-model scores from a log-frequency Bloom filter of quantised bigram counts.
 
 Two passes count tokens and bigrams of the training documents in numpy and deal the counts into
-shards by key; only such sums are shuffled. Each shard sums its keys; its bigram counts, quantised to powers of two, become a
-segment of the filter: a key of level q is inserted as (key, 1) to (key, q). All segments together
-have at most ``MAX_BITS`` bits and are broadcast; with more bigrams than that holds well, wrong
+shards by key; only such sums are shuffled. Each shard sums its keys; its bigram counts, quantised
+to powers of two, become a segment of the filter: a key of level q is inserted as (key, 1) to
+(key, q). All segments together have at most ``MAX_BITS`` bits and are broadcast; with more bigrams than that holds well, wrong
 levels get more frequent, and nothing is left out. A count is read by asking for level after level
 until one is missing. Token counts stay exact: each bucket of documents gets the counts of its own
 tokens, as arrays.
@@ -219,7 +219,8 @@ def score(
     known = materialize(token_counts(count_rows(rows, buckets, of_bigrams=False)), "token_counts")
     total = known.where("bucket = -1").agg(F.sum("n"), F.sum("v")).first()
     n_train, n_distinct = total[0] or 0, total[1] or 0
-    parts = {r["shard"]: r["bits"] for r in segments(count_rows(rows, buckets, of_bigrams=True), max_bits // buckets).toLocalIterator()}
+    # one job for all segments; together they have at most max_bits bits, or one byte each
+    parts = dict(segments(count_rows(rows, buckets, of_bigrams=True), max_bits // buckets).collect())
     shared = docs.sparkSession.sparkContext.broadcast(CountFilter(parts, buckets))
 
     def run(part: pa.Table, mine: pa.Table) -> pa.Table:
