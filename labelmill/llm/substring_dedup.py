@@ -122,7 +122,7 @@ def bit_map(keys: DataFrame) -> np.ndarray:
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(block).tobytes()])})
 
     out = np.zeros((bits // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
-    for row in place.groupBy("block").applyInArrow(pack, "block int, bits binary").toLocalIterator():
+    for row in place.groupBy("block").applyInArrow(pack, "block int, bits binary").collect():  # MAX_BITS bits at most
         out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
     return out.ravel()
 
