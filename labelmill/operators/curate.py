@@ -69,10 +69,11 @@ def override_labels(
     """Replace labels by those of ``overrides(on, label)`` where it has the row.
 
     Should ``overrides`` name a key twice, its smallest label counts. ``spread`` is the
-    column that spreads a hot key over tasks (default: the key itself, if it is unique).
+    column that spreads a hot key over tasks (default: ``id`` or ``ord`` if there, else the key).
     """
+    spread = spread or next((c for c in ("id", "ord") if c in df.columns), on)
     new = materialize(overrides.groupBy(on).agg(F.min("label").alias("_label")), "overrides")
-    joined = lookup_join(df, new, on, spread or on)
+    joined = lookup_join(df, new, on, spread)
     return joined.withColumn("label", F.coalesce("_label", "label")).select(*df.columns)
 
 

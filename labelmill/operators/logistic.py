@@ -11,36 +11,56 @@ from pyspark.sql import DataFrame
 
 from labelmill.functions.text import NON_WORD
 from labelmill.operators import evaluate
+from labelmill.scratch import materialize
 
 # Training defaults.
 ITERATIONS = 8
 L2 = 0.01
-SEED = 42
+FEATURES = 1 << 18
 
 
-def pipeline(
-    text: str = "text", iterations: int = ITERATIONS, l2: float = L2, features: int = 1 << 18
-) -> Pipeline:
-    """Needs ``class_id``. Steps are row-wise, so the fitted model also runs on a stream."""
+def terms(text: str = "text", features: int = FEATURES) -> Pipeline:
+    """From ``text`` to the weighted term vector ``_features``."""
     return Pipeline(
         stages=[
             RegexTokenizer(inputCol=text, outputCol="_words", pattern=NON_WORD, toLowercase=True),
             HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
             IDF(inputCol="_tf", outputCol="_features"),
-            LogisticRegression(
-                featuresCol="_features",
-                labelCol="class_id",
-                family="multinomial",
-                maxIter=iterations,
-                regParam=l2,
-                elasticNetParam=0.0,
-            ),
         ]
     )
 
 
-def fit(train: DataFrame, **knobs) -> PipelineModel:
-    return pipeline(**knobs).fit(train)
+def regression(iterations: int = ITERATIONS, l2: float = L2) -> LogisticRegression:
+    """Needs ``class_id`` and ``_features``."""
+    return LogisticRegression(
+        featuresCol="_features",
+        labelCol="class_id",
+        family="multinomial",
+        maxIter=iterations,
+        regParam=l2,
+        elasticNetParam=0.0,
+    )
+
+
+def pipeline(
+    text: str = "text", iterations: int = ITERATIONS, l2: float = L2, features: int = FEATURES
+) -> Pipeline:
+    """Both in one, for Spark's own tuning classes."""
+    return Pipeline(stages=[*terms(text, features).getStages(), regression(iterations, l2)])
+
+
+def fit_terms(train: DataFrame, **knobs) -> tuple[PipelineModel, DataFrame]:
+    """The fitted ``terms``, and the vectors of ``train`` as a written table that every fit can read."""
+    model = terms(**knobs).fit(train)
+    return model, materialize(model.transform(train).select("class_id", "_features"), "terms")
+
+
+def fit(
+    train: DataFrame, text: str = "text", iterations: int = ITERATIONS, l2: float = L2, features: int = FEATURES
+) -> PipelineModel:
+    """Steps are row-wise, so the fitted model also runs on a stream."""
+    model, vectors = fit_terms(train, text=text, features=features)
+    return PipelineModel([*model.stages, regression(iterations, l2).fit(vectors)])
 
 
 def probabilities(df: DataFrame, model: PipelineModel) -> DataFrame:

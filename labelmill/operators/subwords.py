@@ -9,28 +9,26 @@ from labelmill.operators.tokens import UNK
 from labelmill.functions.text import words
 from labelmill.scratch import lookup_join, materialize
 
-# The continuation mark and the longest word that is segmented at all.
+# Fixed value: the continuation mark.
 CONTINUATION = "##"
-MAX_WORD_CHARS = 100
 
 
-def segment_words(distinct_words: DataFrame, vocab: DataFrame, max_word_chars: int = MAX_WORD_CHARS) -> DataFrame:
+def segment_words(distinct_words: DataFrame, vocab: DataFrame, max_word_chars: int | None = None) -> DataFrame:
     """(word, pieces, piece_ids) for every word that ``vocab(piece, token_id)`` can spell.
 
-    All substrings up to the longest piece are looked up; the longest hit per start is kept
-    and the hits are chained from the first character on. A word with a gap has no row.
+    All substrings as long as some piece are looked up; the longest hit per start is kept
+    and the hits are chained from the first character on. A word with a gap has no row, nor
+    has one of more than ``max_word_chars`` characters where that is given.
     """
     bare = F.regexp_replace("piece", f"^{CONTINUATION}", "")
-    longest = vocab.agg(F.max(F.length(bare))).first()[0] or 0
+    sizes = vocab.agg(F.sort_array(F.collect_set(F.length(bare)))).first()[0]  # lengths of pieces that occur
     size = F.length("word")
+    if max_word_chars is not None:
+        distinct_words = distinct_words.where(size <= max_word_chars)
+    lengths = F.array(*map(F.lit, sizes)).cast("array<int>")
     spans = (
-        distinct_words.where(size <= max_word_chars)
-        .select("word", F.explode(F.sequence(F.lit(1), size)).alias("start"))
-        .select(
-            "word",
-            "start",
-            F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("start") + 1))).alias("len"),
-        )
+        distinct_words.select("word", F.explode(F.sequence(F.lit(1), size)).alias("start"))
+        .select("word", "start", F.explode(F.filter(lengths, lambda n: n <= size - F.col("start") + 1)).alias("len"))
         .withColumn(
             "piece",
             F.concat(
@@ -79,7 +77,7 @@ def subwords(
     vocab: DataFrame,
     id: str = "id",
     text: str = "text",
-    max_word_chars: int = MAX_WORD_CHARS,
+    max_word_chars: int | None = None,
     unk_id: int = UNK,
 ) -> DataFrame:
     """(id, input_ids): piece ids per text; a word that cannot be spelled becomes one [UNK].

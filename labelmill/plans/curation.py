@@ -19,7 +19,7 @@ def distinct_corpus(sources: Sequence[DataFrame]) -> DataFrame:
     again picks the same rows.
     """
     kept = curate.dedup_keep_first(curate.union_sources(sources))
-    return materialize(kept.withColumn("id", F.sha2(F.coalesce("text", F.lit("")), 256)), "corpus")
+    return materialize(kept.withColumn("id", F.coalesce(F.sha2("text", 256), F.lit("null text"))), "corpus")
 
 
 def curated(sources: Sequence[DataFrame], seed: int = 42) -> DataFrame:

@@ -90,13 +90,18 @@ def search_naive_bayes(prepared: Prepared, smoothings: Iterable[float], run_id:
 
 def search_logistic(
     prepared: Prepared, iterations: Iterable[int] = range(1, logistic.ITERATIONS + 1),
-    patience: int = 2, run_id: str = "lr", **knobs,
+    patience: int = 2, run_id: str = "lr", l2: float = logistic.L2, **knobs,
 ) -> DataFrame:
-    """Run log of growing iteration counts on 'valid', stopped early as ``early_stop`` says."""
+    """Run log of growing iteration counts on 'valid', stopped early as ``early_stop`` says.
+
+    Texts become term vectors once; ``knobs`` go to ``logistic.terms``.
+    """
     train, valid = prepared.fold("train"), prepared.fold("valid")
     spark, path = train.sparkSession, new_path(train.sparkSession, "runs")
+    terms, train = logistic.fit_terms(train, **knobs)
+    valid = materialize(terms.transform(valid).drop("_words", "_tf"), "valid-terms")
     for n in iterations:
-        model = logistic.fit(train, iterations=n, **knobs)
+        model = logistic.regression(n, l2).fit(train)
         scored = scoring.probabilities_to_prediction(logistic.probabilities(valid, model), prepared.classes)
         _log(scored, path, run_id, n)
         if selection.early_stop(read_runs(spark, path), patience=patience).first()["stop"] is not None:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from labelmill import schemas
 from labelmill.operators.labels import Classes
 from labelmill.operators.naive_bayes import NaiveBayesModel
-from labelmill.scratch import table_bytes
-from labelmill.sources.samples import CSV_OPTIONS
+from labelmill.scratch import materialize, table_bytes
+from labelmill.sources.samples import CSV_OPTIONS, path_exists
 
 
 def save_classes(spark: SparkSession, classes: Classes, path: str) -> None:
@@ -24,9 +24,13 @@ def load_classes(spark: SparkSession, path: str) -> Classes:
 
 
 def save_naive_bayes(model: NaiveBayesModel, path: str) -> None:
-    """Three Parquet tables below one folder: tokens, priors, classes. Creates the folder."""
+    """Three Parquet tables below one folder: tokens, priors, classes. Creates the folder.
+
+    A model may be saved over the folder it was loaded from: its tokens are first copied.
+    """
     spark = model.tokens.sparkSession
-    model.tokens.write.mode("overwrite").parquet(f"{path}/tokens")
+    tokens = materialize(model.tokens, "tokens") if path_exists(spark, f"{path}/tokens") else model.tokens
+    tokens.write.mode("overwrite").parquet(f"{path}/tokens")
     priors = list(enumerate(model.log_priors))
     spark.createDataFrame(priors, "class_id int, log_prior double").coalesce(1).write.mode(
         "overwrite"

@@ -7,6 +7,7 @@ position, so "the earlier row" always means the smaller ``ord``.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
@@ -34,13 +35,13 @@ def row_order(minor: Column, major: Column | None = None) -> Column:
     )
 
 
-def file_order() -> Column:
-    """``ord`` for a file source: file, byte range, row within the range.
+def file_order(place: int = 0) -> Column:
+    """``ord`` for a file source: place in the list of paths, file, byte range, row within the range.
 
     Holds however Spark packs the byte ranges into tasks.
     """
     return F.struct(
-        F.col("_metadata.file_path").alias("part"),
+        F.concat(F.lit(f"{place:08d}:"), F.col("_metadata.file_path")).alias("part"),
         F.col("_metadata.file_block_start").alias("major"),
         F.monotonically_increasing_id().alias("minor"),
     )
@@ -60,6 +61,10 @@ def _exists(reader: DataFrameReader, path: str) -> bool:
     return True
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    return _exists(spark.read.format("text"), path)
+
+
 def read_samples(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -73,6 +78,7 @@ def read_samples(
     ``null_tokens`` are texts to read as null (``PANDAS_NULLS`` gives pandas' reading).
     ``multi_line`` accepts line breaks inside quotes, at one task per CSV file; turn it off
     to split big files that have none. With ``missing_ok`` absent paths read as empty.
+    Rows of an earlier path come first in ``ord``.
     """
     reader = spark.read.schema(schemas.SAMPLES)
     if fmt == "csv":
@@ -83,14 +89,19 @@ def read_samples(
         paths = [p for p in paths if _exists(reader, p)]
         if not paths:
             return empty_samples(spark)
-    df = reader.load(paths)
     nulls = list(null_tokens)
 
     def read_null(name: str) -> Column:
         col = F.col(name)
         return (F.when(~col.isin(nulls), col) if nulls else col).alias(name)
 
-    return df.select(read_null("text"), read_null("label"), file_order().alias("ord"))
+    return reduce(
+        DataFrame.unionByName,
+        [
+            reader.load(p).select(read_null("text"), read_null("label"), file_order(i).alias("ord"))
+            for i, p in enumerate(paths)
+        ],
+    )
 
 
 def literal_samples(spark: SparkSession, texts: Sequence[str], label: str) -> DataFrame:
@@ -113,21 +124,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _reads_from(df: DataFrame, path: str) -> bool:
-    def plain(p: str) -> str:
-        return p.split("://", 1)[-1].removeprefix("file:").rstrip("/").replace("///", "/")
-
-    target = plain(path)
-    return any(plain(f) == target or plain(f).startswith(target + "/") for f in df.inputFiles())
-
-
 def write_samples(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Overwrite ``path`` with ``df``; null labels and columns as Spark writes them.
 
-    If ``df`` reads from ``path`` itself, it is first written to the scratch folder: an
-    overwrite deletes its target before the rows are read.
+    If there is something at ``path``, ``df`` is first written to the scratch folder: an
+    overwrite deletes its target before the rows are read, and no comparison of path names
+    tells surely whether ``df`` reads from there.
     """
-    if _reads_from(df, path):
+    if path_exists(df.sparkSession, path):
         df = materialize(df, "rewrite")
     writer = df.write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
     if fmt == "csv":

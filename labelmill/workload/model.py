@@ -14,7 +14,6 @@ from labelmill.sources import models
 from labelmill.streaming import score_stream as streams
 from labelmill.workload.base import nb_sql, samples, table
 
-LR_FEATURES = 1 << 14
 
 
 def _nb(spark, sf, label="lang"):
@@ -157,7 +156,7 @@ def smoothing_search(spark, sf):
 def logistic_search(spark, sf):
     """Logistic regression with growing iteration counts, stopped early."""
     p = training.with_validation(training.prepare(samples(spark, sf)))
-    runs = training.search_logistic(p, iterations=range(1, 4), features=LR_FEATURES)
+    runs = training.search_logistic(p)
     return selection.early_stop(runs)
 
 
@@ -172,7 +171,7 @@ def nb_roundtrip(spark, sf):
 
 def _lr(spark, sf):
     p = training.prepare(samples(spark, sf))
-    return p, logistic.fit(p.fold("train"), features=LR_FEATURES)
+    return p, logistic.fit(p.fold("train"))
 
 
 def lr_predict(spark, sf):

@@ -25,21 +25,30 @@ def word_split_marks(spark, sf):
 
 
 def vocabulary(spark, sf):
-    return tokens.vocabulary(spread_samples(spark, sf), min_df=2).select("token", "n", "doc_freq", "token_id")
+    return tokens.vocabulary(spread_samples(spark, sf)).select("token", "n", "doc_freq", "token_id")
 
 
 VOCABULARY = f"""
 word_rows AS (SELECT doc_id AS id, unnest({WORDS}) AS token FROM documents),
 vocab AS (
   SELECT token, n, doc_freq, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INTEGER) AS token_id
-  FROM (SELECT token, count(*) AS n, count(DISTINCT id) AS doc_freq FROM word_rows GROUP BY token)
-  WHERE doc_freq >= 2)"""
+  FROM (SELECT token, count(*) AS n, count(DISTINCT id) AS doc_freq FROM word_rows GROUP BY token))"""
+
+
+def frequent_words(spark, sf):
+    """The vocabulary's own filter: words of two or more documents."""
+    return tokens.vocabulary(spread_samples(spark, sf), min_df=2).select("token", "n", "doc_freq", "token_id")
+
+
+FREQUENT = """
+  SELECT token, n, doc_freq, CAST(row_number() OVER (ORDER BY n DESC, token) + 3 AS INTEGER) AS token_id
+  FROM vocab WHERE doc_freq >= 2"""
 
 
 def encode_ids(spark, sf):
     """Whole texts, of any length."""
     docs = spread_samples(spark, sf)
-    vocab = materialize(tokens.vocabulary(docs, min_df=2), "vocabulary")
+    vocab = materialize(tokens.vocabulary(docs), "vocabulary")
     return tokens.encode_ids(docs, vocab).select("id", joined("input_ids").alias("input_ids"))
 
 
@@ -56,7 +65,7 @@ ENCODE = f"""
 def pad_mask(spark, sf):
     """Per fold: ids cut at 64 positions as the encoder does, padded, masked, with their class."""
     p = prepare(samples(spark, sf))
-    vocab = materialize(tokens.vocabulary(p.fold("train"), min_df=2), "vocabulary")
+    vocab = materialize(tokens.vocabulary(p.fold("train")), "vocabulary")
     folds = []
     for fold in ("train", "test"):
         encoded = tokens.encode_ids(
@@ -78,7 +87,7 @@ split AS (SELECT id, fold, class_id, {WORDS} AS words FROM folds),
 train_rows AS (SELECT id, unnest(words) AS token FROM split WHERE fold = 'train'),
 vocab AS (
   SELECT token, row_number() OVER (ORDER BY n DESC, token) + 3 AS token_id
-  FROM (SELECT token, count(*) AS n, count(DISTINCT id) AS df FROM train_rows GROUP BY token) WHERE df >= 2),
+  FROM (SELECT token, count(*) AS n FROM train_rows GROUP BY token)),
 kept AS (SELECT id, fold, class_id, list_slice(words, 1, 62) AS words FROM split),
 rows AS (SELECT id, unnest(words) AS token, generate_subscripts(words, 1) AS pos FROM kept),
 ids AS (
@@ -95,7 +104,7 @@ FROM sized"""
 
 def _pieces(spark, sf):
     """Pieces taken from the words of ``conversations``, each usable at the start and inside."""
-    turns = materialize(tokens.token_stats(table(spark, sf, "conversations")).where("n >= 3 AND length(token) <= 12"))
+    turns = materialize(tokens.token_stats(table(spark, sf, "conversations")))
     starts = turns.select(F.col("token").alias("piece"))
     inside = turns.select(F.concat(F.lit(sub.CONTINUATION), "token").alias("piece"))
     pieces = tokens.with_dense_ids(starts.union(inside), [F.asc("piece")], "token_id", start=4)
@@ -118,14 +127,14 @@ def subword_ids(spark, sf):
 SUBWORDS = rf"""
 WITH RECURSIVE
 turn_words AS (SELECT unnest({WORDS}) AS token FROM conversations),
-kept AS (SELECT token FROM turn_words WHERE length(token) <= 12 GROUP BY token HAVING count(*) >= 3),
+kept AS (SELECT DISTINCT token FROM turn_words),
 pieces AS (SELECT token AS piece FROM kept UNION ALL SELECT '##' || token FROM kept),
 vocab AS (SELECT piece, row_number() OVER (ORDER BY piece) + 3 AS token_id FROM pieces),
 occurrences AS (
   SELECT doc_id AS id, unnest({WORDS}) AS word, generate_subscripts({WORDS}, 1) AS pos FROM documents),
-distinct_words AS (SELECT DISTINCT word FROM occurrences WHERE length(word) <= 100),
+distinct_words AS (SELECT DISTINCT word FROM occurrences),
 starts AS (SELECT word, unnest(range(1, length(word) + 1)) AS start FROM distinct_words),
-spans AS (SELECT word, start, unnest(range(1, least(12, length(word) - start + 1) + 1)) AS len FROM starts),
+spans AS (SELECT word, start, unnest(range(1, length(word) - start + 2)) AS len FROM starts),
 hits AS (
   SELECT s.word, s.start, s.len, v.piece, v.token_id,
          row_number() OVER (PARTITION BY s.word, s.start ORDER BY s.len DESC) AS rn
@@ -158,6 +167,7 @@ QUERIES = {
             FROM (SELECT doc_id AS id, {MARKS} AS w FROM documents)""",
     ),
     "vocabulary": (vocabulary, f"WITH {VOCABULARY} SELECT token, n, doc_freq, token_id FROM vocab"),
+    "frequent_words": (frequent_words, f"WITH {VOCABULARY} {FREQUENT}"),
     "encode_ids": (encode_ids, f"WITH {VOCABULARY} {ENCODE}"),
     "pad_mask": (pad_mask, PAD_MASK),
     "subword_pieces": (subword_pieces, f"{SUBWORDS} SELECT word, pieces FROM spelled"),
