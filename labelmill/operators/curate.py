@@ -63,15 +63,12 @@ def duplicates_removed(df: DataFrame, text: str = "text") -> DataFrame:
     ).withColumn("removed", F.col("rows_before") - F.col("rows_after"))
 
 
-def override_labels(
-    df: DataFrame, overrides: DataFrame, on: str = "text", spread: str | None = None
-) -> DataFrame:
+def override_labels(df: DataFrame, overrides: DataFrame, spread: str, on: str = "text") -> DataFrame:
     """Replace labels by those of ``overrides(on, label)`` where it has the row.
 
     Should ``overrides`` name a key twice, its smallest label counts. ``spread`` is the
-    column that spreads a hot key over tasks (default: ``id`` or ``ord`` if there, else the key).
+    column that spreads the rows of a hot key over tasks, such as the row's id; never the key.
     """
-    spread = spread or next((c for c in ("id", "ord") if c in df.columns), on)
     new = materialize(overrides.groupBy(on).agg(F.min("label").alias("_label")), "overrides")
     joined = lookup_join(df, new, on, spread)
     return joined.withColumn("label", F.coalesce("_label", "label")).select(*df.columns)

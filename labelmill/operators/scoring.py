@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelmill.functions.scores import argmax, named_percentages, percent, ranked, with_softmax
@@ -40,9 +39,13 @@ def long_form(predicted: DataFrame, keep: Sequence[str], classes: Classes) -> Da
 
 
 def top_class(long: DataFrame, id: str = "id") -> DataFrame:
-    """Arg-max row per text of a long table; the lowest class id wins a tie."""
-    rank = F.row_number().over(W.partitionBy(id).orderBy(F.desc("p"), "class_id"))
-    return long.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """Arg-max row per text of a long table; the lowest class id wins a tie.
+
+    An aggregate: each task keeps one row per text, so the classes of a text are not shuffled.
+    """
+    rest = [c for c in long.columns if c != id]
+    best = F.max_by(F.struct(*rest), F.struct("p", -F.col("class_id"))).alias("_best")
+    return long.groupBy(id).agg(best).select(*[c if c == id else F.col(f"_best.{c}") for c in long.columns])
 
 
 def rank_classes(predicted: DataFrame, keep: Sequence[str], classes: Classes) -> DataFrame:

@@ -107,7 +107,14 @@ def strip_lower(spark, sf):
 def label_override(spark, sf):
     flagged = table(spark, sf, "labels").where("toxic = 1")
     overrides = flagged.select(F.col("doc_id").alias("id"), F.lit("flagged").alias("label"))
-    return curate.override_labels(samples(spark, sf), overrides, on="id").select("id", "label")
+    return curate.override_labels(samples(spark, sf), overrides, "id", on="id").select("id", "label")
+
+
+def label_override_by_text(spark, sf):
+    """The texts of toxic documents, relabelled wherever they occur."""
+    flagged = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+    overrides = samples(spark, sf).join(flagged, "id", "left_semi").select("text", F.lit("flagged").alias("label"))
+    return curate.override_labels(samples(spark, sf), overrides, "id").select("id", "label")
 
 
 def corpus_profile(spark, sf):
@@ -204,6 +211,13 @@ QUERIES = {
         """SELECT d.doc_id AS id, CASE WHEN l.toxic = 1 THEN 'flagged' ELSE d.lang END AS label
            FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     ),
+    "label_override_by_text": (
+        label_override_by_text,
+        """WITH flagged AS (
+             SELECT DISTINCT d.text FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic = 1)
+           SELECT d.doc_id AS id, CASE WHEN f.text IS NOT NULL THEN 'flagged' ELSE d.lang END AS label
+           FROM documents d LEFT JOIN flagged f ON d.text = f.text""",
+    ),
     "corpus_profile": (
         corpus_profile,
         """SELECT lang AS label,

@@ -48,7 +48,7 @@ def test_clean_and_blank(make):
 def test_override_labels(spark, make):
     df = make([("a", "x"), ("b", "x"), ("c", "y")])
     over = spark.createDataFrame([("b", "z"), ("b", "w"), ("q", "z")], "text string, label string")
-    got = values(curate.override_labels(df, over).orderBy("id"), "text", "label")
+    got = values(curate.override_labels(df, over, "id").orderBy("id"), "text", "label")
     assert got == [("a", "x"), ("b", "w"), ("c", "y")]
 
 
