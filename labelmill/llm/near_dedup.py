@@ -8,9 +8,13 @@ form bands; texts that share a band are compared exactly, and those with J_P of
 linked. Classes are the components of the links.
 
 Texts with the same words are one node before anything else. In a bucket of up to ``SMALL``
-nodes all are compared; in a larger one every node is compared with three pivots (smallest,
-largest, first by a hash), so work is linear in the bucket, and the links of all bands together
-connect the group. A text of fewer than five words is one shingle, its whole word sequence.
+nodes all are compared; in a larger one every node is compared first with four pivots (smallest,
+largest, first by a hash, and the one in the largest buckets of all bands), which connects most
+groups in linear work. A large bucket that is not one class after that is split by a hash into
+blocks, and its nodes of different classes are compared block against block, in the first band
+they share, so every two nodes of a bucket are in one class or were compared. That is quadratic
+only in what the pivots left apart. A text of fewer than five words is one shingle, its whole
+word sequence.
 
 Cases: null and empty texts have no words and are copies of each other; repeated rows are copies;
 the row with the smallest id of a class stays, null ids last, then by row id; an empty table gives
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.llm.arrays import chunks, gram_starts, mix, range_hashes, select_text, text_bytes, word_bounds
@@ -36,6 +40,11 @@ SIMILARITY = 0.8
 BANDS = 20
 ROWS = 5
 SMALL = 8
+#: Nodes, and shingles of all nodes, that one block of a large bucket holds on average.
+BLOCK = 512
+BLOCK_SHINGLES = 1 << 18
+#: Shingles that are multiplied at once.
+BLOCK_COLUMNS = 4096
 #: Column with an id per row, made from its place in its file unless the caller has one.
 ROW_COL = "__row_id"
 #: Ids up to this number are sent to all tasks to find the texts to compare; more are shuffled.
@@ -114,30 +123,39 @@ def sketches(docs: DataFrame, row_col: str, id_col: str, text_col: str, bands: i
     return texts.mapInArrow(run, "row_id string, doc_id long, d1 long, d2 long, n_shingles long, bands array<long>")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that share a band: all of a small bucket, three pivots of a larger one."""
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of nodes that share a band: all of a small bucket, four pivots of a larger one.
+
+    Also (band, key, node) of the larger buckets.
+    """
     keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    mixed = F.xxhash64("node")
     buckets = (
         keys.groupBy("band", "key")
-        .agg(
-            F.count("*").alias("n"),
-            F.min("node").alias("low"),
-            F.max("node").alias("high"),
-            F.min(mixed).alias("mixed"),
-        )
+        .agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"))
         .where("n > 1")
     )
     shared = materialize(join_counted(keys, buckets, ["band", "key"], "n", F.col("node")), "buckets")
-    third = shared.where((F.col("n") > SMALL) & (mixed == F.col("mixed"))).select("band", "key", "n", F.col("node").alias("b"))
     large = shared.where(F.col("n") > SMALL)
+    reach = large.groupBy("node").agg(F.sum("n").alias("reach"))
+    chosen = (
+        large.join(reach, "node")
+        .groupBy("band", "key")
+        .agg(
+            F.count("*").alias("n"),
+            F.min(F.struct(F.xxhash64("node").alias("mixed"), "node"))["node"].alias("third"),
+            F.max(F.struct("reach", "node"))["node"].alias("central"),
+        )
+    )
+    chosen = materialize(chosen, "pivots")
     pivots = large.select("node", F.explode(F.array("low", "high")).alias("b")).unionByName(
-        join_counted(large.select("band", "key", "node"), third, ["band", "key"], "n", F.col("node")).select("node", "b")
+        join_counted(large.select("band", "key", "node"), chosen, ["band", "key"], "n", F.col("node")).select(
+            "node", F.explode(F.array("third", "central")).alias("b")
+        )
     )
     few = shared.where(F.col("n") <= SMALL).groupBy("band", "key").agg(F.collect_list("node").alias("all"))
     inside = few.select(F.explode("all").alias("node"), "all").select("node", F.explode("all").alias("b"))
     pairs = pivots.unionByName(inside).where("node <> b")
-    return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    return pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), large.select("band", "key", "node")
 
 
 def similarity(x: np.ndarray, x_counts: np.ndarray, y: np.ndarray, y_counts: np.ndarray) -> float:
@@ -161,9 +179,8 @@ def similarity(x: np.ndarray, x_counts: np.ndarray, y: np.ndarray, y_counts: np.
     return float(total)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, row_col: str, text_col: str, least: float) -> DataFrame:
-    """The ``pairs`` whose exact similarity is ``least`` or more."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+def shingle_sets(wanted: DataFrame, docs: DataFrame, row_col: str, text_col: str) -> DataFrame:
+    """(node, grams, counts) of the nodes in ``wanted`` (node, row_id)."""
     wanted = materialize(wanted.select("node", F.col("row_id").alias(row_col)), "compared")
     side = F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted.hint("shuffle_hash")
     texts = docs.select(row_col, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
@@ -182,7 +199,13 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, row_col: str,
                 }
             )
 
-    found = materialize(texts.mapInArrow(sets, "node long, grams binary, counts binary"), "shingle_sets")
+    return materialize(texts.mapInArrow(sets, "node long, grams binary, counts binary"), "shingle_sets")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, row_col: str, text_col: str, least: float) -> DataFrame:
+    """The ``pairs`` whose exact similarity is ``least`` or more."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
+    found = shingle_sets(wanted, docs, row_col, text_col)
     load = pairs.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n"))
     right = found.join(load, "node").select(F.col("node").alias("b"), "n", F.col("grams").alias("y"), F.col("counts").alias("y_counts"))
     load = pairs.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n"))
@@ -203,6 +226,110 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, row_col: str,
     return rows.select("a", "b", "x", "x_counts", "y", "y_counts").mapInArrow(compare, "a long, b long")
 
 
+def shared_mass(grams: list[np.ndarray], counts: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(left x right) the smaller of the shares of weight that two sets have in shingles of both: J_P is at most that."""
+    norm = [w / w.sum() for w in map(weights, counts)]
+    owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+    _, column, n = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    share = np.concatenate(norm)
+    twice = n[column] > 1
+    column, owner, share = (np.cumsum(n > 1) - 1)[column[twice]], owner[twice], share[twice]
+    order = np.argsort(column, kind="stable")
+    column, owner, share = column[order], owner[order], share[order]
+    x, y = np.zeros((2, len(left), len(right)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, BLOCK_COLUMNS):
+        a, b = np.searchsorted(column, (lo, lo + BLOCK_COLUMNS))
+        dense = np.zeros((len(grams), BLOCK_COLUMNS), np.float32)
+        dense[owner[a:b], column[a:b] - lo] = share[a:b]
+        has = (dense > 0).astype(np.float32)
+        x += dense[left] @ has[right].T
+        y += has[left] @ dense[right].T
+    return np.minimum(x, y)
+
+
+def links_between(table: pa.Table, least: float) -> list[tuple[int, int]]:
+    """Links that connect nodes of different labels within one block, or between two blocks of a bucket."""
+    grams, counts = ([np.frombuffer(v.as_buffer(), t) for v in table.column(c)] for c, t in (("grams", "u8"), ("counts", "i4")))
+    node, label, block = (np.asarray(table.column(c)) for c in ("node", "label", "block"))
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    one, band = block.min() == block.max(), table.column("band")[0].as_py()
+    if one and not table.column("lo")[0] == table.column("hi")[0]:
+        return []  # the other block is empty
+    left = np.flatnonzero(block == block.min())
+    right = left if one else np.flatnonzero(block != block.min())
+    open_ = shared_mass(grams, counts, left, right) >= least - 1e-3
+    open_ &= label[left][:, None] != label[right][None, :]
+    if one:
+        open_ = np.triu(open_, 1)
+    i, j = np.nonzero(open_)
+    i, j = left[i], right[j]
+    here = bands[i, band] == bands[j, band]
+    for earlier in range(band):  # the pair is compared in that band
+        here &= bands[i, earlier] != bands[j, earlier]
+    above = {v: v for v in label.tolist()}
+
+    def top(v: int) -> int:
+        while above[v] != v:
+            above[v] = above[above[v]]
+            v = above[v]
+        return v
+
+    links = []
+    for a, b in zip(i[here].tolist(), j[here].tolist()):
+        u, v = top(int(label[a])), top(int(label[b]))
+        if u != v and similarity(grams[a], counts[a], grams[b], counts[b]) >= least:
+            above[u] = v
+            links.append((int(node[a]), int(node[b])))
+    return links
+
+
+def links_left(
+    large: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, row_col: str, text_col: str, least: float
+) -> DataFrame | None:
+    """Links (a, b) inside large buckets between nodes that ``labels`` holds apart; None if each bucket is one class.
+
+    Nodes of a bucket's most frequent label are not compared with each other; the few others are
+    compared with all.
+    """
+    per_node = nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "n_shingles")
+    marked = large.join(per_node, "node")
+    parts = marked.groupBy("band", "key", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    split = parts.groupBy("band", "key").agg(
+        F.max(F.struct("n", "label", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("labels")
+    )
+
+    def blocks(n: str, size: str) -> Column:
+        return F.ceil(F.greatest(F.expr(n) / BLOCK, F.expr(size) / BLOCK_SHINGLES)).cast("int")
+
+    split = split.where("labels > 1").select(
+        "band", "key", "n", "top.label", blocks("n - top.n", "size - top.size").alias("others"), blocks("top.n", "top.size").alias("tops")
+    )
+    split = materialize(split.withColumnRenamed("label", "top"), "split_buckets")
+    if split.isEmpty():
+        return None
+    rows = join_counted(marked.drop("n_shingles"), split, ["band", "key"], "n", F.col("node")).drop("n")
+    mixed = F.xxhash64("node")
+    is_top = F.col("label") == F.col("top")
+    rows = rows.withColumn(
+        "block", F.when(is_top, F.col("others") + F.pmod(mixed, "tops")).otherwise(F.pmod(mixed, "others")).cast("int")
+    )
+    last = F.when(is_top, F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.select(
+        "band", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label"
+    )
+    rows = materialize(rows, "blocks")
+    wanted = rows.select("node").distinct().join(nodes, "node")
+    sets = shingle_sets(wanted, docs, row_col, text_col).join(nodes.select("node", "bands"), "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        links = links_between(table, least)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    found = rows.join(sets, "node").groupBy("band", "key", "lo", "hi").applyInArrow(run, "a long, b long")
+    return materialize(found, "links")
+
+
 def near_dedup(
     docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None
 ) -> DataFrame:
@@ -214,13 +341,19 @@ def near_dedup(
     row_col = row_col or ROW_COL
     rows = materialize(sketches(keyed, row_col, id_col, text_col), "sketches")
     best = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("row_id").alias("row_id"))
-    groups = rows.groupBy("d1", "d2").agg(F.min(best).alias("best"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
+    groups = rows.groupBy("d1", "d2").agg(
+        F.min(best).alias("best"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("n_shingles").alias("n_shingles")
+    )
     nodes = materialize(
-        groups.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "best", "copies", "bands", "best.row_id"), "nodes"
+        groups.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "best", "copies", "bands", "n_shingles", "best.row_id"), "nodes"
     )
-    pairs = materialize(candidates(nodes), "candidates")
+    pairs, large = candidates(nodes)
+    pairs = materialize(pairs, "candidates")
     links = materialize(verified(pairs, nodes, keyed, row_col, text_col, least), "links")
     labels = components(links)
+    more = links_left(large, labels, nodes, keyed, row_col, text_col, least)
+    if more is not None and not more.isEmpty():
+        labels = components(links.unionByName(more))
     labelled = nodes.select("node", "d1", "d2", "best", "copies").join(labels, "node", "left")
     labelled = labelled.withColumn("label", F.coalesce("label", "node"))
     classes = labelled.groupBy("label").agg(F.min("best").alias("keep"), F.sum("copies").alias("class_size"), F.count("*").alias("members"))

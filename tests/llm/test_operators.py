@@ -174,6 +174,42 @@ def test_near_dedup_equals_brute_force(docs):
         assert (got[i]["class_id"], got[i]["class_size"], got[i]["kept"]) == (top(i), sizes[top(i)], top(i) == i), i
 
 
+def test_near_dedup_connects_stars_and_keeps_strangers_in_large_buckets(docs, monkeypatch):
+    rng = random.Random(9)
+    texts, stars = [], []
+    for c in range(2):
+        base = [f"s{c}x{rng.randrange(5000)}" for _ in range(120)]
+        at = len(texts)
+        for k in range(60):  # 0.84 to the original, less than 0.8 to nearly all others
+            words = list(base)
+            for p in rng.sample(range(5, 115), 2):
+                words[p] = f"e{c}x{k}x{p}"
+            texts.append(" ".join(words))
+        texts.append(" ".join(base))
+        stars.append(set(range(at, len(texts))))
+    common = [f"c{i}" for i in range(100)]
+    alone = range(len(texts), len(texts) + 30)
+    texts += [" ".join([*common, *(f"a{k}x{i}" for i in range(30))]) for k in range(30)]  # 0.6 to each other
+    for size in (near_dedup.BLOCK, 7):
+        monkeypatch.setattr(near_dedup, "BLOCK", size)
+        got = by_id(near_dedup.near_dedup(docs(texts)))
+        for star in stars:
+            assert {got[i]["class_id"] for i in star} == {min(star)} and got[min(star)]["class_size"] == 61
+        assert all(got[i]["class_size"] == 1 and got[i]["kept"] for i in alone)
+
+
+def test_links_left_are_found_without_pivots(docs, monkeypatch):
+    rng = random.Random(10)
+    base = [f"t{rng.randrange(5000)}" for _ in range(120)]
+    texts = [" ".join(base)] + [" ".join(edited(rng, base, 2)) for _ in range(60)]
+    plain = near_dedup.candidates
+    for size in (near_dedup.BLOCK, 7):
+        monkeypatch.setattr(near_dedup, "BLOCK", size)
+        monkeypatch.setattr(near_dedup, "candidates", lambda nodes: (plain(nodes)[0].limit(0), plain(nodes)[1]))
+        sizes = {r["class_size"] for r in near_dedup.near_dedup(docs(texts)).where("doc_id = 0").collect()}
+        assert sizes.pop() > 55
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
