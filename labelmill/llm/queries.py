@@ -156,9 +156,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    trusted = quality_rules.trusted_sample(table(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, quality_rules.log_ratios(quality_rules.gram_counts(docs, trusted)))
+    return quality_rules.judge_by_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {

@@ -306,6 +306,17 @@ def test_quality_rules(docs, spark):
     assert not any(got[i]["kept"] for i in range(len(good), len(good) + len(bad)))
 
 
+def test_quality_of_few_trusted_documents(docs, spark):
+    rng = random.Random(8)
+    kinds = [[f"{k}{i}" for i in range(40)] for k in ("good", "bad")]
+    texts = [" ".join(rng.choice(kinds[i >= 200]) for _ in range(60)) for i in range(260)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)] + [(i, 0, 0) for i in range(250, 260)], "doc_id long, quality int, toxic int")
+    got = by_id(quality_rules.judge_by_labels(docs(texts), labels))
+    assert not any(r["base_failed"] for r in got.values())
+    assert [got[i]["kept"] for i in range(260)] == [True] * 200 + [False] * 60
+    assert all(r["kept"] for r in quality_rules.judge_by_labels(docs(texts), labels.where("quality = 0")).collect())
+
+
 def test_language_id(docs):
     rng = random.Random(4)
     kinds = {"aa": ["the", "and", "with", "hither"], "bb": ["der", "über", "nicht", "schön"], "cc": ["だ", "です", "これ", "それ"]}
