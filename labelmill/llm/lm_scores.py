@@ -3,9 +3,9 @@
 Two passes count tokens and bigrams of the training documents in numpy and deal the counts into
 shards by key; only such sums are shuffled. Each shard sums its keys; its bigram counts, quantised
 to powers of two, become a segment of the filter: a key of level q is inserted as (key, 1) to
-(key, q). All segments together have at most ``MAX_BITS`` bits and are broadcast; with more bigrams than that holds well, wrong
-levels get more frequent, and nothing is left out. A count is read by asking for level after level
-until one is missing. Token counts stay exact: each bucket of documents gets the counts of its own
+(key, q), and has ``BITS_A_KEY`` bits for each of these. Segments of ``MAX_BITS`` bits or less in all are broadcast; larger ones
+stay in their shards, where the distinct bigrams of each bucket of documents are brought to be asked for, with
+the same result. A count is read by asking for level after level until one is missing. Token counts stay exact: each bucket of documents gets the counts of its own
 tokens, as arrays.
 
 P(w | h) = (c(h, w) + m P(w)) / (c(h) + m) with P(w) = (c(w) + 1) / (N + V + 1), where c(h, w) is
@@ -30,6 +30,7 @@ from labelmill.scratch import materialize
 
 HELD_OUT = (7, 2)
 SMOOTHING = 50.0
+#: Bits of a filter that is broadcast.
 MAX_BITS = 1 << 29
 BITS_A_KEY = 8
 PROBES = 3
@@ -156,23 +157,74 @@ def positions(keys: np.ndarray, levels: np.ndarray, bits: np.ndarray) -> list[np
     return [((low + np.uint64(i) * high) % bits).astype(np.int64) for i in range(PROBES)]
 
 
+def segment(table: pa.Table, most: int | None = None) -> bytes | None:
+    """The filter of one shard's bigrams; None if it has more than ``most`` bits."""
+    keys, n = summed(joined(table, "keys", "u8"), joined(table, "counts", "<u4").astype(np.int64))
+    top = level(n)
+    bits = 8 * max(1, BITS_A_KEY * int(top.sum()) // 8)
+    if most is not None and bits > max(8, most):
+        return None
+    flags = np.zeros(bits, bool)
+    for q in range(1, int(top.max(initial=0)) + 1):
+        mine = keys[top >= q]
+        for place in positions(mine, np.full(len(mine), q), np.uint64(bits)):
+            flags[place] = True
+    return np.packbits(flags).tobytes()
+
+
 def segments(counted: DataFrame, most: int) -> DataFrame:
-    """(shard, bits): the filter of each shard's bigrams, of at most ``most`` bits."""
+    """(shard, bits): the filter of each shard's bigrams, null for those of more than ``most`` bits."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        keys, n = summed(joined(table, "keys", "u8"), joined(table, "counts", "<u4").astype(np.int64))
-        top = level(n)
-        bits = 8 * max(1, min(most, BITS_A_KEY * int(top.sum())) // 8)
-        flags = np.zeros(bits, bool)
-        for q in range(1, int(top.max(initial=0)) + 1):
-            mine = keys[top >= q]
-            for place in positions(mine, np.full(len(mine), q), np.uint64(bits)):
-                flags[place] = True
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(flags).tobytes()])})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([segment(table, most)], pa.binary())})
 
     return counted.groupBy("shard").applyInArrow(run, "shard long, bits binary")
 
 
+def asked_levels(rows: DataFrame, shards: int) -> DataFrame:
+    """(bucket, keys, levels): levels of the distinct bigrams of each bucket's documents, asked for in their shards."""
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, BUCKET_BYTES):
+            ids, first = tokens(part.column("text"))
+            bucket = np.repeat(np.asarray(part.column("bucket"), np.int64), np.diff(first))
+            keys = bigrams(ids, first)
+            shard = shard_of(keys, shards)
+            order = np.lexsort((keys, bucket, shard))
+            keys, bucket, shard = keys[order], bucket[order], shard[order]
+            new = np.append(True, (keys[1:] != keys[:-1]) | (bucket[1:] != bucket[:-1]))[: len(keys)]
+            keys, bucket, shard = keys[new], bucket[new], shard[new]
+            heads = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[: len(shard)])
+            spans = list(zip(heads.tolist(), [*heads[1:].tolist(), len(shard)]))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "shard": pa.array(shard[heads], pa.int64()),
+                    "buckets": pa.array([bucket[a:b].tobytes() for a, b in spans], pa.binary()),
+                    "keys": pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()),
+                }
+            )
+
+    def answer(counted: pa.Table, wanted: pa.Table) -> pa.Table:
+        bits = segment(counted) if counted.num_rows else b""
+        bucket, keys = joined(wanted, "buckets", "i8"), joined(wanted, "keys", "u8")
+        order = np.argsort(bucket, kind="stable")
+        bucket, keys = bucket[order], keys[order]
+        levels = CountFilter({0: bits}, 1).levels(keys).astype("u1")
+        heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+        spans = list(zip(heads.tolist(), [*heads[1:].tolist(), len(bucket)]))
+        return pa.table(
+            {
+                "bucket": pa.array(bucket[heads], pa.int64()),
+                "keys": pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()),
+                "levels": pa.array([levels[a:b].tobytes() for a, b in spans], pa.binary()),
+            }
+        )
+
+    wanted = rows.select("text", "bucket").mapInArrow(asked, "shard long, buckets binary, keys binary")
+    counted = count_rows(rows, shards, of_bigrams=True).groupBy("shard")
+    return counted.cogroup(wanted.groupBy("shard")).applyInArrow(answer, "bucket long, keys binary, levels binary")
+
+
 class CountFilter:
     """The log-frequency Bloom filter: all segments one after another."""
 
@@ -219,12 +271,29 @@ def score(
     known = materialize(token_counts(count_rows(rows, buckets, of_bigrams=False)), "token_counts")
     total = known.where("bucket = -1").agg(F.sum("n"), F.sum("v")).first()
     n_train, n_distinct = total[0] or 0, total[1] or 0
-    # one job for all segments; together they have at most max_bits bits, or one byte each
+    own = known.where("bucket >= 0").select("bucket", "keys", "counts")
+    # one job for all segments; those of more than their part of max_bits come back as null
     parts = dict(segments(count_rows(rows, buckets, of_bigrams=True), max_bits // buckets).collect())
-    shared = docs.sparkSession.sparkContext.broadcast(CountFilter(parts, buckets))
+    sent = all(bits is not None for bits in parts.values())
+    if sent:
+        shared = docs.sparkSession.sparkContext.broadcast(CountFilter(parts, buckets))
+        own = own.withColumn("levels", F.lit(None).cast("binary"))
+    else:
+        shared = None
+        own = own.withColumn("levels", F.lit(None).cast("binary")).unionByName(
+            asked_levels(rows, buckets).select("bucket", "keys", F.lit(None).cast("binary").alias("counts"), "levels")
+        )
+
+    def levels_of(keys: np.ndarray, answers: pa.Table) -> np.ndarray:
+        if shared is not None:
+            return shared.value.levels(keys)
+        known, levels = joined(answers, "keys", "u8"), joined(answers, "levels", "u1")
+        order = np.argsort(known)
+        return levels[order][np.searchsorted(known[order], keys)].astype(np.int64) if len(keys) else np.zeros(0, np.int64)
 
     def run(part: pa.Table, mine: pa.Table) -> pa.Table:
-        filter_ = shared.value
+        is_count = mine.column("counts").is_valid()
+        mine, answers = mine.filter(is_count), mine.filter(mine.column("levels").is_valid())
         ids, first = tokens(part.column("text").combine_chunks())
         keys, counts = joined(mine, "keys", "u8"), joined(mine, "counts", "i8")
         order = np.argsort(keys)
@@ -237,7 +306,7 @@ def score(
         pairs = np.zeros(len(ids))
         ask = (c > 0) & (before > 0)
         distinct, back = np.unique(bigrams(ids, first)[ask], return_inverse=True)
-        pairs[ask] = np.minimum(middle(filter_.levels(distinct))[back], np.minimum(c, before)[ask])
+        pairs[ask] = np.minimum(middle(levels_of(distinct, answers))[back], np.minimum(c, before)[ask])
         model = (pairs + smoothing * single) / (before + smoothing)
         add = np.add.reduceat
         return pa.table(
@@ -253,5 +322,4 @@ def score(
         )
 
     texts = rows.select("bucket", "doc_id", "held_out", "text").groupBy("bucket")
-    own = known.where("bucket >= 0").select("bucket", "keys", "counts").groupBy("bucket")
-    return texts.cogroup(own).applyInArrow(run, SCORE_SCHEMA)
+    return texts.cogroup(own.groupBy("bucket")).applyInArrow(run, SCORE_SCHEMA)

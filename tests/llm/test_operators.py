@@ -266,6 +266,15 @@ def test_lm_scores(docs, texts):
         assert abs(r["score"] - model) < 0.1 * len(t)
 
 
+def test_lm_scores_do_not_depend_on_the_bits_sent(docs, texts):
+    table = docs(texts)
+    sent = by_id(lm_scores.score(table, bucket_bytes=20_000))
+    asked = by_id(lm_scores.score(table, bucket_bytes=20_000, max_bits=1 << 10))
+    assert sent.keys() == asked.keys()
+    for i, r in sent.items():
+        assert asked[i]["score"] == pytest.approx(r["score"], abs=1e-9) and asked[i]["n_known"] == r["n_known"], i
+
+
 def test_url_filters(spark):
     from labelmill.llm.ship import ship
 
