@@ -184,15 +184,13 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, SCHEMA)
 
 
-def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The whole rows of ``docs`` whose language is one of the model's; of a model without languages, all with a letter."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def keep_lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The whole rows of ``docs`` with a letter in their text; a text without one is ``und`` for every model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, max_rows=ROWS_A_PRODUCT):
-            texts, languages = part.column("text"), shared.value.languages
-            known = classify(texts, shared.value)[0] < len(languages) if languages else has_letter(*text_bytes(texts), texts)
-            yield part.select(["row"]).filter(pa.array(known))
+            texts = part.column("text")
+            yield part.select(["row"]).filter(pa.array(has_letter(*text_bytes(texts), texts)))
 
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
     rows = docs.select(text, F.struct("*").alias("row"))
