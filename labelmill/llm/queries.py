@@ -13,11 +13,13 @@ from labelmill.llm import (
     lm_scores,
     near_dedup,
     packing,
+    prefix_trie,
     quality_rules,
     sentencepieces,
     substring_dedup,
     token_counts,
     url_filters,
+    whitening,
 )
 from labelmill.llm.ship import ship
 
@@ -159,6 +161,63 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_by_labels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_nodes(table(spark, sf_dir, "conversations"))
+
+
+# crcs: CRC-32 of the decimal digits by its definition, eight shifts a character
+OP13_SQL = """
+WITH own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+           sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT DISTINCT conv_id FROM own),
+crc_steps AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS s FROM convs),
+crcs AS (
+  SELECT conv_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+           flatten(list_transform(range(1, length(s) + 1), lambda i: list_concat([-1 - CAST(ascii(substr(s, i, 1)) AS BIGINT)],
+             [-1000, -1000, -1000, -1000, -1000, -1000, -1000, -1000])))),
+           lambda a, x: CASE WHEN x > -1000 THEN xor(a, -1 - x)
+                             WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295) AS crc
+  FROM crc_steps),
+heads AS (SELECT conv_id, crc % 9 AS h FROM crcs),
+rebuilt AS (
+  SELECT h.conv_id, o.role, o.text, 0 AS part, o.pos
+  FROM heads h JOIN own o ON o.conv_id = h.conv_id - h.conv_id % 5 AND o.pos <= h.h
+  UNION ALL
+  SELECT h.conv_id, o.role, o.text, 1, o.pos FROM heads h JOIN own o ON o.conv_id = h.conv_id AND o.pos > h.h),
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth,
+         sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text) AS turn, strlen(text) AS bytes
+  FROM rebuilt),
+paths AS (
+  SELECT conv_id, depth, bytes, string_agg(turn, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM turns
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs),
+lengths AS (SELECT conv_id, max(depth) AS n FROM paths GROUP BY conv_id),
+members AS (
+  SELECT p.conv_id, p.depth, p.bytes, sha256(p.path) AS node,
+         CASE WHEN p.depth > 0 THEN sha256(substr(p.path, 1, CAST(64 * (p.depth - 1) AS BIGINT))) END AS parent, p.depth = l.n AS ends
+  FROM paths p JOIN lengths l USING (conv_id)),
+nodes AS (
+  SELECT depth, node, any_value(parent) AS parent, any_value(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM members GROUP BY depth, node),
+children AS (SELECT depth - 1 AS depth, parent AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+counted AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN children c USING (depth, node)),
+below AS (
+  SELECT a.depth, a.node, sum((n.n_children = 0)::BIGINT) AS n_leaves, sum((n.n_convs - 1) * n.bytes) AS saved_tokens
+  FROM counted n JOIN members a ON a.conv_id = n.conv_id AND a.depth <= n.depth GROUP BY 1, 2)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children,
+       CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM counted n JOIN below b USING (depth, node) LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.node = n.parent"""
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_near_dedup": (op1_near_dedup, None),
     "op2_exact_dedup": (op2_exact_dedup, OP2_SQL),
@@ -170,4 +229,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_sentencepiece": (op8_sentencepiece, None),
     "op9_language_id": (op9_language_id, None),
     "op10_quality_rules": (op10_quality_rules, None),
+    "op11_embedding_whitening": (op11_embedding_whitening, None),
+    "op13_prefix_trie": (op13_prefix_trie, OP13_SQL),
 }
