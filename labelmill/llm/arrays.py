@@ -7,6 +7,7 @@ occurs inside a multi-byte character, so splitting bytes equals splitting charac
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -75,24 +76,37 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
+#: Values hashed with one table of powers; longer ranges are put together from blocks.
+HASH_BLOCK = 1 << 18
 
-    def __init__(self, base: np.uint64):
-        self.base, self.inverse = base, np.uint64(pow(int(base), -1, 1 << 64))
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            for name, base in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(n, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up, self.down
+@lru_cache(maxsize=None)
+def _powers(which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64, one block of each."""
+    out = []
+    for base in (int(_BASES[which]), pow(int(_BASES[which]), -1, 1 << 64)):
+        steps = np.full(HASH_BLOCK + 1, base, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
 
 
-_POWERS = [_Powers(b) for b in _BASES]
+def _sums(values: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """Prefix sums of the values, each times the power of its place."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:])
+    return sums
+
+
+def _long_hash(values: np.ndarray, which: int) -> int:
+    """The polynomial of one range of any length, block by block."""
+    up, _ = _powers(which)
+    total, shift = 0, 1
+    for lo in range(0, len(values), HASH_BLOCK):
+        block = values[lo : lo + HASH_BLOCK]
+        total += shift * int(_sums(block, up)[-1])
+        shift = shift * int(up[len(block)]) % (1 << 64)
+    return total % (1 << 64)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -110,20 +124,35 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which
     the values are read in blocks, so memory follows the block, not the text.
     """
     out = np.empty(len(starts), np.uint64)
+    up, down = _powers(which)
     lo = 0
     while lo < len(starts):
         base = int(starts[lo])
-        hi = max(lo + 1, int(np.searchsorted(starts, base + CHUNK_BYTES)))
-        stop = int(ends[lo:hi].max())
-        up, down = _POWERS[which].get(stop - base + 1)
-        sums = np.zeros(stop - base + 1, np.uint64)
-        np.cumsum((values[base:stop].astype(np.uint64) + np.uint64(1)) * up[: stop - base], out=sums[1:])
+        hi = max(lo + 1, int(np.searchsorted(starts, base + HASH_BLOCK // 2)))
         s, e = starts[lo:hi] - base, ends[lo:hi] - base
-        out[lo:hi] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
+        far = e > HASH_BLOCK
+        near = np.where(far, s, e)
+        sums = _sums(values[base : base + int(near.max())], up)
+        out[lo:hi] = (sums[near] - sums[s]) * down[s]
+        for i in (np.flatnonzero(far) + lo).tolist():
+            out[i] = _long_hash(values[starts[i] : ends[i]], which)
+        out[lo:hi] += (e - s).astype(np.uint64)
         lo = hi
     return mix(out, which)
 
 
+def rolling_hashes(values: np.ndarray, width: int, which: int = 2) -> np.ndarray:
+    """The polynomial hash of every run of ``width`` values, by start; ``width`` is at most half a block."""
+    up, down = _powers(which)
+    n, step = len(values) - width + 1, HASH_BLOCK - width + 1
+    out = np.empty(max(n, 0), np.uint64)
+    for lo in range(0, n, step):
+        m = min(step, n - lo)
+        sums = _sums(values[lo : lo + m + width - 1], up)
+        out[lo : lo + m] = (sums[width:] - sums[:-width]) * down[:m]
+    return out
+
+
 def gram_starts(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(word index, text index) of every run of ``k`` consecutive words within one text."""
     counts = np.maximum(np.diff(first) - (k - 1), 0)
