@@ -17,6 +17,7 @@ from labelmill.llm import (
     quality_rules,
     sentencepieces,
     substring_dedup,
+    suffix_dedup,
     token_counts,
     url_filters,
     whitening,
@@ -165,6 +166,33 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+codes AS (SELECT row, doc_id, strlen(text) AS n_bytes, hex(encode(text)) AS code FROM texts),
+windows AS (
+  SELECT row, p, md5(substr(code, CAST(2 * p - 1 AS BIGINT), 800)) AS h
+  FROM (SELECT row, code, unnest(range(1, n_bytes - 398)) AS p FROM codes WHERE n_bytes >= 400)),
+twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+hits AS (SELECT w.row, w.p FROM windows w JOIN twice t USING (h)),
+steps AS (SELECT row, p, p - lag(p) OVER (PARTITION BY row ORDER BY p) AS gap FROM hits),
+parts AS (SELECT row, p, sum(CASE WHEN gap <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY row ORDER BY p) AS part FROM steps),
+spans AS (SELECT row, part, min(p) AS a, max(p) + 399 AS b FROM parts GROUP BY row, part),
+pieces AS (
+  SELECT row, a, b, lag(b, 1, 0) OVER (PARTITION BY row ORDER BY a) AS before FROM spans),
+kept AS (
+  SELECT c.row, count(*) AS n_spans, sum(p.b - p.a + 1) AS n_removed,
+         string_agg(substr(c.code, CAST(2 * p.before + 1 AS BIGINT), CAST(2 * (p.a - 1 - p.before) AS BIGINT)), '' ORDER BY p.a)
+           || substr(any_value(c.code), CAST(2 * max(p.b) + 1 AS BIGINT)) AS code
+  FROM pieces p JOIN codes c USING (row) GROUP BY c.row)
+SELECT c.doc_id, CAST(c.n_bytes AS BIGINT) AS n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(k.n_spans, 0) AS n_spans, sha256(unhex(coalesce(k.code, c.code))) AS kept_sha256
+FROM codes c LEFT JOIN kept k USING (row)"""
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie_nodes(table(spark, sf_dir, "conversations"))
 
@@ -230,5 +258,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op9_language_id": (op9_language_id, None),
     "op10_quality_rules": (op10_quality_rules, None),
     "op11_embedding_whitening": (op11_embedding_whitening, None),
+    "op12_suffix_dedup": (op12_suffix_dedup, OP12_SQL),
     "op13_prefix_trie": (op13_prefix_trie, OP13_SQL),
 }
