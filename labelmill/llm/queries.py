@@ -173,9 +173,12 @@ def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP12_SQL = """
 WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
 codes AS (SELECT row, doc_id, strlen(text) AS n_bytes, hex(encode(text)) AS code FROM texts),
+blocks AS (
+  SELECT row, s, least(s + 256, n_bytes - 398) AS e, substr(code, CAST(2 * s - 1 AS BIGINT), 1310) AS code
+  FROM (SELECT row, n_bytes, code, unnest(range(1, n_bytes - 398, 256)) AS s FROM codes WHERE n_bytes >= 400)),
 windows AS (
-  SELECT row, p, md5(substr(code, CAST(2 * p - 1 AS BIGINT), 800)) AS h
-  FROM (SELECT row, code, unnest(range(1, n_bytes - 398)) AS p FROM codes WHERE n_bytes >= 400)),
+  SELECT row, p, md5(substr(code, CAST(2 * (p - s) + 1 AS BIGINT), 800)) AS h
+  FROM (SELECT row, s, code, unnest(range(s, e)) AS p FROM blocks)),
 twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
 hits AS (SELECT w.row, w.p FROM windows w JOIN twice t USING (h)),
 steps AS (SELECT row, p, p - lag(p) OVER (PARTITION BY row ORDER BY p) AS gap FROM hits),
