@@ -46,9 +46,6 @@ BLOCK = 1 << 20
 #: Bytes of stretches in a shard, on average; an anchor with more is broken into windows.
 SHARD_BYTES = 1 << 20
 PLACE_BITS = np.uint64(21)
-#: Steps to the right before an interval's end is looked up instead.
-NEAR = 24
-
 KEY = ["anchor", "s1", "s2"]
 PLACE = "anchor: long, s1: long, s2: long, lo: int, hi: int"
 
@@ -122,12 +119,20 @@ def sort_suffixes(symbols: np.ndarray, rest: np.ndarray, piece: np.ndarray) -> n
 
     ``rest`` is the number of symbols before the piece's end. Only suffixes not yet told apart are sorted again.
     """
-    n, h = len(symbols), 7
-    padded = np.append(symbols, np.zeros(h, symbols.dtype)).astype(np.int64)
-    key = np.zeros(n, np.int64)
+    n = len(symbols)
+    used = np.zeros(int(symbols.max(initial=0)) + 1, np.int64)
+    used[symbols] = 1
+    used[0] = 0
+    letters = np.cumsum(used) * used  # dense numbers, so that more of them fit one key
+    bits = max(1, int(letters.max()).bit_length())
+    h = 63 // bits
+    padded = np.append(letters[symbols], np.zeros(h, np.int64))
+    key, live = np.zeros(n, np.int64), np.ones(n, np.int64)
     for t in range(h):
-        key = (key << 9) | np.where(rest >= t, padded[t : n + t], 0)
-    order = np.argsort(key, kind="stable")
+        now = padded[t : n + t] * live
+        key = (key << bits) | now
+        live = (now > 0).astype(np.int64)
+    order = np.argsort(key)
     key = key[order]
     new = np.append(True, key[1:] != key[:-1])
     rank = np.empty(n, np.int64)
@@ -139,7 +144,7 @@ def sort_suffixes(symbols: np.ndarray, rest: np.ndarray, piece: np.ndarray) -> n
         group = rank[at]
         goes_on = rest[at] >= h
         second = np.where(goes_on, rank[np.minimum(at + h, n - 1)] + n, piece[at])
-        turn = np.lexsort((second, group))
+        turn = np.argsort(group * (2 * n) + second)
         at, group, second = at[turn], group[turn], second[turn]
         order[open_] = at
         new = np.append(True, (group[1:] != group[:-1]) | (second[1:] != second[:-1]))
@@ -149,6 +154,23 @@ def sort_suffixes(symbols: np.ndarray, rest: np.ndarray, piece: np.ndarray) -> n
     return order
 
 
+def interval_widths(flags: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Distance from each of ``heads`` to the next set flag after it; the last flag is set."""
+    out = np.ones(len(heads), np.int64)
+    open_, start, step = np.flatnonzero(~flags[heads + 1]), 2, 8
+    while len(open_):
+        if len(open_) * step > len(flags):  # as many looks as flags: look them all up
+            bounds = np.flatnonzero(flags)
+            out[open_] = bounds[np.searchsorted(bounds, heads[open_], "right")] - heads[open_]
+            break
+        look = flags[np.minimum(heads[open_, None] + (start + np.arange(step)), len(flags) - 1)]
+        at = look.argmax(1)
+        hit = look[np.arange(len(open_)), at]
+        out[open_[hit]] = start + at[hit]
+        open_, start, step = open_[~hit], start + step, step * 8
+    return out
+
+
 def divided(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """Flags of the suffixes, in suffix order, that share fewer than ``length`` symbols with the one before.
 
@@ -172,26 +194,12 @@ def divided(symbols: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     for _ in range(1, length):
         if not len(new):
             break
-        found = []
-
-        def extend(place: np.ndarray, head: np.ndarray) -> None:
-            ok = (bwt[place] > 0) & (before[place] < head)
-            target = last_to_first[place[ok]]
-            found.append(target[~flags[target]])
-
-        head = new
-        for step in range(NEAR):
-            extend(head + step, head)
-            head = head[~flags[head + step + 1]]
-            if not len(head):
-                break
-        if len(head):  # long intervals: to their ends, all at once
-            bounds = np.flatnonzero(flags)
-            width = bounds[np.searchsorted(bounds, head, "right")] - head - NEAR
-            which = np.repeat(np.arange(len(head)), width)
-            inside = np.arange(len(which)) - np.repeat(np.cumsum(width) - width, width)
-            extend(head[which] + NEAR + inside, head[which])
-        new = np.sort(np.concatenate(found))
+        width = interval_widths(flags, new)
+        head = np.repeat(new, width)
+        place = head + np.arange(len(head)) - np.repeat(np.cumsum(width) - width, width)
+        first = (bwt[place] > 0) & (before[place] < head)
+        new = last_to_first[place[first]]
+        new = np.sort(new[~flags[new]])
         flags[new] = True
     return flags[:n]
 
