@@ -1,5 +1,9 @@
 """String expressions. All are built-in and stay inside the JVM."""
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,3 +54,49 @@ def class_line(name: Column, pct: Column) -> Column:
 def cut(c: Column, chars: int = ERROR_TEXT_CHARS) -> Column:
     """Display form of a long text; ``c`` itself is left whole."""
     return F.when(F.length(c) > chars, F.concat(F.substring(c, 1, chars), F.lit("..."))).otherwise(c)
+
+
+@lru_cache(maxsize=1)
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """(from, to, several): by rule over all code points, the characters that lose marks by decomposition.
+
+    ``translate`` takes one character to one, and those of ``from`` beyond the end of ``to`` (the
+    marks themselves) to none; ``several`` are the few that leave two or more characters.
+    """
+    one, gone, several = [], [], {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        if "\uac00" <= c <= "\ud7a3" or "\ud800" <= c <= "\udfff":
+            continue  # Korean syllables are taken apart by arithmetic below
+        left = "".join(d for d in unicodedata.normalize("NFD", c) if unicodedata.category(d) != "Mn")
+        if left == c:
+            continue
+        if len(left) == 1:
+            one.append((c, left))
+        elif left:
+            several[c] = left
+        else:
+            gone.append(c)
+    return "".join(a for a, _ in one) + "".join(gone), "".join(b for _, b in one), several
+
+
+def _letters_of_syllables(c: Column) -> Column:
+    """Korean syllables as their letters: 19 x 21 x 28 of them, in order from U+AC00."""
+    first, middle, last = ("".join(map(chr, range(a, a + n))) for a, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+
+    def letters(ch: Column) -> Column:
+        n = F.ascii(ch) - 0xAC00
+        parts = [(first, F.floor(n / 588)), (middle, F.floor(n % 588 / 28)), (last, n % 28 - 1)]
+        taken = [F.when(i >= 0, F.substring(F.lit(s), (i + 1).cast("int"), F.lit(1))).otherwise("") for s, i in parts]
+        return F.when((n >= 0) & (n < 11172), F.concat(*taken)).otherwise(ch)
+
+    return F.array_join(F.transform(F.split(c, ""), letters), "")
+
+
+def fold_marks(c: Column) -> Column:
+    """Canonical decomposition without its non-spacing marks: ``é`` becomes ``e``."""
+    source, target, several = _folding()
+    wide = c
+    for a, b in several.items():
+        wide = F.replace(wide, F.lit(a), F.lit(b))
+    out = F.translate(F.when(c.rlike(f"[{''.join(several)}]"), wide).otherwise(c), source, target)
+    return F.when(c.rlike("[\uac00-\ud7a3]"), _letters_of_syllables(out)).otherwise(out)

@@ -1,30 +1,45 @@
-"""Greedy longest-match sub-word segmentation as joins over distinct words."""
+"""Greedy longest-match sub-word segmentation of distinct words."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelmill.operators.piece_trie import CONTINUATION, collect_trie
 from labelmill.operators.tokens import UNK
 from labelmill.functions.text import words
 from labelmill.scratch import lookup_join, materialize
 
-# Fixed value: the continuation mark.
-CONTINUATION = "##"
-
 
 def segment_words(distinct_words: DataFrame, vocab: DataFrame, max_word_chars: int | None = None) -> DataFrame:
-    """(word, pieces, piece_ids) for every word that ``vocab(piece, token_id)`` can spell.
+    """(word, pieces, piece_ids) for every word that ``vocab(piece, token_id)`` can spell, longest match first.
+
+    A vocabulary within the bounds of :mod:`piece_trie` is walked letter by letter, without any
+    further row; a larger one is joined. A word of more than ``max_word_chars`` characters, where
+    that is given, has no row.
+    """
+    if max_word_chars is not None:
+        distinct_words = distinct_words.where(F.length("word") <= max_word_chars)
+    trie = collect_trie(vocab)
+    if trie is None:
+        return join_substrings(distinct_words, vocab)
+    walked = distinct_words.select("word", trie.walk(F.array("word"))[0].alias("spelled")).where("spelled IS NOT NULL")
+    return walked.select(
+        "word",
+        trie.piece_texts(F.col("spelled")).alias("pieces"),
+        trie.piece_ids(F.col("spelled")).alias("piece_ids"),
+    )
+
+
+def join_substrings(distinct_words: DataFrame, vocab: DataFrame) -> DataFrame:
+    """The same for a vocabulary of any size.
 
     All substrings as long as some piece are looked up; the longest hit per start is kept
-    and the hits are chained from the first character on. A word with a gap has no row, nor
-    has one of more than ``max_word_chars`` characters where that is given.
+    and the hits are chained from the first character on. A word with a gap has no row.
     """
     bare = F.regexp_replace("piece", f"^{CONTINUATION}", "")
     sizes = vocab.agg(F.sort_array(F.collect_set(F.length(bare)))).first()[0]  # lengths of pieces that occur
     size = F.length("word")
-    if max_word_chars is not None:
-        distinct_words = distinct_words.where(size <= max_word_chars)
     lengths = F.array(*map(F.lit, sizes)).cast("array<int>")
     spans = (
         distinct_words.select("word", F.explode(F.sequence(F.lit(1), size)).alias("start"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
-from labelmill.functions.text import words, words_and_marks
+from labelmill.functions.text import fold_marks, words, words_and_marks
 from labelmill.operators import subwords as sub
 from labelmill.operators import tokens
+from labelmill.operators.encoder import SubwordEncoder
 from labelmill.plans.training import prepare
-from labelmill.scratch import materialize
+from labelmill.scratch import materialize, new_path
+from labelmill.sources.vocabulary import read_vocabulary, write_vocabulary
 from labelmill.workload.base import WORDS, corpus_sql, joined, samples, spread_samples, table
 
 MARKS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')"
@@ -155,6 +158,76 @@ SELECT d.doc_id AS id, coalesce(t.input_ids, '') AS input_ids
 FROM documents d LEFT JOIN texts t ON t.id = d.doc_id"""
 
 
+def word_split_folded(spark, sf):
+    docs = spread_samples(spark, sf).select("id", words(fold_marks(F.lower("text"))).alias("w"))
+    return docs.select("id", F.array_join("w", " ").alias("words"))
+
+
+def vocabulary_file(spark, sf):
+    """The vocabulary written as text files, a word a line, and read back by line number."""
+    path = new_path(spark, "vocabulary")
+    write_vocabulary(tokens.vocabulary(spread_samples(spark, sf)), path, "token")
+    return read_vocabulary(spark, path)
+
+
+def _short_pieces(spark, sf):
+    """All runs of one to three letters in the tokens of ``conversations``, for starts and insides of words."""
+    tokens_ = table(spark, sf, "conversations").select(F.explode(words_and_marks(F.col("text"))).alias("token")).distinct()
+    length = F.explode(F.sequence(F.lit(1), F.least(F.length("token"), F.lit(3)))).alias("n")
+    runs = tokens_.select("token", length).select(
+        "token", "n", F.explode(F.sequence(F.lit(1), F.length("token") - F.col("n") + 1)).alias("at")
+    )
+    starts = runs.select(F.substring("token", F.col("at"), F.col("n")).alias("piece")).distinct()
+    inside = starts.select(F.concat(F.lit(sub.CONTINUATION), "piece").alias("piece"))
+    return tokens.with_dense_ids(starts.union(inside), [F.asc("piece")], "token_id", start=len(tokens.RESERVED))
+
+
+def subword_encode(spark, sf):
+    """Texts to padded piece ids, by a pipeline that was fitted on a vocabulary file, saved and loaded."""
+    reserved = spark.createDataFrame(list(enumerate(tokens.RESERVED)), "token_id int, piece string")
+    path = new_path(spark, "vocabulary")
+    write_vocabulary(_short_pieces(spark, sf).unionByName(reserved), path)
+    docs = spread_samples(spark, sf)
+    saved = new_path(spark, "encoder")
+    Pipeline(stages=[SubwordEncoder(vocabularyPath=path)]).fit(docs).write().save(saved)
+    encoded = PipelineModel.load(saved).transform(docs)
+    return encoded.select("id", joined("input_ids").alias("input_ids"), joined("attention_mask").alias("attention_mask"))
+
+
+SUBWORD_ENCODE = rf"""
+WITH RECURSIVE
+turn_tokens AS (SELECT DISTINCT unnest({MARKS}) AS token FROM conversations),
+sizes AS (SELECT token, unnest(range(1, least(length(token), 3) + 1)) AS n FROM turn_tokens),
+runs AS (SELECT token, n, unnest(range(1, length(token) - n + 2)) AS place FROM sizes),
+parts AS (SELECT DISTINCT substring(token, place, n) AS piece FROM runs),
+vocab AS (
+  SELECT piece, row_number() OVER (ORDER BY piece) + 3 AS token_id
+  FROM (SELECT piece FROM parts UNION ALL SELECT '##' || piece FROM parts)),
+kept AS (SELECT doc_id AS id, list_slice({MARKS}, 1, 62) AS words FROM documents),
+occurrences AS (SELECT id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM kept),
+distinct_words AS (SELECT DISTINCT word FROM occurrences),
+hits AS (
+  SELECT s.word, s.start, s.len, v.token_id, row_number() OVER (PARTITION BY s.word, s.start ORDER BY s.len DESC) AS rn
+  FROM (SELECT word, start, unnest([1, 2, 3]) AS len
+        FROM (SELECT word, unnest(range(1, length(word) + 1)) AS start FROM distinct_words)) s
+  JOIN vocab v ON v.piece = CASE WHEN s.start > 1 THEN '##' ELSE '' END || substring(s.word, s.start, s.len)
+  WHERE s.start + s.len <= length(s.word) + 1),
+walk AS (
+  SELECT word, CAST(1 AS BIGINT) AS reached, CAST([] AS BIGINT[]) AS ids FROM distinct_words
+  UNION ALL
+  SELECT w.word, w.reached + h.len, list_append(w.ids, h.token_id)
+  FROM walk w JOIN hits h ON h.word = w.word AND h.start = w.reached AND h.rn = 1),
+spelled AS (SELECT word, ids FROM walk WHERE reached = length(word) + 1),
+texts AS (
+  SELECT o.id, list_slice(flatten(list(coalesce(s.ids, [1]) ORDER BY o.pos)), 1, 62) AS ids
+  FROM occurrences o LEFT JOIN spelled s ON s.word = o.word GROUP BY o.id),
+ended AS (
+  SELECT k.id, list_concat([2], coalesce(t.ids, CAST([] AS BIGINT[])), [3]) AS ids FROM kept k LEFT JOIN texts t ON t.id = k.id)
+SELECT id, array_to_string(ids, ',') || repeat(',0', 64 - len(ids)) AS input_ids,
+       '1' || repeat(',1', len(ids) - 1) || repeat(',0', 64 - len(ids)) AS attention_mask
+FROM ended"""
+
+
 QUERIES = {
     "word_split": (
         word_split,
@@ -172,4 +245,11 @@ QUERIES = {
     "pad_mask": (pad_mask, PAD_MASK),
     "subword_pieces": (subword_pieces, f"{SUBWORDS} SELECT word, pieces FROM spelled"),
     "subword_ids": (subword_ids, SUBWORD_IDS),
+    "word_split_folded": (
+        word_split_folded,
+        f"""SELECT id, coalesce(array_to_string(w, ' '), '') AS words
+            FROM (SELECT doc_id AS id, {WORDS} AS w FROM (SELECT doc_id, strip_accents(lower(text)) AS text FROM documents))""",
+    ),
+    "vocabulary_file": (vocabulary_file, f"WITH {VOCABULARY} SELECT token AS piece, token_id FROM vocab"),
+    "subword_encode": (subword_encode, SUBWORD_ENCODE),
 }

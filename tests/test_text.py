@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelmill.functions import text as tx
+from labelmill.operators import piece_trie
 from labelmill.operators import subwords as sub
 from labelmill.operators import tokens
 from labelmill.scratch import materialize
@@ -74,8 +75,6 @@ def test_padding_goes_to_the_longest_row_only(spark):
 
 
 def greedy(word, vocab):
-    if len(word) > 100:
-        return ["[UNK]"]
     out, at = [], 0
     while at < len(word):
         ends = [e for e in range(len(word), at, -1) if ("##" if at else "") + word[at:e] in vocab]
@@ -86,7 +85,10 @@ def greedy(word, vocab):
     return out
 
 
-def test_subwords_against_brute_force(spark, make):
+@pytest.mark.parametrize("max_letters", [piece_trie.MAX_LETTERS, 0])
+def test_subwords_against_brute_force(spark, make, monkeypatch, max_letters):
+    """By the trie, and by the joins that stand in for it beyond its bound."""
+    monkeypatch.setattr(piece_trie, "MAX_LETTERS", max_letters)
     rng = random.Random(7)
     pieces = ["un", "aff", "##aff", "##able", "##a", "##ab", "##le", "a", "b", "##b", "ab", "##ba", "é", "##é"]
     vocab = spark.createDataFrame([(p, i) for i, p in enumerate(pieces, start=4)], "piece string, token_id int")
@@ -102,3 +104,5 @@ def test_subwords_against_brute_force(spark, make):
     spelled = {r["word"]: (r["pieces"], r["piece_ids"]) for r in sub.segment_words(distinct, vocab).collect()}
     by_hand = {w: greedy(w, ids) for w in words}
     assert spelled == {w: (p, [ids[x] for x in p]) for w, p in by_hand.items() if p != ["[UNK]"]}
+    short = {r["word"] for r in sub.segment_words(distinct, vocab, max_word_chars=100).collect()}
+    assert short == {w for w in spelled if len(w) <= 100} and short < set(spelled)
