@@ -41,8 +41,9 @@ from labelmill.scratch import materialize
 
 MIN_LENGTH = 400
 GRAM = 100
-#: Window starts screened at once.
+#: Window starts screened at once, and text bytes taken from a batch at once.
 BLOCK = 1 << 20
+SCAN_BYTES = 1 << 18
 #: Bytes of stretches in a shard, on average; an anchor with more is broken into windows.
 SHARD_BYTES = 1 << 20
 PLACE_BITS = np.uint64(21)
@@ -91,7 +92,7 @@ def scan(rows: DataFrame, length: int, gram: int) -> DataFrame:
     place = [("anchor", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
+        for part in chunks(batches, SCAN_BYTES):
             data, offsets = text_bytes(part.column("text"))
             text, lo, hi, anchor, s1, s2 = stretches(data, offsets, length, gram)
             values = pa.StructArray.from_arrays(
