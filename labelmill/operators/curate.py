@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from labelmill.functions.text import not_blank
-from labelmill.scratch import lookup_join, materialize
+from labelmill.operators.labels import MAX_CLASSES
+from labelmill.scratch import lookup_join, materialize, with_row_key
+
+#: Row places (8 bytes each) sent to every task at once.
+MAX_PLACES = 8_000_000
 
 # Label descriptions, in class order.
 DESCRIPTIONS = (
@@ -39,15 +43,53 @@ def drop_blank(df: DataFrame, text: str = "text") -> DataFrame:
 def dedup_keep_first(
     df: DataFrame, text: str = "text", priority: Sequence[str] = ("source_rank", "ord")
 ) -> DataFrame:
-    """One row per exact text: the one first in ``priority`` order. Null texts are equal.
+    """One row per exact text: the one first in ``priority`` order. Null texts are equal."""
+    return dedup_with_counts(df, text, priority)[0]
+
+
+def dedup_with_counts(
+    df: DataFrame, text: str = "text", priority: Sequence[str] = ("source_rank", "ord")
+) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`dedup_keep_first`, and the rows before, after and removed, counted on the way.
 
-    An aggregate, not a window: each task first reduces its own copies of a text, so a text
-    that makes up a third of the corpus sends one row per task through the shuffle. The hash
-    in front of the text lets Spark sort by a number; equality is still that of the texts.
+    The rows are written once. Which of them stay is decided on their SHA-256, priority and place
+    alone, by an aggregate that each task begins on its own copies; so no text is sorted or shuffled, and a
+    text that makes up a third of the corpus sends one short row per task. The places of the rows
+    that go then filter the written table.
     """
-    rest = [c for c in df.columns if c != text]
-    first = F.min_by(F.struct(*rest), F.struct(*priority)).alias("_first")
-    return df.groupBy(F.xxhash64(text), text).agg(first).select(*[c if c == text else F.col(f"_first.{c}") for c in df.columns])
+    before, gone = Observation(), Observation()
+    keyed = with_row_key(df.observe(before, F.count(F.lit(1)).alias("n")))
+    digest = F.unhex(F.sha2(F.col(text), 256)).alias("_digest")
+    first = keyed.select(digest, F.struct(*priority, "_row").alias("_first")).groupBy("_digest").agg(F.min("_first").alias("_first"))
+    places = keyed.select("_row").join(first.select("_first._row"), "_row", "left_anti")
+    dropped = materialize(places.observe(gone, F.count(F.lit(1)).alias("n")), "dropped")
+    n, removed = before.get["n"], gone.get["n"]
+    kept = without_places(keyed, dropped, removed).select(*df.columns)
+    return kept, {"rows_before": n, "rows_after": n - removed, "removed": removed}
+
+
+def without_places(keyed: DataFrame, dropped: DataFrame, n: int, max_rows: int = MAX_PLACES) -> DataFrame:
+    """``keyed`` without the rows whose ``_row`` is among the ``n`` of ``dropped`` (both written), where they lie.
+
+    Up to ``max_rows`` places are sent to every task at once. More of them are sent in rounds, each
+    with the places of a range of the table's files, and each reading these files only.
+    """
+    if n <= max_rows:
+        return keyed.join(F.broadcast(dropped), "_row", "left_anti")
+    part = F.shiftright("_row", 40)
+    sizes = dropped.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()  # one row a file
+    rounds, taken = [0], 0
+    for row in sizes:
+        if taken and taken + row["n"] > max_rows:
+            rounds.append(row["part"])
+            taken = 0
+        taken += row["n"]
+    done = []
+    for lo, hi in zip(rounds, [*rounds[1:], 1 << 22]):
+        files = keyed.where(F.col("_metadata.file_name").between(f"part-{lo:05d}", f"part-{hi - 1:05d}~"))
+        mine = dropped.where((part >= lo) & (part < hi))
+        done.append(files.join(F.broadcast(mine), "_row", "left_anti"))
+    return reduce(DataFrame.unionByName, done)
 
 
 def duplicates_removed(df: DataFrame, text: str = "text") -> DataFrame:
@@ -84,7 +126,13 @@ def min_class_size(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def profile(df: DataFrame, label: str = "label", text: str = "text", ord: str = "ord") -> DataFrame:
-    """Per label: number of samples and its first text as the example."""
-    return df.groupBy(label).agg(
-        F.count("*").alias("samples"), F.min_by(text, ord).alias("example")
-    )
+    """Per label: number of samples and its first text as the example.
+
+    The first row of each label is chosen by its place; only the chosen texts are fetched.
+    """
+    keyed = with_row_key(df.select(label, text, ord))
+    counted = keyed.groupBy(label).agg(F.count("*").alias("samples"), F.min(F.struct(ord, "_row")).alias("_first"))
+    chosen = counted.select(label, "samples", "_first._row")
+    if chosen.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+        raise ValueError(f"column {label} has more than {MAX_CLASSES} distinct values")
+    return keyed.select("_row", F.col(text).alias("example")).join(F.broadcast(chosen), "_row").select(label, "samples", "example")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from labelmill.operators.labels import Classes, class_sizes
 from labelmill.operators.tokens import word_rows
-from labelmill.scratch import BROADCAST_BYTES, hot_keys, materialize, row_bytes, shuffled_lookup
+from labelmill.scratch import BROADCAST_BYTES, hot_keys, materialize, row_bytes, shuffled_lookup, with_row_key
 
 
 @dataclass(frozen=True)
@@ -71,26 +71,38 @@ def fit(
     return fit_from_counts(counts, sizes, classes, smoothing)
 
 
+def _firsts(columns: Sequence[str]) -> list:
+    """Columns that are the same in all rows of a group."""
+    return [F.first(c).alias(c) for c in columns]
+
+
 def class_scores(
     df: DataFrame,
     model: NaiveBayesModel,
     keep: Sequence[str],
     text: str = "text",
     max_bytes: int = BROADCAST_BYTES,
+    row: str | None = None,
 ) -> DataFrame:
-    """(*keep, scores): log prior plus summed log-likelihoods of the known words, per class.
+    """(*keep, scores): log prior plus summed log-likelihoods of the known words, per class and row of ``df``.
 
-    ``keep`` names columns of the result and must identify a row, its first one alone.
+    ``row`` names a column of ``keep`` that is known to be unique; without one the rows are
+    written first and told apart by their place, so equal ids are never merged.
     A model that fits is broadcast: words meet it where the text was read and only k sums
     per text are shuffled. A larger one is joined on (word, salt), from words counted per text.
     """
     k = len(model.classes)
-    rows = word_rows(df, keep, text)
+    keep = list(keep)
+    if row is None:
+        row, df = "_row", with_row_key(df.select(*keep, F.col(text).alias(text)) if text not in keep else df.select(*keep))
+    carried = [c for c in keep if c != row]
+    rows = word_rows(df, [row, *carried], text)
     if model.bytes <= max_bytes:
         joined = rows.join(F.broadcast(model.tokens), "token", "left").withColumn("tf", F.lit(1))
     else:
-        counted = rows.groupBy(*keep, "token").agg(F.count("*").alias("tf"))
-        joined = shuffled_lookup(counted, model.tokens, "token", keep[0], hot=hot_keys(rows, "token"))
-    summed = joined.groupBy(*keep).agg(*[F.expr(f"sum(get(weights, {c}) * tf) AS _s{c}") for c in range(k)])
+        counted = rows.groupBy(row, "token").agg(F.count("*").alias("tf"), *_firsts(carried))
+        joined = shuffled_lookup(counted, model.tokens, "token", row, hot=hot_keys(rows, "token"))
+    sums = [F.expr(f"sum(get(weights, {c}) * tf) AS _s{c}") for c in range(k)]
+    summed = joined.groupBy(row).agg(*_firsts(carried), *sums)
     scores = ", ".join(f"coalesce(_s{c}, 0D) + double('{p!r}')" for c, p in enumerate(model.log_priors))
     return summed.select(*keep, F.expr(f"array({scores})").alias("scores"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from labelmill.operators.piece_trie import CONTINUATION, collect_trie
 from labelmill.operators.tokens import UNK
 from labelmill.functions.text import words
-from labelmill.scratch import lookup_join, materialize
+from labelmill.scratch import lookup_join, materialize, with_row_key
 
 
 def segment_words(distinct_words: DataFrame, vocab: DataFrame, max_word_chars: int | None = None) -> DataFrame:
@@ -97,15 +97,17 @@ def subwords(
 ) -> DataFrame:
     """(id, input_ids): piece ids per text; a word that cannot be spelled becomes one [UNK].
 
-    Only distinct words are segmented; their piece ids are then joined back to the texts.
+    Only distinct words are segmented; their piece ids are then joined back to the texts. Rows
+    that share an id stay rows of their own.
     """
-    rows = df.select(id, F.posexplode_outer(words(F.col(text))).alias("pos", "word"))
+    rows = with_row_key(df.select(id, words(F.col(text)).alias("_words")))
+    rows = rows.select("_row", id, F.posexplode_outer("_words").alias("pos", "word"))
     distinct_words = rows.where(F.col("word").isNotNull()).select("word").distinct()
     spelled = segment_words(distinct_words, vocab, max_word_chars).select("word", "piece_ids")
-    found = lookup_join(rows, materialize(spelled, "segmented"), "word", id)
+    found = lookup_join(rows, materialize(spelled, "segmented"), "word", "_row")
     item = F.struct("pos", F.coalesce("piece_ids", F.array(F.lit(unk_id))).alias("piece_ids"))
     return (
-        found.groupBy(id)
-        .agg(F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), item))).alias("items"))
+        found.groupBy("_row")
+        .agg(F.first(id).alias(id), F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), item))).alias("items"))
         .select(id, F.flatten("items.piece_ids").alias("input_ids"))
     )

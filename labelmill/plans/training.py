@@ -61,7 +61,8 @@ def with_validation(prepared: Prepared, valid_percent: int = 20, seed: int = 43)
 
 
 def nb_predictions(test: DataFrame, model: NaiveBayesModel, keep=("id", "label")) -> DataFrame:
-    return scoring.with_prediction(naive_bayes.class_scores(test, model, list(keep)), model.classes)
+    """Predictions of a fold, whose ids are unique (the split needs that)."""
+    return scoring.with_prediction(naive_bayes.class_scores(test, model, list(keep), row="id"), model.classes)
 
 
 def train_and_test(samples: DataFrame) -> tuple[NaiveBayesModel, DataFrame]:

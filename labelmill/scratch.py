@@ -46,6 +46,17 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(df: DataFrame, name: str = "_row") -> DataFrame:
+    """``df`` written once, with a number that tells its rows apart and stays the same in every later pass.
+
+    It is the row's place in the written table, so rows that are equal or share an id stay
+    rows of their own through any explode and aggregate.
+    """
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("bigint")
+    key = F.shiftleft(part, 40) + F.col("_metadata.row_index")  # one file a task
+    return materialize(df, "rows").withColumn(name, key)
+
+
 def row_bytes(schema: T.StructType) -> Column:
     """Upper estimate of the bytes one row takes in a broadcast hash table."""
     size = F.lit(64)

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill import schemas
 from labelmill.operators.labels import Classes
 from labelmill.operators.naive_bayes import NaiveBayesModel
-from labelmill.scratch import materialize, table_bytes
-from labelmill.sources.samples import CSV_OPTIONS, path_exists
+from labelmill.scratch import table_bytes
+from labelmill.sources.publish import current, publish
+from labelmill.sources.samples import CSV_OPTIONS
 
 
 def save_classes(spark: SparkSession, classes: Classes, path: str) -> None:
@@ -24,21 +26,39 @@ def load_classes(spark: SparkSession, path: str) -> Classes:
 
 
 def save_naive_bayes(model: NaiveBayesModel, path: str) -> None:
-    """Three Parquet tables below one folder: tokens, priors, classes. Creates the folder.
+    """Three Parquet tables, tokens, priors and classes, published together as one version of ``path``.
 
-    A model may be saved over the folder it was loaded from: its tokens are first copied.
+    A model may be saved over the folder it was loaded from, and a failure leaves the model before.
     """
     spark = model.tokens.sparkSession
-    tokens = materialize(model.tokens, "tokens") if path_exists(spark, f"{path}/tokens") else model.tokens
-    tokens.write.mode("overwrite").parquet(f"{path}/tokens")
-    priors = list(enumerate(model.log_priors))
-    spark.createDataFrame(priors, "class_id int, log_prior double").coalesce(1).write.mode(
-        "overwrite"
-    ).parquet(f"{path}/priors")
-    save_classes(spark, model.classes, path)
+
+    def write(folder: str) -> None:
+        model.tokens.write.parquet(f"{folder}/tokens")
+        priors = spark.createDataFrame(list(enumerate(model.log_priors)), "class_id int, log_prior double")
+        priors.coalesce(1).write.parquet(f"{folder}/priors")
+        save_classes(spark, model.classes, folder)
+
+    publish(spark, path, write)
+
+
+def save_pipeline(model: PipelineModel, classes: Classes, path: str) -> None:
+    """A fitted pipeline, with all its stages hold, and its class names, published together."""
+    spark = SparkSession.active()
+
+    def write(folder: str) -> None:
+        model.write().save(f"{folder}/pipeline")
+        save_classes(spark, classes, folder)
+
+    publish(spark, path, write)
+
+
+def load_pipeline(spark: SparkSession, path: str) -> tuple[PipelineModel, Classes]:
+    folder = current(spark, path)
+    return PipelineModel.load(f"{folder}/pipeline"), load_classes(spark, folder)
 
 
 def load_naive_bayes(spark: SparkSession, path: str) -> NaiveBayesModel:
+    path = current(spark, path)
     tokens = spark.read.parquet(f"{path}/tokens")
     priors = spark.read.parquet(f"{path}/priors").collect()
     classes = load_classes(spark, path)
@@ -52,16 +72,25 @@ def load_naive_bayes(spark: SparkSession, path: str) -> NaiveBayesModel:
     )
 
 
+def log_runs(runs: DataFrame, path: str) -> None:
+    """Add ``runs`` to the log, one partition for each (run, candidate).
+
+    A candidate that is logged again, such as by a retried append, replaces its own rows and no others.
+    """
+    writer = runs.select(*schemas.RUNS.names).repartition("run_id", "candidate").write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "candidate").parquet(path)
+
+
 def append_run(
     spark: SparkSession, path: str, run_id: str, candidate: int, metrics: dict[str, float]
 ) -> None:
     """Log the metrics of one candidate."""
     rows: Iterable = [(run_id, candidate, m, float(v)) for m, v in metrics.items()]
-    spark.createDataFrame(list(rows), schemas.RUNS).coalesce(1).write.mode("append").parquet(path)
+    log_runs(spark.createDataFrame(list(rows), schemas.RUNS).coalesce(1), path)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.RUNS).parquet(path)
+    return spark.read.schema(schemas.RUNS).parquet(path).select(*schemas.RUNS.names)
 
 
 def write_errors(report: DataFrame, path: str) -> None:

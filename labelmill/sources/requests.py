@@ -16,6 +16,11 @@ def with_request_text(df: DataFrame, value: str = "value") -> DataFrame:
     return df.withColumn("text", F.when(is_string, F.try_variant_get(parsed, "$", "string")))
 
 
+def with_request_key(df: DataFrame, value: str = "value") -> DataFrame:
+    """Add ``key``: the request's own ``key`` field as text, null if it has none or is no JSON."""
+    return df.withColumn("key", F.try_variant_get(F.try_parse_json(value), "$.key", "string"))
+
+
 def accepted(df: DataFrame) -> DataFrame:
     return df.where(F.col("text").isNotNull())
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from labelmill import schemas
-from labelmill.scratch import materialize
+from labelmill.sources.publish import current, publish
 
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
 MAX_RECORDS_PER_FILE = 1_000_000
@@ -62,7 +62,7 @@ def _exists(reader: DataFrameReader, path: str) -> bool:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    return _exists(spark.read.format("text"), path)
+    return _exists(spark.read.format("text"), current(spark, path))
 
 
 def read_samples(
@@ -83,7 +83,7 @@ def read_samples(
     reader = spark.read.schema(schemas.SAMPLES)
     if fmt == "csv":
         reader = reader.options(multiLine=multi_line, **CSV_OPTIONS)
-    paths = [path] if isinstance(path, str) else list(path)
+    paths = [current(spark, p) for p in ([path] if isinstance(path, str) else path)]
     reader = reader.format(fmt)
     if missing_ok:
         paths = [p for p in paths if _exists(reader, p)]
@@ -125,17 +125,14 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def write_samples(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """Overwrite ``path`` with ``df``; null labels and columns as Spark writes them.
+    """Publish ``df`` as the new content of ``path``; null labels and columns as Spark writes them.
 
-    If there is something at ``path``, ``df`` is first written to the scratch folder: an
-    overwrite deletes its target before the rows are read, and no comparison of path names
-    tells surely whether ``df`` reads from there.
+    ``df`` may read ``path`` itself: what was there stays readable until the new rows stand, and
+    for good if writing them fails.
     """
-    if path_exists(df.sparkSession, path):
-        df = materialize(df, "rewrite")
-    writer = df.write.mode("overwrite").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+    writer = df.write.option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
     if fmt == "csv":
         writer = writer.options(
             ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **CSV_OPTIONS
         )
-    writer.format(fmt).save(path)
+    publish(df.sparkSession, path, writer.format(fmt).save)

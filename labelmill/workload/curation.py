@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
+
 from pyspark.sql import functions as F
 
 from labelmill.functions.text import WHITESPACE, strip
@@ -68,6 +70,12 @@ def duplicates_removed(spark, sf):
     return curate.duplicates_removed(samples(spark, sf))
 
 
+def dedup_with_counts(spark, sf):
+    """The counts that de-duplication has made on its way, next to what is left."""
+    kept, counts = curate.dedup_with_counts(samples(spark, sf), priority=["ord"])
+    return kept.agg(F.count("*").alias("rows_left")).select("rows_left", *[F.lit(n).cast("bigint").alias(c) for c, n in counts.items()])
+
+
 def union_sources(spark, sf):
     return curate.union_sources(three_sources(spark, sf)).select("source_rank", "key", "text", "label", "role")
 
@@ -147,6 +155,17 @@ def curate_in_place(spark, sf):
     return curate.class_counts(src.read_samples(spark, path)).orderBy("label")
 
 
+def rewrite_in_place(spark, sf):
+    """A corpus replaced by a change of itself; a second change that fails halfway then changes nothing."""
+    path = new_path(spark, "corpus")
+    src.write_samples(samples(spark, sf).select("text", "label"), path)
+    src.write_samples(src.read_samples(spark, path).select("text", F.upper("label").alias("label")), path)
+    broken = F.when(F.col("label") == "EN", F.raise_error(F.lit("a failing write")).cast("string")).otherwise("lost")
+    with suppress(Exception):
+        src.write_samples(src.read_samples(spark, path).select("text", broken.alias("label")), path)
+    return src.read_samples(spark, path).select("text", "label")
+
+
 def label_encode(spark, sf):
     docs = samples(spark, sf, "source")
     return labels.encode(docs, labels.fit_classes(docs)).select("id", "label", "class_id")
@@ -194,6 +213,12 @@ QUERIES = {
            FROM (SELECT count(*) AS b, count(DISTINCT text) + CASE WHEN count(*) > count(text) THEN 1 ELSE 0 END AS a
                  FROM documents)""",
     ),
+    "dedup_with_counts": (
+        dedup_with_counts,
+        """SELECT a AS rows_left, b AS rows_before, a AS rows_after, b - a AS removed
+           FROM (SELECT count(*) AS b, count(DISTINCT text) + CASE WHEN count(*) > count(text) THEN 1 ELSE 0 END AS a
+                 FROM documents)""",
+    ),
     "union_sources": (union_sources, f"WITH {THREE_SOURCES} SELECT source_rank, key, text, label, role FROM united"),
     "union_dedup": (union_dedup, f"WITH {THREE_SOURCES} SELECT source_rank, key, text, label, role FROM firsts"),
     "missing_source": (missing_source, "SELECT lang AS label, count(*) AS n FROM documents GROUP BY lang"),
@@ -249,6 +274,7 @@ QUERIES = {
                    SELECT *, row_number() OVER (PARTITION BY text ORDER BY r, o) AS rn FROM u) WHERE rn = 1 GROUP BY label)
            SELECT label, (SELECT min(n) FROM f) AS n FROM f""",
     ),
+    "rewrite_in_place": (rewrite_in_place, "SELECT text, upper(lang) AS label FROM documents"),
     "label_encode": (
         label_encode,
         "SELECT doc_id AS id, source AS label, CAST(dense_rank() OVER (ORDER BY source) - 1 AS INTEGER) AS class_id FROM documents",

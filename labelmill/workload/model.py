@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from labelmill import schemas
 from labelmill.functions.scores import argmax, percent, with_softmax
 from labelmill.operators import evaluate, logistic, scoring, selection
 from labelmill.plans import scoring as score_plan
@@ -135,11 +137,11 @@ def early_stop(spark, sf):
 
 
 def run_log(spark, sf):
-    """Every candidate logged to the run table, one append per run, and read back."""
-    runs = _event_runs(spark, sf).select(*[f.name for f in schemas.RUNS])
+    """Every candidate logged in two halves, one half logged again as a retry would, and read back."""
+    runs = materialize(_event_runs(spark, sf), "event-runs")
     path = new_path(spark, "runs")
-    for half in ("candidate % 2 = 0", "candidate % 2 = 1"):
-        runs.where(half).write.mode("append").parquet(path)
+    for half in ("candidate % 2 = 0", "candidate % 2 = 1", "candidate % 2 = 0"):
+        models.log_runs(runs.where(half), path)
     return models.read_runs(spark, path)
 
 
@@ -169,6 +171,27 @@ def nb_roundtrip(spark, sf):
     return training.nb_predictions(p.fold("test"), loaded).select("id", "label", "prediction", "confidence")
 
 
+def nb_resave(spark, sf):
+    """A model saved over the folder it was loaded from; a save that fails halfway then changes nothing."""
+    p = training.prepare(samples(spark, sf))
+    path = new_path(spark, "model")
+    models.save_naive_bayes(p.fit_naive_bayes(), path)
+    loaded = models.load_naive_bayes(spark, path)
+    models.save_naive_bayes(loaded, path)
+    broken = loaded.tokens.withColumn("token", F.raise_error(F.lit("a failing write")).cast("string"))
+    with suppress(Exception):
+        models.save_naive_bayes(replace(loaded, tokens=broken), path)
+    again = models.load_naive_bayes(spark, path)
+    return training.nb_predictions(p.fold("test"), again).select("id", "label", "prediction", "confidence")
+
+
+def score_repeated_ids(spark, sf):
+    """All documents scored under ids that two of them share: each text keeps its own prediction."""
+    model = training.prepare(samples(spark, sf)).fit_naive_bayes()
+    shared = samples(spark, sf).select(F.floor(F.col("id") / 2).alias("id"), "text")
+    return score_plan.predict(shared, model, skip_blank=False).select("id", "prediction", "confidence")
+
+
 def _lr(spark, sf):
     p = training.prepare(samples(spark, sf))
     return p, logistic.fit(p.fold("train"))
@@ -181,13 +204,10 @@ def lr_predict(spark, sf):
 
 
 def model_roundtrip(spark, sf):
-    from pyspark.ml import PipelineModel
-
     p, model = _lr(spark, sf)
     path = new_path(spark, "pipeline")
-    model.write().overwrite().save(path)
-    models.save_classes(spark, p.classes, path)
-    loaded, classes = PipelineModel.load(path), models.load_classes(spark, path)
+    models.save_pipeline(model, p.classes, path)
+    loaded, classes = models.load_pipeline(spark, path)
     scored = score_plan.predict_logistic(p.fold("test"), loaded, classes)
     return scored.select("id", "label", "prediction", "confidence")
 
@@ -208,21 +228,38 @@ def stream_score(spark, sf):
     return rows.select("id", "prediction", "confidence")
 
 
+def _inbox(spark, sf):
+    """Documents as requests with a key, and events, which are JSON without a text."""
+    inbox = new_path(spark, "inbox")
+    bad = table(spark, sf, "events").select(F.to_json(F.struct(F.col("event_id").alias("key"), "props")).alias("value"))
+    good = samples(spark, sf).select(F.to_json(F.struct(F.col("id").cast("string").alias("key"), "text")).alias("value"))
+    good.union(bad).write.text(inbox)
+    return spark.readStream.text(inbox)
+
+
 def stream_answers(spark, sf):
-    """JSON requests as a text stream, answered by logistic regression; responses counted."""
+    """JSON requests as a text stream, answered by naive Bayes, answers told by key."""
+    model = training.prepare(samples(spark, sf)).fit_naive_bayes()
+    out = new_path(spark, "outbox")
+
+    def scorer(texts):
+        return score_plan.predict(texts, model, ["key"], skip_blank=False)
+
+    streams.answer_requests(_inbox(spark, sf), scorer, out, new_path(spark, "answer-checkpoint")).awaitTermination()
+    return spark.read.schema("key string, prediction string, confidence double").json(f"{out}/answers/batch=*")
+
+
+def stream_rejects(spark, sf):
+    """The requests of the same inbox that have no text, as logistic regression leaves them unanswered."""
     p, model = _lr(spark, sf)
-    inbox, out = new_path(spark, "inbox"), new_path(spark, "outbox")
-    bad = table(spark, sf, "events").select(F.col("props").alias("value"))
-    good = samples(spark, sf).select(F.to_json(F.struct("text")).alias("value"))
-    good.union(bad).write.text(inbox)
-    stream = spark.readStream.text(inbox)
-    streams.answer_stream(stream, model, p.classes, out, new_path(spark, "answer-checkpoint")).awaitTermination()
-    answers = spark.read.text(out).select(F.from_json("value", "prediction string, confidence double").alias("a"))
-    return answers.agg(
-        F.count("*").alias("answers"),
-        F.count_if(F.col("a.prediction").isin(*p.classes.names)).alias("named"),
-        F.count_if(F.col("a.confidence").between(0, 100)).alias("in_range"),
-    )
+    out = new_path(spark, "outbox")
+
+    def scorer(texts):
+        return score_plan.predict_logistic(texts, model, p.classes)
+
+    streams.answer_requests(_inbox(spark, sf), scorer, out, new_path(spark, "answer-checkpoint")).awaitTermination()
+    rejects = spark.read.schema("key string, value string").json(f"{out}/rejects/batch=*")
+    return rejects.select("key", F.get_json_object("value", "$.props").alias("props"))
 
 
 def python_scorer(spark, sf):
@@ -370,10 +407,17 @@ QUERIES = {
         stream_score,
         f"WITH {nb_sql(scored=ALL_DOCUMENTS)} SELECT id, prediction, confidence FROM best",
     ),
+    "nb_resave": (nb_resave, f"WITH {nb_sql()} SELECT id, label, prediction, confidence FROM best"),
+    "score_repeated_ids": (
+        score_repeated_ids,
+        f"WITH {nb_sql(scored=ALL_DOCUMENTS)} SELECT id // 2 AS id, prediction, confidence FROM best",
+    ),
     "stream_answers": (
         stream_answers,
-        "SELECT count(*) AS answers, count(*) AS named, count(*) AS in_range FROM documents WHERE text IS NOT NULL",
+        f"""WITH {nb_sql(scored="SELECT doc_id AS id, text, lang AS label FROM documents WHERE text IS NOT NULL")}
+            SELECT CAST(id AS VARCHAR) AS key, prediction, confidence FROM best""",
     ),
+    "stream_rejects": (stream_rejects, "SELECT CAST(event_id AS VARCHAR) AS key, props FROM events"),
     "python_scorer": (
         python_scorer,
         "SELECT doc_id AS id, CASE WHEN length(text) < 1000 THEN 'short' ELSE 'long' END AS prediction FROM documents",

@@ -1,10 +1,13 @@
-from labelmill.operators import curate, labels
-from labelmill.operators.labels import Classes
-from tests.conftest import values
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from labelmill.operators import curate, labels
+from labelmill.operators.labels import Classes
+from labelmill.scratch import materialize, with_row_key
+from tests.conftest import values
+
 
 def test_dedup_keeps_first_by_source_then_row(spark):
     rows = [(0, 0, "A", "x"), (0, 1, "a", "x"), (1, 0, "A", "y"), (1, 1, None, "y"), (1, 2, None, "z")]
@@ -81,3 +84,27 @@ def test_too_many_classes_is_refused(spark, monkeypatch):
     monkeypatch.setattr(labels, "MAX_CLASSES", 10)
     with pytest.raises(ValueError, match="more than 10"):
         labels.fit_classes(spark.range(11).select(F.col("id").cast("string").alias("label")))
+
+
+def test_no_text_is_sorted_or_shuffled(make):
+    df = make([("a", "x"), ("b", "x"), ("a", "y")])
+    for out in (curate.dedup_keep_first(df, priority=["ord"]), curate.profile(df)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        lines = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line or "Sort [" in line]
+        assert not any("text" in line or "example" in line for line in lines)
+
+
+def test_dropped_places_are_sent_in_bounded_rounds(spark, make):
+    rng = random.Random(5)
+    texts = [f"t{rng.randint(0, 40)}" for _ in range(400)]
+    df = make([(t, "x") for t in texts]).repartition(9)
+    want = sorted({texts.index(t) for t in texts})
+    kept, counts = curate.dedup_with_counts(df, priority=["ord"])
+    assert counts == {"rows_before": 400, "rows_after": len(want), "removed": 400 - len(want)}
+    assert sorted(r["id"] for r in kept.collect()) == want
+    keyed = with_row_key(df)
+    first = keyed.groupBy("text").agg(F.min(F.struct("ord", "_row")).alias("f")).select("f._row")
+    dropped = materialize(keyed.select("_row").join(first, "_row", "left_anti"))
+    for limit in (1, 60, 150):
+        left = curate.without_places(keyed, dropped, dropped.count(), max_rows=limit)
+        assert sorted(r["id"] for r in left.collect()) == want
