@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes handled at once in a task; one longer text is handled alone.
 CHUNK_BYTES = 1 << 20
+#: The same where a task makes many arrays of a piece.
+SMALL_CHUNK = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True

@@ -21,16 +21,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
-from pyspark.sql import types as T
 
 from labelmill.llm.arrays import CHUNK_BYTES, chunks, select_text, text_bytes
+from labelmill.scratch import materialize
 
 FEATURES = 1 << 15
 GRAM_LENGTHS = (1, 2, 3)
 #: Bound of the labelled sample: documents per language, of which so many are landmarks.
 SAMPLE_A_CLASS = 400
 LANDMARKS_A_CLASS = 64
+#: Bound of the whole sample, and so of the languages; with many languages each has fewer documents.
+MAX_SAMPLE = 4000
 RIDGE = 1e-2
+#: Different n-grams a text needs for its language to be doubted, and the score of a text that shares none with the model.
+EVIDENCE = 200
+NO_EVIDENCE = 0.5
 UNKNOWN = "und"
 HELD_OUT_FOLDS = 5
 ROWS_A_PRODUCT = 128
@@ -92,11 +97,14 @@ def training_sample(docs: DataFrame, per_class: int, id_col: str, text_col: str,
     labelled = select_text(docs, id_col, text_col, F.col(f"`{lang_col}`").cast("string").alias("lang"))
     labelled = labelled.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     place = F.xxhash64("doc_id")
-    sizes = labelled.groupBy("lang").count().collect()  # one row per language
-    share = F.lit(0.0)
-    for row in sizes:
-        share = F.when(F.col("lang") == row["lang"], min(1.0, 3 * per_class / row["count"])).otherwise(share)
-    near = labelled.where(place.cast("double") / F.lit(2.0**64) + 0.5 <= share)
+    sizes = materialize(labelled.groupBy("lang").count(), "language_sizes")
+    n = sizes.count()
+    if n > MAX_SAMPLE:
+        raise ValueError(f"{n} languages, at most {MAX_SAMPLE}")
+    per_class = max(1, min(per_class, MAX_SAMPLE // max(n, 1)))
+    shares = sizes.select("lang", F.least(F.lit(1.0), F.lit(3.0 * per_class) / F.col("count")).alias("share"))
+    near = labelled.join(F.broadcast(shares), "lang")  # MAX_SAMPLE rows at most
+    near = near.where(place.cast("double") / F.lit(2.0**64) + 0.5 <= F.col("share")).drop("share")
     ranked = near.withColumn(
         "nth", F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id", F.xxhash64("text")))
     )
@@ -148,19 +156,20 @@ def fit(
     return Model(languages, (marks.T @ weights.astype(np.float32)))
 
 
-def classify(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the language, score) of each text; one past the last index is ``und``."""
+def classify(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the language, score, different n-grams) of each text; one past the last index is ``und``."""
     languages, weights = model.languages, model.weights
     data, offsets = text_bytes(texts)
     known = has_letter(data, offsets, texts) & (len(languages) > 0)
-    best, score = np.full(len(known), len(languages)), np.zeros(len(known))
+    best, score, grams = np.full(len(known), len(languages)), np.zeros(len(known)), np.zeros(len(known), np.int64)
     if known.any():
         flags = presence(data, offsets)
+        grams = flags.sum(axis=1)
         raw = (flags.astype(np.float32) @ weights).astype(np.float64)
-        raw /= np.sqrt(np.maximum(flags.sum(axis=1), 1))[:, None]
+        raw /= np.sqrt(np.maximum(grams, 1))[:, None]
         best = np.where(known, raw.argmax(axis=1), best)
         score = np.where(known, np.clip((raw.max(axis=1) + 1) / 2, 0, 1), 0.0)
-    return best, score
+    return best, score, grams
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,7 +179,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*shared.value.languages, UNKNOWN], object)
         for part in chunks(batches, max_rows=ROWS_A_PRODUCT):
-            best, score = classify(part.column("text"), shared.value)
+            best, score, _ = classify(part.column("text"), shared.value)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": part.column("doc_id"),
@@ -184,15 +193,33 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, SCHEMA)
 
 
-def keep_lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The whole rows of ``docs`` with a letter in their text; a text without one is ``und`` for every model."""
+def rejected_rows(keyed: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(row_id) of the rows of ``keyed`` without a letter, or in none of the labelled languages.
+
+    The model is :func:`fit` on ``keyed``. A text that shares nothing with the labelled ones scores 0.5.
+    The floor is halfway between that and the lowest score of the held-out rows with a label, which the
+    model has not seen; where that is no higher than 0.5 there is no floor. Only texts with ``EVIDENCE``
+    different n-grams set and meet the floor: a shorter text says too little to be rejected. Without
+    labels only rows without a letter are rejected.
+    """
+    model = fit(keyed, id_col=id_col, text_col=text_col, lang_col=lang_col)
+    shared = keyed.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, max_rows=ROWS_A_PRODUCT):
-            texts = part.column("text")
-            yield part.select(["row"]).filter(pa.array(has_letter(*text_bytes(texts), texts)))
+            _, score, grams = classify(part.column("text"), shared.value)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("row_id"), part.column("lettered"), part.column("fold"), pa.array(score), pa.array(grams)],
+                ["row_id", "lettered", "fold", "score", "grams"],
+            )
 
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
-    rows = docs.select(text, F.struct("*").alias("row"))
-    schema = T.StructType([f for f in rows.schema if f.name == "row"])
-    return rows.mapInArrow(run, schema).select("row.*")
+    fold = F.col(f"`{lang_col}`").isNotNull() & held_out(F.col(f"`{id_col}`"))
+    rows = select_text(keyed, id_col, text_col, F.col(f"`{row_col}`").alias("row_id"), fold.alias("fold"))
+    rows = rows.select("row_id", F.col("text").rlike(r"\p{L}").alias("lettered"), "fold", "text")
+    scored = materialize(rows.mapInArrow(run, "row_id string, lettered boolean, fold boolean, score double, grams long"), "language_scores")
+    enough = F.col("lettered") & (F.col("grams") >= EVIDENCE)
+    lowest = scored.where(F.col("fold") & enough).agg(F.min("score")).first()[0]
+    off = F.lit(False)
+    if model.languages and lowest is not None and lowest > NO_EVIDENCE:
+        off = enough & (F.col("score") < (NO_EVIDENCE + lowest) / 2)
+    return scored.where(~F.col("lettered") | off).select("row_id")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelmill.llm.arrays import chunks, gram_starts, mix, range_hashes, select_text, text_bytes, word_bounds
+from labelmill.llm.arrays import SMALL_CHUNK, chunks, gram_starts, mix, range_hashes, select_text, text_bytes, word_bounds
 from labelmill.llm.components import components
 from labelmill.llm.skew import join_counted, with_row_id
 from labelmill.scratch import materialize
@@ -102,7 +102,7 @@ def sketches(docs: DataFrame, row_col: str, id_col: str, text_col: str, bands: i
     """(row_id, doc_id, d1, d2, n_shingles, bands) of each row; no bands for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
+        for part in chunks(batches, SMALL_CHUNK):
             doc, grams, counts, digests = shingles(part)
             n = np.bincount(doc, minlength=part.num_rows)
             keys = band_keys(sketch(doc, grams, weights(counts), part.num_rows, bands * rows), bands, rows)
@@ -187,7 +187,7 @@ def shingle_sets(wanted: DataFrame, docs: DataFrame, row_col: str, text_col: str
     texts = texts.join(side, row_col).select("node", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
+        for part in chunks(batches, SMALL_CHUNK):
             doc, grams, counts, _ = shingles(part)
             bounds = np.searchsorted(doc, np.arange(part.num_rows + 1)).tolist()
             spans = list(zip(bounds, bounds[1:]))

@@ -21,11 +21,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelmill.llm.arrays import chunks, select_text
+from labelmill.llm.arrays import chunks, range_hashes, select_text, text_bytes, word_bounds
 from labelmill.llm.token_counts import byte_letters
 from labelmill.llm.word_cache import WordCache
 from labelmill.scratch import materialize
@@ -48,6 +49,8 @@ def as_bytes(ids: list[list[int]]) -> list[bytes]:
     return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
+#: Distinct words a worker keeps; beyond it starts anew.
+ENTRIES = 400_000
 #: Signs that are a pre-token of their own after letters.
 SIGNS = frozenset(".,;:!?")
 #: Below this character, a word of letters is NFC already and its lower case is the plain one.
@@ -58,7 +61,8 @@ class WordIds:
     """Ids of white-space separated words by a ``tokenizers`` file, as little-endian uint32 bytes.
 
     The file's pre-tokens never reach across white space, so a text's ids are those of its
-    words in turn, and each distinct word is worked out about once. Latin letters, alone or with
+    words in turn, and each distinct word is worked out about once. Words are told by a 64-bit hash
+    and looked up in a sorted array, all those of a piece of a batch at once; their ids lie in one pool. Latin letters, alone or with
     one sign after them, are lower-cased here and go to the library's model as the one or two
     pre-tokens they are; any other word goes through the library's whole pipeline.
     """
@@ -70,7 +74,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.cache = WordCache(self.encode_words)
+        self.forget()
         self.letters_cache = WordCache(self.encode_letters, 150_000)
 
     def encode_letters(self, runs: list[str]) -> list[bytes]:
@@ -98,10 +102,44 @@ class WordIds:
         found.update(zip(whole, as_bytes([e.ids for e in rest])))
         return [found[w] for w in words]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        self.cache.fill(chain.from_iterable(words))
-        return [b"".join(map(self.cache.__getitem__, ws)) for ws in words]
+    def known(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The entry of each word; words that have none yet are worked out first."""
+        keys, one, back = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.keys) > ENTRIES:
+            self.forget()
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        missing = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
+        if missing.any():
+            raw = data.tobytes()
+            places = zip(starts[one[missing]].tolist(), ends[one[missing]].tolist())
+            self.add(keys[missing], self.encode_words([raw[a:b] for a, b in places]))
+            at = np.searchsorted(self.keys, keys)
+        return self.entry[at][back]
+
+    def forget(self) -> None:
+        """No words, and one entry for the end token."""
+        self.keys, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.pool, self.first, self.sizes = np.zeros(1, np.uint32), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        entry = np.arange(len(self.sizes), len(self.sizes) + len(ids))
+        self.first = np.append(self.first, len(self.pool) + np.cumsum(sizes) - sizes)
+        self.sizes = np.append(self.sizes, sizes)
+        self.pool = np.append(self.pool, np.frombuffer(b"".join(ids), "<u4"))
+        order = np.argsort(np.append(self.keys, keys), kind="stable")
+        self.keys, self.entry = np.append(self.keys, keys)[order], np.append(self.entry, entry)[order]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, each with ``end_id`` at its end, their numbers of ids)."""
+        starts, ends, first = word_bounds(data, offsets)
+        entries = np.insert(self.known(data, starts, ends), first[1:], 0)
+        self.pool[0] = end_id
+        sizes = self.sizes[entries]
+        after = np.cumsum(sizes)
+        ids = self.pool[np.repeat(self.first[entries] - after + sizes, sizes) + np.arange(after[-1] if len(after) else 0)]
+        per_text = np.add.reduceat(sizes, first[:-1] + np.arange(len(first) - 1)) if len(first) > 1 else np.zeros(0, np.int64)
+        return ids, per_text
 
 
 @lru_cache(maxsize=2)
@@ -111,21 +149,22 @@ def word_ids(path: str) -> WordIds:
 
 def tokenize(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of each document with ``end_id`` at its end, as uint32 bytes, and its place in its task."""
-    end = np.array([end_id], "<u4").tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, start, encoder = TaskContext.get().partitionId(), 0, word_ids(path)
         for part in chunks(batches):
-            ids = [x + end for x in encoder.encode(part.column("text").cast(pa.binary()).to_pylist())]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            ids, sizes = encoder.encode(*text_bytes(part.column("text")), end_id)
             ends = start + np.cumsum(sizes)
+            bounds = np.append(0, 4 * np.cumsum(sizes)).astype(np.int32)
+            raw = pa.Array.from_buffers(
+                pa.binary(), len(sizes), [None, pa.py_buffer(bounds), pa.py_buffer(ids.astype("<u4"))]
+            )
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": part.column("doc_id"),
-                    "task": pa.array(np.full(len(ids), task, np.int64)),
+                    "task": pa.array(np.full(len(sizes), task, np.int64)),
                     "task_start": pa.array(ends - sizes),
                     "doc_tokens": pa.array(sizes),
-                    "ids": pa.array(ids, pa.binary()),
+                    "ids": raw,
                 }
             )
             start = int(ends[-1])
@@ -149,13 +188,22 @@ def task_offsets(ids: DataFrame) -> DataFrame:
     return within.join(blocks, "block").select("task", (F.col("inside") + F.col("outside")).alias("base"))
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches whose binary ``column`` holds about ``limit`` bytes, at least one row."""
+    for batch in batches:
+        ends = np.cumsum(np.asarray(pc.binary_length(batch.column(column)), np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + limit, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def cut(ids: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per piece of a document in a window; ``ids`` is a written table of :func:`tokenize`."""
 
     def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            if not part.num_rows:
-                continue
+        for part in by_bytes(batches, "ids"):
             begin = np.asarray(part.column("begin"), np.int64)
             n = np.asarray(part.column("doc_tokens"), np.int64)
             pieces = (begin + n - 1) // window - begin // window + 1

@@ -30,6 +30,11 @@ from labelmill.llm.word_cache import WordCache
 
 BLANK = "▁"
 WORDS_A_BLOCK = 4096
+#: Distinct words, and their parts, that a worker keeps in each of two generations; pairs of pieces it keeps.
+WORDS = 100_000
+PAIRS = 1_000_000
+#: Text bytes encoded and decoded at once.
+ROUND_TRIP_BYTES = 1 << 19
 NO_TOKEN = np.iinfo(np.int64).min
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
@@ -63,14 +68,17 @@ class Pieces:
                 self.by_length[n] = hashes[order], np.array([i for _, i in same], np.int64)[order]
         pairs = {(a, b) for p in self.ids for a, b in zip(p, p[1:])}
         self.adjacent = np.sort(np.array([ord(a) << 21 | ord(b) for a, b in pairs], np.int64))
-        self.fits = WordCache(self.fit_pairs, 400_000)
-        self.cache, self.parts = WordCache(self.encode_words, 250_000), WordCache(self.encode_parts, 250_000)
+        self.pairs, self.pair_fits = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.cache, self.parts = WordCache(self.encode_words, WORDS), WordCache(self.encode_parts, WORDS)
         self.bytes_of = [BLANK.encode() if p is None else p.replace(BLANK, " ").encode() for p in self.text]
         for b, i in self.byte_ids.items():
             self.bytes_of[i] = bytes([b])
         for i, p in enumerate(model.pieces):
             if p.type == p.CONTROL:
                 self.bytes_of[i] = b""
+        self.byte_sizes = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.byte_first = np.cumsum(self.byte_sizes) - self.byte_sizes
+        self.byte_pool = np.frombuffer(b"".join(self.bytes_of), np.uint8)
 
     @staticmethod
     def hashes(words: str, n: int) -> np.ndarray:
@@ -116,9 +124,17 @@ class Pieces:
     def fit(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
         keys = (before + (1 << 21)) << 22 | (token + (1 << 21))
         distinct, back = np.unique(keys, return_inverse=True)
-        distinct = distinct.tolist()
-        self.fits.fill(distinct)
-        return np.fromiter(map(self.fits.__getitem__, distinct), bool, len(distinct))[back]
+        if len(self.pairs) > PAIRS:
+            self.pairs, self.pair_fits = np.zeros(0, np.int64), np.zeros(0, bool)
+        at = np.minimum(np.searchsorted(self.pairs, distinct), max(len(self.pairs) - 1, 0))
+        missing = distinct[self.pairs[at] != distinct] if len(self.pairs) else distinct
+        if len(missing):
+            pairs = np.append(self.pairs, missing)
+            order = np.argsort(pairs, kind="stable")
+            self.pair_fits = np.append(self.pair_fits, self.fit_pairs(missing.tolist()))[order]
+            self.pairs = pairs[order]
+            at = np.searchsorted(self.pairs, distinct)
+        return self.pair_fits[at][back]
 
     def viterbi(self, words: list[str]) -> list[bytes]:
         """Ids of words of one length, as uint32 bytes."""
@@ -194,9 +210,13 @@ class Pieces:
         self.cache.fill(chain.from_iterable(words))
         return [b"".join(map(self.cache.__getitem__, ws)) for ws in words]
 
-    def decode(self, ids: np.ndarray) -> str:
-        raw = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
-        return raw.decode(errors="replace").removeprefix(" ")
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """The texts of lists of ids that stand one after another."""
+        n = self.byte_sizes[ids]
+        ends = np.cumsum(n)
+        raw = self.byte_pool[np.repeat(self.byte_first[ids] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        bounds = np.append(0, ends)[np.append(0, np.cumsum(sizes))].tolist()
+        return [raw[a:b].decode(errors="replace").removeprefix(" ") for a, b in zip(bounds, bounds[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -229,10 +249,33 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for part in batches:
             ids = part.column("ids")
             ends, flat = np.asarray(ids.offsets), np.asarray(ids.values)
-            texts = [model.decode(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            texts = model.decode(flat[ends[0] : ends[-1]], np.diff(ends))
             yield pa.RecordBatch.from_arrays(
                 [*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"]
             )
 
     columns = encoded.select("doc_id", "text", "ids")
     return columns.mapInArrow(run, "doc_id long, text string, ids array<int>, decoded string")
+
+
+def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded, round_trip): both in the same worker; the text itself does not travel back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pieces(path)
+        for part in chunks(batches, ROUND_TRIP_BYTES):
+            texts = part.column("text").to_pylist()
+            ids = model.encode(texts)
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
+            decoded = model.decode(flat, sizes)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": part.column("doc_id"),
+                    "ids": pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat)),
+                    "decoded": pa.array(decoded, pa.string()),
+                    "round_trip": pa.array([a == b for a, b in zip(decoded, texts)], pa.bool_()),
+                }
+            )
+
+    return select_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string, round_trip boolean")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelmill.llm.arrays import chunks, gram_starts, range_hashes, select_text, text_bytes, word_bounds
+from labelmill.llm.arrays import SMALL_CHUNK, chunks, gram_starts, range_hashes, select_text, text_bytes, word_bounds
 from labelmill.scratch import materialize
 
 WINDOW = 50
@@ -84,7 +84,7 @@ def stretches(rows: DataFrame) -> DataFrame:
     """(phrase, stretch, doc): each anchor with a hash of the words its windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
+        for part in chunks(batches, SMALL_CHUNK):
             *_, first, words = words_of(part)
             _, phrase, lo, hi, doc = anchors(words, first)
             stretch = range_hashes(words, lo, hi + WINDOW, 1)
@@ -138,7 +138,7 @@ def occurrences(rows: DataFrame, recurring: np.ndarray, unlike: np.ndarray) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, pa.int64()) for n in ("bucket", "doc", "phrase", "w1", "w2")])
-        for part in chunks(batches):
+        for part in chunks(batches, SMALL_CHUNK):
             all_, some = shared.value
             *_, first, words = words_of(part)
             _, phrase, lo, hi, doc = anchors(words, first)

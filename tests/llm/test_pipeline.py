@@ -45,8 +45,24 @@ def test_language_stage_keeps_documents_without_labels(docs, tmp_path):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 6]
 
 
-def test_language_stage_fits_no_model(docs, tmp_path, monkeypatch):
-    monkeypatch.setattr(corpus_pipeline.language_id, "fit", None)
-    table = docs(["one two", "12 #", None], langs=["en", "en", "en"])
+def test_language_stage_rejects_what_is_like_no_language(docs, tmp_path):
+    rng = random.Random(3)
+    letters = {"en": "etaoinshrdlu", "fr": "éàêçesaitnru", "ru": "оеаинтсрвлкм"}
+
+    def text(lang, n):
+        return " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+    langs = [("en", "fr")[i % 2] for i in range(300)]
+    texts = [text(lang, rng.randint(1, 150)) for lang in langs]
+    odd = [text("ru", 400), text("ru", 300), "жы", "x", "12 #", None, ""]
+    table = docs(texts + odd, langs=langs + [None] * len(odd))
     kept = corpus_pipeline.known_language(table.sparkSession, table, str(tmp_path))
-    assert [r["doc_id"] for r in kept.collect()] == [0]
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(300), 302, 303]
+
+
+def test_language_sample_is_bounded_for_any_number_of_languages(docs, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline.language_id, "MAX_SAMPLE", 1600)
+    table = docs([f"text number {i}" for i in range(3000)], langs=[f"l{i % 1500}" for i in range(3000)])
+    sample = corpus_pipeline.language_id.training_sample(table, 400, "doc_id", "text", "lang")
+    rows = sample.collect()
+    assert len(rows) <= 1500 and len({r["lang"] for r in rows}) == len(rows) > 1300
