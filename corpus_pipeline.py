@@ -13,12 +13,15 @@ from labelmill.scratch import materialize
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter have no language and go.
+    """Documents without a letter, and those far from every language learned from the labels, go.
 
-    This is a letter test: no language is predicted and no label is read, so all other documents stay.
+    The floor of the score lies below those of all held-out labelled documents; without labels only documents
+    without a letter go. Null and empty texts have no letter. Very long texts are classified whole.
     """
     ship(spark)
-    return language_id.keep_lettered(docs)
+    row_col = free_name(docs.columns, "__row_id")
+    keyed = with_row_id(docs, row_col)
+    return without_rows(keyed, materialize(language_id.rejected_rows(keyed, row_col), "dropped"), row_col)
 
 
 def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
