@@ -16,6 +16,7 @@ from labelmill.operators import (
     sampling,
     scoring,
     selection,
+    softmax,
 )
 from labelmill.operators.labels import Classes
 from labelmill.operators.naive_bayes import NaiveBayesModel
@@ -89,6 +90,32 @@ def search_naive_bayes(prepared: Prepared, smoothings: Iterable[float], run_id:
     return read_runs(train.sparkSession, path)
 
 
+def search_epochs(
+    prepared: Prepared,
+    epochs: int = softmax.EPOCHS,
+    schedule: softmax.Schedule = softmax.Schedule(),
+    patience: int = 2,
+    run_id: str = "epochs",
+) -> tuple[DataFrame, DataFrame]:
+    """(run log, weights of the best epoch): softmax regression, each epoch going on from the one before.
+
+    After each epoch the weights are measured on 'valid' and logged; ``early_stop`` reads the log and ends the training.
+    """
+    spark, k = prepared.corpus.sparkSession, len(prepared.classes)
+    path = new_path(spark, "runs")
+    rows = materialize(softmax.word_weights(prepared.fold("train"), ["id", "class_id"]), "words")
+    valid = materialize(softmax.word_weights(prepared.fold("valid"), ["id", "label"]), "words")
+    weights, by_epoch = None, {}
+    for epoch in range(1, epochs + 1):
+        weights = by_epoch[epoch] = softmax.run_epoch(rows, weights, k, epoch, schedule)
+        scored = scoring.with_prediction(softmax.logits(valid, weights, k, ["id", "label"]), prepared.classes)
+        _log(scored, path, run_id, epoch)
+        stopped = selection.early_stop(read_runs(spark, path), patience=patience).first()
+        if stopped["stop"] is not None:
+            break
+    return read_runs(spark, path), by_epoch[stopped["best"]]
+
+
 def search_logistic(
     prepared: Prepared, iterations: Iterable[int] = range(1, logistic.ITERATIONS + 1),
     patience: int = 2, run_id: str = "lr", l2: float = logistic.L2, **knobs,

@@ -162,6 +162,13 @@ def logistic_search(spark, sf):
     return selection.early_stop(runs)
 
 
+def epoch_search(spark, sf):
+    """Softmax regression trained epoch by epoch, each measured on a validation fold, until it stops getting better."""
+    p = training.with_validation(training.prepare(samples(spark, sf)))
+    runs, _ = training.search_epochs(p)
+    return selection.early_stop(runs)
+
+
 def nb_roundtrip(spark, sf):
     """Predictions of a model that was saved and loaded."""
     p = training.prepare(samples(spark, sf))
@@ -398,6 +405,7 @@ QUERIES = {
     "run_log": (run_log, f"WITH {EVENT_RUNS} SELECT run_id, candidate, 'f1_macro' AS metric, value FROM runs"),
     "smoothing_search": (smoothing_search, SEARCH),
     "logistic_search": (logistic_search, None),
+    "epoch_search": (epoch_search, None),
     "nb_roundtrip": (
         nb_roundtrip, f"WITH {nb_sql()} SELECT id, label, prediction, confidence FROM best",
     ),
