@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.functions.text import not_blank
 from labelmill.operators.labels import MAX_CLASSES
+from labelmill.operators.tokens import with_dense_ids
 from labelmill.scratch import lookup_join, materialize, with_row_key
 
+#: Runs of rows in order that are sent to every task.
+MAX_RUNS = 1_000_000
 #: Row places (8 bytes each) sent to every task at once.
 MAX_PLACES = 8_000_000
 
@@ -30,6 +33,29 @@ def union_sources(sources: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ranked)
 
 
+def with_positions(united: DataFrame, max_runs: int = MAX_RUNS) -> DataFrame:
+    """``united`` with ``position`` 0, 1, 2, ... in the order of (source_rank, ord), texts staying where they lie.
+
+    Only places and order columns are sorted. Rows that lie in that order, as those of a file do, form
+    runs whose positions follow from the first one; the runs are sent to the rows. Where the rows are so mixed that
+    there are more than ``max_runs`` runs, positions are joined row by row instead.
+    """
+    keyed = with_row_key(united)
+    narrow = keyed.select("_row", "source_rank", "ord")
+    placed = materialize(with_dense_ids(narrow, ["source_rank", "ord", "_row"], "position", kind="bigint"), "positions")
+    part = F.shiftright("_row", 40).alias("_part")
+    runs = placed.groupBy(part, (F.col("position") - F.col("_row")).alias("_shift")).agg(
+        F.min("_row").alias("_lo"), F.max("_row").alias("_hi"), F.count("*").alias("_n")
+    )
+    runs = materialize(runs, "runs")
+    whole = runs.agg(F.count("*").alias("n"), F.count_if(F.col("_hi") - F.col("_lo") + 1 != F.col("_n")).alias("mixed")).first()
+    if whole["mixed"] or whole["n"] > max_runs:
+        return keyed.join(placed.select("_row", "position"), "_row").drop("_row")
+    inside = (F.shiftright(keyed["_row"], 40) == runs["_part"]) & keyed["_row"].between(runs["_lo"], runs["_hi"])
+    found = keyed.join(F.broadcast(runs), inside)
+    return found.select(*united.columns, (F.col("_row") + F.col("_shift")).alias("position"))
+
+
 def clean(df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
     """Drop a row if its text or its label is null."""
     return df.na.drop("any", subset=[text, label])
@@ -50,20 +76,19 @@ def dedup_keep_first(
 def dedup_with_counts(
     df: DataFrame, text: str = "text", priority: Sequence[str] = ("source_rank", "ord")
 ) -> tuple[DataFrame, dict[str, int]]:
-    """:func:`dedup_keep_first`, and the rows before, after and removed, counted on the way.
+    """:func:`dedup_keep_first`, and the rows before, after and removed, without another pass over ``df``.
 
     The rows are written once. Which of them stay is decided on their SHA-256, priority and place
     alone, by an aggregate that each task begins on its own copies; so no text is sorted or shuffled, and a
     text that makes up a third of the corpus sends one short row per task. The places of the rows
     that go then filter the written table.
     """
-    before, gone = Observation(), Observation()
-    keyed = with_row_key(df.observe(before, F.count(F.lit(1)).alias("n")))
+    keyed = with_row_key(df)
     digest = F.unhex(F.sha2(F.col(text), 256)).alias("_digest")
     first = keyed.select(digest, F.struct(*priority, "_row").alias("_first")).groupBy("_digest").agg(F.min("_first").alias("_first"))
     places = keyed.select("_row").join(first.select("_first._row"), "_row", "left_anti")
-    dropped = materialize(places.observe(gone, F.count(F.lit(1)).alias("n")), "dropped")
-    n, removed = before.get["n"], gone.get["n"]
+    dropped = materialize(places, "dropped")
+    n, removed = keyed.count(), dropped.count()  # told by the footers of the written files
     kept = without_places(keyed, dropped, removed).select(*df.columns)
     return kept, {"rows_before": n, "rows_after": n - removed, "removed": removed}
 

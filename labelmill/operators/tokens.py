@@ -38,7 +38,9 @@ def token_stats(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def with_dense_ids(df: DataFrame, order: Sequence[Column], out: str, start: int = 0) -> DataFrame:
+def with_dense_ids(
+    df: DataFrame, order: Sequence[Column | str], out: str, start: int = 0, kind: str = "int"
+) -> DataFrame:
     """Number the rows start, start+1, ... in ``order``, without one task seeing them all.
 
     The table is range-partitioned and written with its partition number; a row's id is the
@@ -53,7 +55,7 @@ def with_dense_ids(df: DataFrame, order: Sequence[Column], out: str, start: int
     return (
         placed.withColumn("_rank", rank)
         .join(F.broadcast(before), "_part")  # one row per partition
-        .withColumn(out, (F.col("_before") + F.col("_rank") + (start - 1)).cast("int"))
+        .withColumn(out, (F.col("_before") + F.col("_rank") + (start - 1)).cast(kind))
         .drop("_part", "_before", "_rank")
     )
 

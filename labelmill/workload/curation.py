@@ -80,6 +80,12 @@ def union_sources(spark, sf):
     return curate.union_sources(three_sources(spark, sf)).select("source_rank", "key", "text", "label", "role")
 
 
+def union_positions(spark, sf):
+    """The union renumbered: source after source, each in its own order."""
+    united = curate.union_sources(three_sources(spark, sf))
+    return curate.with_positions(united).select("position", "source_rank", "key", "text")
+
+
 def union_dedup(spark, sf):
     united = curate.union_sources(three_sources(spark, sf))
     return curate.dedup_keep_first(united).select("source_rank", "key", "text", "label", "role")
@@ -220,6 +226,11 @@ QUERIES = {
                  FROM documents)""",
     ),
     "union_sources": (union_sources, f"WITH {THREE_SOURCES} SELECT source_rank, key, text, label, role FROM united"),
+    "union_positions": (
+        union_positions,
+        f"""WITH {THREE_SOURCES} SELECT row_number() OVER (ORDER BY source_rank, major, minor) - 1 AS position,
+                   source_rank, key, text FROM united""",
+    ),
     "union_dedup": (union_dedup, f"WITH {THREE_SOURCES} SELECT source_rank, key, text, label, role FROM firsts"),
     "missing_source": (missing_source, "SELECT lang AS label, count(*) AS n FROM documents GROUP BY lang"),
     "null_blank_filter": (

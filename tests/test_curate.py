@@ -108,3 +108,16 @@ def test_dropped_places_are_sent_in_bounded_rounds(spark, make):
     for limit in (1, 60, 150):
         left = curate.without_places(keyed, dropped, dropped.count(), max_rows=limit)
         assert sorted(r["id"] for r in left.collect()) == want
+
+
+@pytest.mark.parametrize("max_runs", [1000, 0])
+def test_positions_follow_sources_and_order(spark, make, max_runs):
+    rng = random.Random(2)
+    first = make([(f"a{i}", "x") for i in range(50)])
+    second = make([(f"b{i}", "x") for i in range(30)]).repartition(4)  # lies out of order
+    got = curate.with_positions(curate.union_sources([first, second]), max_runs).orderBy("position")
+    assert [r["position"] for r in got.collect()] == list(range(80))
+    assert [r["text"] for r in got.collect()] == [f"a{i}" for i in range(50)] + [f"b{i}" for i in range(30)]
+    shuffled = make([(f"c{i}", "x") for i in sorted(range(40), key=lambda _: rng.random())])
+    mixed = curate.with_positions(curate.union_sources([shuffled.orderBy("text")])).orderBy("position")
+    assert [r["text"] for r in mixed.collect()] == [r["text"] for r in shuffled.orderBy("ord").collect()]
