@@ -103,16 +103,21 @@ def encode_ids(
     )
 
 
-def pad_and_mask(df: DataFrame, ids: str = "input_ids", max_length: int | None = None) -> DataFrame:
+def pad_and_mask(
+    df: DataFrame, ids: str = "input_ids", max_length: int | None = None, by: str | None = None
+) -> DataFrame:
     """Pad ``ids`` to the longest row of ``df`` and add ``attention_mask``.
 
-    Reads ``df`` once for the longest row; materialize it first if it is costly.
+    With ``by``, a column of few values such as the fold, each of its values has its own longest row.
+    Reads ``df`` once for the longest rows; materialize it first if it is costly.
     """
-    longest = df.agg(F.max(F.size(ids))).first()[0] or 0
+    key = F.lit(0) if by is None else F.col(by)
+    longest = df.groupBy(key.alias("_by")).agg(F.max(F.size(ids)).alias("_longest"))
     if max_length is not None:
-        longest = min(longest, max_length)
-    gap = F.greatest(F.lit(longest) - F.size(ids), F.lit(0))
+        longest = longest.withColumn("_longest", F.least("_longest", F.lit(max_length)))
+    longest = longest.withColumnRenamed("_by", "_of")
+    sized = df.withColumn("_by", key).join(F.broadcast(longest), F.col("_by").eqNullSafe(F.col("_of"))).drop("_by", "_of")
+    gap = F.greatest(F.col("_longest") - F.size(ids), F.lit(0))
     real = F.array_repeat(F.lit(1), F.size(ids))
-    return df.withColumn(
-        "attention_mask", F.concat(real, F.array_repeat(F.lit(0), gap))
-    ).withColumn(ids, F.concat(F.col(ids), F.array_repeat(F.lit(PAD), gap)))
+    padded = sized.withColumn("attention_mask", F.concat(real, F.array_repeat(F.lit(0), gap)))
+    return padded.withColumn(ids, F.concat(F.col(ids), F.array_repeat(F.lit(PAD), gap))).drop("_longest")

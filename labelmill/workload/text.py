@@ -69,13 +69,9 @@ def pad_mask(spark, sf):
     """Per fold: ids cut at 64 positions as the encoder does, padded, masked, with their class."""
     p = prepare(samples(spark, sf))
     vocab = materialize(tokens.vocabulary(p.fold("train")), "vocabulary")
-    folds = []
-    for fold in ("train", "test"):
-        encoded = tokens.encode_ids(
-            p.fold(fold), vocab, keep=["class_id", "fold"], max_length=tokens.MAX_LENGTH
-        )
-        folds.append(tokens.pad_and_mask(materialize(encoded, "encoded"), max_length=tokens.MAX_LENGTH))
-    return folds[0].unionByName(folds[1]).select(
+    encoded = tokens.encode_ids(p.corpus, vocab, keep=["class_id", "fold"], max_length=tokens.MAX_LENGTH)
+    padded = tokens.pad_and_mask(materialize(encoded, "encoded"), max_length=tokens.MAX_LENGTH, by="fold")
+    return padded.select(
         "id",
         "fold",
         "class_id",

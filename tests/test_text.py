@@ -72,6 +72,10 @@ def test_padding_goes_to_the_longest_row_only(spark):
     df = spark.createDataFrame([(1, [2, 9, 3]), (2, [2, 3])], "id int, input_ids array<int>")
     got = {r["id"]: (r["input_ids"], r["attention_mask"]) for r in tokens.pad_and_mask(df).collect()}
     assert got == {1: ([2, 9, 3], [1, 1, 1]), 2: ([2, 3, 0], [1, 1, 0])}
+    folds = spark.createDataFrame([(1, [2, 9, 3], "a"), (2, [2, 3], "b"), (3, [2], None)], "id int, input_ids array<int>, fold string")
+    got = {r["id"]: r["input_ids"] for r in tokens.pad_and_mask(folds, by="fold").collect()}
+    assert got == {1: [2, 9, 3], 2: [2, 3], 3: [2]}
+    assert tokens.pad_and_mask(folds.limit(0)).columns == ["id", "input_ids", "fold", "attention_mask"]
 
 
 def greedy(word, vocab):
