@@ -66,3 +66,24 @@ def test_language_sample_is_bounded_for_any_number_of_languages(docs, monkeypatc
     sample = corpus_pipeline.language_id.training_sample(table, 400, "doc_id", "text", "lang")
     rows = sample.collect()
     assert len(rows) <= 1500 and len({r["lang"] for r in rows}) == len(rows) > 1300
+
+
+def test_stages_on_empty_tables_and_odd_rows(docs, tmp_path):
+    rng = random.Random(8)
+    long_text = " ".join(f"w{rng.randrange(9999)}" for _ in range(20_000))
+    texts = [None, "", "a", "one two three", "one two three", long_text, long_text, "x " * 3000]
+    odd = docs(texts, ids=[1, 2, None, 4, 4, None, 7, 7], langs=["en", None, "en", "fr", "fr", "en", "en", None])
+    names = {"lang": "lang", "kept": "row", "row_id": "bucket"}  # columns with names the operators use
+    odd = odd.withColumnsRenamed(names).withColumn("__row_id", odd["source"])
+    spark = odd.sparkSession
+    for label, table in (("odd", odd), ("empty", odd.limit(0))):
+        for name, stage in corpus_pipeline.STAGES:
+            path = f"{tmp_path}/{label}-{name}"
+            stage(spark, table, str(tmp_path)).write.parquet(path)
+            before, table = table, spark.read.parquet(path)
+            if name != "packing":
+                assert table.columns == before.columns
+            if label == "empty":
+                assert table.count() == 0
+    kept = sorted(str(r["text"])[:13] for r in spark.read.parquet(f"{tmp_path}/odd-exact_dedup").collect())
+    assert kept == ["a", "one two three", long_text[:13], "x x x x x x x"]
