@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again.
+
+In every stage rows are told apart by their place in the written table, so null and repeated ids are
+rows of their own; other columns pass through whatever their names; an empty table stays empty;
+null texts count as empty; very long texts are read whole.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +30,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal without white space, one row stays."""
+    """Of texts that are equal without white space, one row stays: the longest, then the one with the smallest id.
+
+    Null, empty and blank texts are equal to each other. Among repeated rows the first place stays.
+    """
     ship(spark)
     row_col = free_name(docs.columns, "__row_id")
     keyed = with_row_id(docs, row_col)
@@ -34,7 +42,10 @@ def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a group of near-duplicates, one row stays."""
+    """Of a group of near-duplicates, one row stays: that with the smallest id, null ids last, then by place.
+
+    Texts of fewer than five words are alike only if their words are equal.
+    """
     ship(spark)
     row_col = free_name(docs.columns, "__row_id")
     keyed = with_row_id(docs, row_col)
@@ -45,7 +56,8 @@ def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are cut from all but their first document.
 
-    Such a text becomes its kept words with one blank between them; others stay as they are.
+    Such a text becomes its kept words with one blank between them, and stays even if none is left; others, null
+    ones too, stay as they are. Rows that share an id take no words from each other, and null ids come last.
     """
     ship(spark)
     found = substring_dedup.remove_repeats(docs, keep=True)
@@ -56,7 +68,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All that is left, as pieces of fixed windows of tokens."""
+    """All that is left, as pieces of fixed windows of tokens; a null or empty text is its end token alone."""
     ship(spark)
     return packing.pack(docs, vocabulary("word_bpe_49k.json"))
 
