@@ -6,6 +6,7 @@ occurs inside a multi-byte character, so splitting bytes equals splitting charac
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,10 +35,23 @@ def select_text(docs: DataFrame, id_col: str, text_col: str, *more: str) -> Data
     )
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: workers outlive their tasks, and other tasks share the executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def chunks(
     batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES, max_rows: int = 1 << 14
 ) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose column ``text`` holds about ``limit`` bytes, at least one row."""
+    """Slices of the batches whose column ``text`` holds about ``limit`` bytes, at least one row.
+
+    When a task has used up its batches, what they took is given back.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -49,6 +63,7 @@ def chunks(
             stop = min(stop, start + max_rows)
             yield batch.slice(start, stop - start)
             start = stop
+    release_memory()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

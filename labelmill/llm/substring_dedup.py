@@ -32,7 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelmill.llm.arrays import SMALL_CHUNK, chunks, gram_starts, range_hashes, select_text, text_bytes, word_bounds
+from labelmill.llm.arrays import (
+    SMALL_CHUNK,
+    chunks,
+    gram_starts,
+    range_hashes,
+    release_memory,
+    select_text,
+    text_bytes,
+    word_bounds,
+)
 from labelmill.scratch import materialize
 
 WINDOW = 50
@@ -258,6 +267,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             stay = (np.flatnonzero(~gone[a:b]) + a).tolist()
             kept.append(b" ".join([raw[start_list[i] : end_list[i]] for i in stay]))
         removed = np.diff(np.concatenate(([0], np.cumsum(gone)))[first])
+        release_memory()
         return pa.table(
             {
                 "doc_id": part.column("doc_id"),
