@@ -30,9 +30,9 @@ from labelmill.llm.word_cache import WordCache
 
 BLANK = "▁"
 WORDS_A_BLOCK = 4096
-#: Distinct words, and their parts, that a worker keeps in each of two generations; pairs of pieces it keeps.
-WORDS = 100_000
-PAIRS = 1_000_000
+#: Distinct words, their parts, and pairs of pieces that a worker keeps in each of two generations.
+WORDS = 250_000
+PAIRS = 400_000
 #: Text bytes encoded and decoded at once.
 ROUND_TRIP_BYTES = 1 << 19
 NO_TOKEN = np.iinfo(np.int64).min
@@ -68,7 +68,7 @@ class Pieces:
                 self.by_length[n] = hashes[order], np.array([i for _, i in same], np.int64)[order]
         pairs = {(a, b) for p in self.ids for a, b in zip(p, p[1:])}
         self.adjacent = np.sort(np.array([ord(a) << 21 | ord(b) for a, b in pairs], np.int64))
-        self.pairs, self.pair_fits = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.fits = WordCache(self.fit_pairs, PAIRS)
         self.cache, self.parts = WordCache(self.encode_words, WORDS), WordCache(self.encode_parts, WORDS)
         self.bytes_of = [BLANK.encode() if p is None else p.replace(BLANK, " ").encode() for p in self.text]
         for b, i in self.byte_ids.items():
@@ -124,17 +124,9 @@ class Pieces:
     def fit(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
         keys = (before + (1 << 21)) << 22 | (token + (1 << 21))
         distinct, back = np.unique(keys, return_inverse=True)
-        if len(self.pairs) > PAIRS:
-            self.pairs, self.pair_fits = np.zeros(0, np.int64), np.zeros(0, bool)
-        at = np.minimum(np.searchsorted(self.pairs, distinct), max(len(self.pairs) - 1, 0))
-        missing = distinct[self.pairs[at] != distinct] if len(self.pairs) else distinct
-        if len(missing):
-            pairs = np.append(self.pairs, missing)
-            order = np.argsort(pairs, kind="stable")
-            self.pair_fits = np.append(self.pair_fits, self.fit_pairs(missing.tolist()))[order]
-            self.pairs = pairs[order]
-            at = np.searchsorted(self.pairs, distinct)
-        return self.pair_fits[at][back]
+        distinct = distinct.tolist()
+        self.fits.fill(distinct)
+        return np.fromiter(map(self.fits.__getitem__, distinct), bool, len(distinct))[back]
 
     def viterbi(self, words: list[str]) -> list[bytes]:
         """Ids of words of one length, as uint32 bytes."""
