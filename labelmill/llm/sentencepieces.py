@@ -25,16 +25,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from labelmill.llm.arrays import chunks, range_hashes, select_text
+from labelmill.llm.arrays import chunks, mix, range_hashes, rolling_hashes, select_text
 from labelmill.llm.word_cache import WordCache
 
 BLANK = "▁"
 WORDS_A_BLOCK = 4096
+CHARACTERS_A_BLOCK = 1 << 17
 #: Distinct words, their parts, and pairs of pieces that a worker keeps in each of two generations.
 WORDS = 250_000
 PAIRS = 400_000
 #: Text bytes encoded and decoded at once.
-ROUND_TRIP_BYTES = 1 << 19
+ROUND_TRIP_BYTES = 1 << 20
 NO_TOKEN = np.iinfo(np.int64).min
 _WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
@@ -66,6 +67,8 @@ class Pieces:
                 hashes = self.hashes("".join(p for p, _ in same), n)
                 order = np.argsort(hashes)
                 self.by_length[n] = hashes[order], np.array([i for _, i in same], np.int64)[order]
+        alone = sorted((ord(p), i) for p, i in self.ids.items() if len(p) == 1)
+        self.characters, self.character_ids = np.array(alone, np.int64).T
         pairs = {(a, b) for p in self.ids for a, b in zip(p, p[1:])}
         self.adjacent = np.sort(np.array([ord(a) << 21 | ord(b) for a, b in pairs], np.int64))
         self.fits = WordCache(self.fit_pairs, PAIRS)
@@ -128,29 +131,42 @@ class Pieces:
         self.fits.fill(distinct)
         return np.fromiter(map(self.fits.__getitem__, distinct), bool, len(distinct))[back]
 
+    def steps(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(end, row, length, piece) of every piece of two characters or more in the words, by end and length."""
+        n, length = codes.shape
+        flat, found = codes.reshape(-1), []
+        for size, (hashes, ids) in self.by_length.items():
+            if 1 < size <= length:
+                probe = mix(rolling_hashes(flat, size, 0) + np.uint64(size))  # the hash of ``range_hashes``
+                at = np.minimum(np.searchsorted(hashes, probe), len(hashes) - 1)
+                place = np.flatnonzero(hashes[at] == probe)
+                place, at = place[inside := place % length <= length - size], at[place][inside]
+                found.append((place % length + size, place // length, np.full(len(place), size), ids[at]))
+        if not found:
+            return tuple(np.zeros((4, 0), np.int64))
+        ends, rows, sizes, tokens = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(ends, kind="stable")
+        return ends[order], rows[order], sizes[order], tokens[order]
+
     def viterbi(self, words: list[str]) -> list[bytes]:
         """Ids of words of one length, as uint32 bytes."""
         n, length = len(words), len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64).reshape(n, length)
-        flat, row0 = codes.reshape(-1), np.arange(n) * length
+        ends, rows, sizes, tokens = self.steps(codes)
         last = np.full((n, length + 1), -1, np.int64)  # the piece that ends at a position
-        back = np.zeros((n, length + 1), np.int64)  # its length
-        for end in range(1, length + 1):
-            open_ = np.arange(n)
-            for size in range(min(end, self.longest), 0, -1):
-                if size not in self.by_length or not len(open_):
-                    continue
-                hashes, ids = self.by_length[size]
-                probe = range_hashes(flat, row0[open_] + end - size, row0[open_] + end)
-                at = np.minimum(np.searchsorted(hashes, probe), len(hashes) - 1)
-                hit, token = hashes[at] == probe, ids[at]
-                if size == 1:  # exactly one step fits, so where no longer one does it is this
-                    fits, token = np.ones(len(open_), bool), np.where(hit, token, -2 - codes[open_, end - 1])
-                else:
-                    fits = hit.copy()
-                    fits[hit] = self.fit(last[open_[hit], end - size], token[hit])
-                last[open_[fits], end], back[open_[fits], end] = token[fits], size
-                open_ = open_[~fits]
+        back = np.ones((n, length + 1), np.int64)  # its length
+        back[:, 0] = 0
+        single = np.searchsorted(self.characters, codes)
+        single = np.minimum(single, len(self.characters) - 1)
+        last[:, 1:] = np.where(self.characters[single] == codes, self.character_ids[single], -2 - codes)
+        bounds = np.searchsorted(ends, np.arange(1, length + 2)).tolist()
+        for end, (lo, hi) in enumerate(zip(bounds, bounds[1:]), start=1):
+            if lo == hi:
+                continue
+            row, size, token = rows[lo:hi], sizes[lo:hi], tokens[lo:hi]
+            fits = self.fit(last[row, end - size], token)
+            row, size = row[fits], size[fits]  # exactly one step fits, so where no longer one does it is the character
+            last[row, end], back[row, end] = token[fits], size
         ends, steps = np.full(n, length), []
         while (ends > 0).any():
             here = np.arange(n), ends
@@ -187,8 +203,9 @@ class Pieces:
             by_length.setdefault(len(p), []).append(p)
         found = {}
         for same in by_length.values():
-            for lo in range(0, len(same), WORDS_A_BLOCK):
-                block = same[lo : lo + WORDS_A_BLOCK]
+            step = max(1, min(WORDS_A_BLOCK, CHARACTERS_A_BLOCK // len(same[0])))
+            for lo in range(0, len(same), step):
+                block = same[lo : lo + step]
                 found.update(zip(block, self.viterbi(block)))
         return [found[p] for p in parts]
 
