@@ -53,7 +53,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-# The rules of the URL query, and the names of the sites on its list.
+# The rules of the URL query.
 RULES = (
     ("allow", "org/"),
     ("block", "example.org/es/"),
@@ -61,14 +61,14 @@ RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-LISTED_SITES = ("spam-farm", "cheap-pills")
+#: Pages whose id this divides are reported pages; their URLs are the list.
+REPORTED = 7
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list: every URL of ``pages`` on one of the listed sites."""
+    """Every page is judged; the list is the URLs of reported pages, which no pattern of hosts gives."""
     pages = table(spark, sf_dir, "pages")
-    host, _ = url_filters.host_and_path(F.col("url"))
-    listed = pages.where(host.rlike("|".join(LISTED_SITES))).select("url")
+    listed = pages.where(F.col("page_id") % REPORTED == 0).select("url")
     return url_filters.filter_urls(pages, listed, RULES)
 
 
@@ -82,7 +82,7 @@ split AS (
          regexp_extract(substr(coalesce(rest, ''), length(raw) + 1), '^[^?#]*') AS path
   FROM hosts),
 pages_c AS (SELECT *, CASE WHEN host <> '' THEN host || rtrim(path, '/') END AS canonical FROM split),
-known AS (SELECT DISTINCT canonical FROM pages_c WHERE regexp_matches(host, 'spam-farm|cheap-pills')),
+known AS (SELECT DISTINCT canonical FROM pages_c WHERE page_id % 7 = 0 AND canonical IS NOT NULL),
 rules(kind, rule, name, rest) AS (VALUES
   ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'),
   ('block', 'example.org/en/1', 'example.org', '/en/1'), ('allow', 'com/fr/', 'com', '/fr/'),

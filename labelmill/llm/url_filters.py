@@ -1,9 +1,10 @@
 """URL filters: rules by host and path, and a list of URLs behind a blocked Bloom filter.
 
 The filter has one 64-bit block per row, so it is an ordinary table: a URL's hash names the block
-and six bits in it. Its number of blocks follows the list up to ``MAX_BLOCKS``, a proven bound for
-sending it to every task; beyond it more URLs pass the filter, and no result changes, because what
-passes is joined with the list itself. All is DataFrame expressions.
+and six bits in it. Its number of blocks follows the list, whatever its length. Filter and list
+are each sent to every task if measured below ``max_bytes``, else joined by shuffle with the rows
+of hot keys spread. What passes the filter is joined with the list itself, so no false hit is left.
+All is DataFrame expressions.
 
 Cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is on no
 list; a page that no rule fits is blocked if listed, else allowed; the list may hold nulls and
@@ -19,10 +20,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BLOCKS = 1 << 18
+from labelmill.scratch import BROADCAST_BYTES, lookup_join, materialize
+
 KEYS_A_BLOCK = 4
 BITS_A_KEY = 6
-SALTS = 16
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -61,7 +62,7 @@ def block(url: Column, blocks: int) -> Column:
 
 
 def bloom(listed: DataFrame, blocks: int) -> DataFrame:
-    """(block, bits): the filter of ``listed`` (canonical), at most ``blocks`` rows."""
+    """(block, bits): the filter of ``listed`` (canonical), at most ``blocks`` rows of 16 bytes."""
     return listed.groupBy(block(F.col("canonical"), blocks).alias("block")).agg(F.bit_or(bits(F.col("canonical"))).alias("bits"))
 
 
@@ -72,12 +73,13 @@ def filter_urls(
     id_col: str = "page_id",
     url_col: str = "url",
     listed_col: str = "url",
-    max_blocks: int = MAX_BLOCKS,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, listed) of every page."""
     host, path = host_and_path(F.col(f"`{listed_col}`").cast("string"))
     known = listed.select(canonical(host, path).alias("canonical")).where("canonical IS NOT NULL").distinct()
-    blocks = min(max_blocks, max(1, -(-known.count() // KEYS_A_BLOCK)))
+    known = materialize(known, "listed")
+    blocks = max(1, -(-known.count() // KEYS_A_BLOCK))
 
     host, path = host_and_path(F.col("url"))
     rows = (
@@ -86,17 +88,15 @@ def filter_urls(
         .withColumn("canonical", canonical(F.col("host"), F.col("path")))
         .withColumn("block", block(F.col("canonical"), blocks))
     )
-    # at most max_blocks rows of 16 bytes
-    probed = rows.join(F.broadcast(bloom(known, blocks)), "block", "left")
+    probed = lookup_join(rows, materialize(bloom(known, blocks), "bloom"), "block", "page_id", max_bytes=max_bytes)
     own = bits(F.col("canonical"))
     possible = F.coalesce(F.col("canonical").isNotNull() & (F.col("bits").bitwiseAND(own) == own), F.lit(False))
     columns = ["page_id", "host", "path", "canonical"]
     miss = probed.where(~possible).select(*columns, F.lit(False).alias("listed"))
-    hit = probed.where(possible).select(*columns, F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).alias("salt"))
-    exact = known.select(
-        "canonical", F.explode(F.array(*(F.lit(i).cast("long") for i in range(SALTS)))).alias("salt"), F.lit(True).alias("found")
-    )
-    sure = hit.join(exact, ["canonical", "salt"], "left").select(*columns, F.coalesce("found", F.lit(False)).alias("listed"))
+    hit = probed.where(possible).select(*columns)
+    exact = known.withColumn("found", F.lit(True))
+    sure = lookup_join(hit, exact, "canonical", "page_id", max_bytes=max_bytes)
+    sure = sure.select(*columns, F.coalesce("found", F.lit(False)).alias("listed"))
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
     listed_verdict = F.when(F.col("listed"), "block").otherwise("allow")
     return miss.unionByName(sure).select(
