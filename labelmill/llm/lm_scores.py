@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.llm.arrays import chunks, mix, range_hashes, select_text, text_bytes, word_bounds
+from labelmill.llm.skew import free_name, with_row_id
 from labelmill.scratch import materialize
 
 HELD_OUT = (7, 2)
@@ -262,12 +263,13 @@ def score(
     text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
-    rows = select_text(docs, id_col, text_col)
+    row_col = free_name(docs.columns, "__row_id")
+    rows = select_text(with_row_id(docs, row_col), id_col, text_col, F.col(row_col).alias("place"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT[0] == HELD_OUT[1]
     rows = rows.withColumn("held_out", F.coalesce(held, F.lit(False)))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(buckets)))
     known = materialize(token_counts(count_rows(rows, buckets, of_bigrams=False)), "token_counts")
     total = known.where("bucket = -1").agg(F.sum("n"), F.sum("v")).first()
     n_train, n_distinct = total[0] or 0, total[1] or 0

@@ -9,7 +9,7 @@ document with a smaller id; windows are judged on the input.
 * Owners. The windows of one anchor in one place form a stretch. If every place of the anchor has
   the same stretch, its smallest id owns all of it. Where stretches differ (at the ends of
   passages and at edits) the windows themselves are aggregated for their smallest ids.
-* Automata. Documents are dealt into buckets; each bucket gets the owners it needs, compiles its
+* Automata. Documents are dealt into buckets by their place in the table, so repeated rows do not meet in one; each bucket gets the owners it needs, compiles its
   confirmed phrases into one Aho-Corasick automaton over words, and streams its documents
   through it. Each occurrence takes the verdict of its owner.
 
@@ -42,6 +42,7 @@ from labelmill.llm.arrays import (
     text_bytes,
     word_bounds,
 )
+from labelmill.llm.skew import free_name, with_row_id
 from labelmill.scratch import materialize
 
 WINDOW = 50
@@ -245,13 +246,14 @@ def removed_words(part: pa.Table, known: pa.Table, words: np.ndarray, first: np.
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) of each document; with ``keep`` also its row as ``row``."""
-    rest = F.struct("*").alias("row") if keep else F.lit(None).cast("boolean").alias("row")
-    rows = select_text(docs, id_col, text_col, rest)
+    row_col = free_name(docs.columns, "__row_id")
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if keep else F.lit(None).cast("boolean")
+    rows = select_text(with_row_id(docs, row_col), id_col, text_col, rest.alias("row"), F.col(row_col).alias("place"))
     row_type = rows.schema["row"].dataType
     rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(LAST_ID)))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("place"), F.lit(buckets)))
     phrases = materialize(confirmed(stretches(rows)), "phrases")
     recurring, unlike = bit_map(phrases), bit_map(phrases.where("NOT alike"))
     where = materialize(occurrences(rows, recurring, unlike), "occurrences")

@@ -246,6 +246,17 @@ def test_substring_dedup_equals_brute_force(docs):
     assert sorted(tuple(r) for r in got) == sorted(plain_repeats(texts, ids))
 
 
+def test_repeated_rows_keep_their_words_and_are_scored_each(docs, monkeypatch):
+    rng = random.Random(6)
+    text = " ".join(f"w{rng.randrange(500)}" for _ in range(120))
+    table = docs([text] * 300 + ["a " + text], [5] * 300 + [7])
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 4000)
+    got = substring_dedup.remove_repeats(table).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got) == [(5, 120, 0)] * 300 + [(7, 121, 120)]
+    scores = lm_scores.score(table, bucket_bytes=4000).where("doc_id = 5").collect()
+    assert len(scores) == 300 and len({round(r["score"], 9) for r in scores}) == 1
+
+
 def test_lm_scores(docs, texts):
     got = by_id(lm_scores.score(docs(texts), bucket_bytes=20_000))
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -287,8 +298,8 @@ def test_url_filters(spark):
     want = [
         "block", "block", "allow", "allow", "block", "allow", "block", "block", "allow", "allow", "allow", "allow", "allow", "allow",
     ]
-    for most in (1, 1 << 18):
-        got = {r["page_id"]: r for r in url_filters.filter_urls(pages, listed, RULES, max_blocks=most).collect()}
+    for most in (0, 1 << 20):
+        got = {r["page_id"]: r for r in url_filters.filter_urls(pages, listed, RULES, max_bytes=most).collect()}
         assert [got[i]["verdict"] for i in range(2 * len(urls))] == want * 2
     assert (got[0]["host"], got[0]["path"], got[0]["rule"]) == ("a.example.org", "/es/1", "example.org/es/")
     assert (got[11]["host"], got[11]["path"], got[11]["rule"]) == ("", "", None)
@@ -311,6 +322,18 @@ def test_quality_rules(docs, spark):
         assert (r["n_words"], r["word_chars"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(twice)), text
         assert r["n_symbols"] == len(re.findall(r"[#*$%&|<>]", t)) and r["n_dup_lines"] == len(lines) - len(set(lines)), text
         assert r["base_failed"] == (len(w) < 20 or 100 * len(twice) > 30 * len(w))
+    cells = []
+    for text in texts:
+        low = [re.sub("[A-Z]", lambda m: m[0].lower(), x).encode() for x in words_of(text)]
+        data, ends = np.frombuffer(b"".join(low), np.uint8), np.cumsum([0, *map(len, low)], dtype=np.int64)
+        cells.append(quality_rules.buckets(data, ends[:-1], ends[1:], np.array([0, len(low)]))[0].tolist())
+    raw = collections.Counter(itertools.chain.from_iterable(cells))
+    target = collections.Counter(itertools.chain.from_iterable(cells[:20]))
+    n, m = sum(raw.values()), sum(target.values())
+    for i, mine in enumerate(cells):
+        want = [math.log((target[b] * n / raw[b] + 2000) / (m + 2000)) for b in mine]
+        assert got[i]["llr"] == pytest.approx(sum(want) / max(1, len(want)), abs=1e-9)
+        assert got[i]["kept"] == (not got[i]["base_failed"] and got[i]["llr"] >= quality_rules.THRESHOLD)
     assert all(got[i]["kept"] or got[i]["base_failed"] for i in range(len(good)))
     assert not any(got[i]["kept"] for i in range(len(good), len(good) + len(bad)))
 
