@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -245,9 +246,13 @@ def removed_words(part: pa.Table, known: pa.Table, words: np.ndarray, first: np.
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_text) of each document; with ``keep`` also its row as ``row``."""
+    """(doc_id, n_words, n_removed, kept_text) of each document.
+
+    With ``keep`` also its other columns as ``row``, and ``kept_text`` is the text as it was, null or not, where
+    nothing is removed; so a text travels once.
+    """
     row_col = free_name(docs.columns, "__row_id")
-    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if keep else F.lit(None).cast("boolean")
+    rest = F.struct(F.col(f"`{text_col}`").isNull().alias(text_col), *(F.col(f"`{c}`") for c in docs.columns if c != text_col)) if keep else F.lit(None).cast("boolean")
     rows = select_text(with_row_id(docs, row_col), id_col, text_col, rest.alias("row"), F.col(row_col).alias("place"))
     row_type = rows.schema["row"].dataType
     rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(LAST_ID)))
@@ -263,19 +268,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def clean(part: pa.Table, mine: pa.Table) -> pa.Table:
         data, starts, ends, first, words = words_of(part)
         gone = removed_words(part, mine, words, first) if mine.num_rows else np.zeros(len(words), bool)
-        raw, kept = data.tobytes(), []
-        start_list, end_list = starts.tolist(), ends.tolist()
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-            stay = (np.flatnonzero(~gone[a:b]) + a).tolist()
-            kept.append(b" ".join([raw[start_list[i] : end_list[i]] for i in stay]))
         removed = np.diff(np.concatenate(([0], np.cumsum(gone)))[first])
+        raw, kept = memoryview(data), []
+        for a, b, n in zip(first[:-1].tolist(), first[1:].tolist(), removed.tolist()):
+            if keep and not n:
+                kept.append(None)
+                continue
+            stay = np.flatnonzero(~gone[a:b]) + a
+            kept.append(b" ".join([raw[i:j] for i, j in zip(starts[stay].tolist(), ends[stay].tolist())]))
+        kept = pa.array(kept, pa.binary()).cast(pa.string())
+        if keep:
+            as_was = pc.if_else(pc.struct_field(part.column("row"), [0]), pa.scalar(None, pa.string()), part.column("text"))
+            kept = pc.if_else(pa.array(removed > 0), kept, as_was.combine_chunks())
         release_memory()
         return pa.table(
             {
                 "doc_id": part.column("doc_id"),
                 "n_words": pa.array(np.diff(first)),
                 "n_removed": pa.array(removed.astype(np.int64)),
-                "kept_text": pa.array(kept, pa.binary()).cast(pa.string()),
+                "kept_text": kept,
                 "row": part.column("row"),
             }
         )
