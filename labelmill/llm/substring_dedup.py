@@ -252,7 +252,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nothing is removed; so a text travels once.
     """
     row_col = free_name(docs.columns, "__row_id")
-    rest = F.struct(F.col(f"`{text_col}`").isNull().alias(text_col), *(F.col(f"`{c}`") for c in docs.columns if c != text_col)) if keep else F.lit(None).cast("boolean")
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    rest = F.struct(F.col(f"`{text_col}`").isNull().alias(text_col), *others) if keep else F.lit(None).cast("boolean")
     rows = select_text(with_row_id(docs, row_col), id_col, text_col, rest.alias("row"), F.col(row_col).alias("place"))
     row_type = rows.schema["row"].dataType
     rows = rows.withColumn("doc", F.coalesce("doc_id", F.lit(LAST_ID)))
