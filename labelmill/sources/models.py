@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelmill import schemas
 from labelmill.operators.labels import Classes
 from labelmill.operators.naive_bayes import NaiveBayesModel
 from labelmill.scratch import table_bytes
-from labelmill.sources.publish import current, publish
+from labelmill.sources.publish import Folder, current, publish
 from labelmill.sources.samples import CSV_OPTIONS
 
+LOGGED = "logged="
+
 
 def save_classes(spark: SparkSession, classes: Classes, path: str) -> None:
     classes.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/classes")
@@ -73,12 +78,15 @@ def load_naive_bayes(spark: SparkSession, path: str) -> NaiveBayesModel:
 
 
 def log_runs(runs: DataFrame, path: str) -> None:
-    """Add ``runs`` to the log, one partition for each (run, candidate).
+    """Add ``runs`` to the log: one folder for each call, however many candidates it logs.
 
-    A candidate that is logged again, such as by a retried append, replaces its own rows and no others.
+    A candidate that is logged again, such as by a retried append, replaces its own rows and no others;
+    readers take the rows of the last folder that has it. Folders count up, and two that are
+    written at once differ by their random end.
     """
-    writer = runs.select(*schemas.RUNS.names).repartition("run_id", "candidate").write.mode("overwrite")
-    writer.option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "candidate").parquet(path)
+    done = [n.removeprefix(LOGGED) for n in Folder(runs.sparkSession, path).names() if n.startswith(LOGGED)]
+    number = max((int(n.split("-")[0]) for n in done), default=0) + 1
+    runs.select(*schemas.RUNS.names).write.parquet(f"{path}/{LOGGED}{number:012d}-{uuid.uuid4().hex}")
 
 
 def append_run(
@@ -90,7 +98,10 @@ def append_run(
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.RUNS).parquet(path).select(*schemas.RUNS.names)
+    """The log, each (run, candidate) as it was logged last."""
+    logged = spark.read.schema(T.StructType([*schemas.RUNS.fields, T.StructField("logged", T.StringType())])).parquet(path)
+    last = F.max("logged").over(W.partitionBy("run_id", "candidate"))
+    return logged.withColumn("_last", last).where(F.col("logged").eqNullSafe(F.col("_last"))).select(*schemas.RUNS.names)
 
 
 def write_errors(report: DataFrame, path: str) -> None:

@@ -88,6 +88,16 @@ def test_a_candidate_logged_again_replaces_itself(spark, tmp_path):
     assert got == [("r", 1, "f1_macro", 0.6), ("r", 2, "f1_macro", 0.75), ("s", 1, "f1_macro", 0.1)]
 
 
+def test_many_candidates_are_logged_in_few_folders(spark, tmp_path):
+    path = tmp_path / "runs"
+    runs = spark.range(300).selectExpr("'r' AS run_id", "cast(id AS int) AS candidate", "'f1_macro' AS metric", "id / 2D AS value")
+    models.log_runs(runs, str(path))
+    models.log_runs(runs.where("candidate < 100").withColumn("value", F.lit(-1.0)), str(path))
+    assert len([f for f in path.rglob("*") if f.is_dir()]) == 2
+    got = {c: v for _, c, _, v in values(models.read_runs(spark, str(path)))}
+    assert got == {c: -1.0 if c < 100 else c / 2 for c in range(300)}
+
+
 REPEATED = [(1, "good cheap"), (1, "bad"), (None, "good"), (None, "bad bad"), (2, "good"), (2, "good")]
 
 
