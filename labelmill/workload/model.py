@@ -223,12 +223,9 @@ def stream_score(spark, sf):
     """All documents as a stream, scored by naive Bayes trained on the train fold."""
     p = training.prepare(samples(spark, sf))
     model = p.fit_naive_bayes()
-    texts = (
-        spark.readStream.schema("doc_id bigint, text string")
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf)
-        .withColumnRenamed("doc_id", "id")
-    )
+    # a pattern, as a plain path has to be a folder: the table is a file or a folder of files
+    documents = spark.readStream.schema("doc_id bigint, text string").parquet(f"{sf}/documents.parque[t]")
+    texts = documents.withColumnRenamed("doc_id", "id")
     out = new_path(spark, "stream")
     streams.score_stream(texts, model, out, new_path(spark, "stream-checkpoint")).awaitTermination()
     rows = spark.read.schema("id bigint, prediction string, confidence double, batch int").json(out)

@@ -28,5 +28,12 @@ def test_logistic_queries(spark, name):
     assert len(got) == 38 and right / len(got) > 0.7
 
 
+def test_stream_of_a_table_of_many_files(spark, tmp_path):
+    docs = spark.read.parquet(f"{SMOKE_DIR}/documents.parquet")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries()["stream_score"](spark, str(tmp_path)).collect()
+    assert sorted(got) == sorted(queries()["stream_score"](spark, SMOKE_DIR).collect())
+
+
 def test_entry(spark):
     assert entry(spark).columns == ["section", "class", "precision", "recall", "f1", "support"]
