@@ -349,6 +349,15 @@ def test_quality_of_few_trusted_documents(docs, spark):
     assert all(r["kept"] for r in quality_rules.judge_by_labels(docs(texts), labels.where("quality = 0")).collect())
 
 
+def test_quality_counts_every_trusted_document(spark):
+    labels = spark.range(25_000).selectExpr("id AS doc_id", "1 AS quality", "cast(null AS int) AS toxic")
+    assert quality_rules.trusted_ids(labels.union(labels)).count() == 25_000
+    scores = [0.5, -1.0, 2.0, 2.0, 7.25, 3.0, -4.0]
+    table = spark.createDataFrame([(x,) for x in scores], "llr double")
+    assert quality_rules.quantiles(table, "llr", (0.05, 0.5, 1.0)) == pytest.approx(np.quantile(scores, (0.05, 0.5, 1.0)))
+    assert quality_rules.quantiles(table.limit(0), "llr", (0.5,)) == []
+
+
 def test_language_id(docs):
     rng = random.Random(4)
     kinds = {"aa": ["the", "and", "with", "hither"], "bb": ["der", "über", "nicht", "schön"], "cc": ["だ", "です", "これ", "それ"]}
