@@ -9,12 +9,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from math import log
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelmill.operators.labels import Classes, class_sizes
 from labelmill.operators.tokens import word_rows
-from labelmill.scratch import BROADCAST_BYTES, hot_keys, materialize, row_bytes, shuffled_lookup, with_row_key
+from labelmill.scratch import BROADCAST_BYTES, materialize, row_bytes, shuffled_lookup, with_row_key
 
 
 @dataclass(frozen=True)
@@ -71,11 +71,6 @@ def fit(
     return fit_from_counts(counts, sizes, classes, smoothing)
 
 
-def _firsts(columns: Sequence[str]) -> list:
-    """Columns that are the same in all rows of a group."""
-    return [F.first(c).alias(c) for c in columns]
-
-
 def class_scores(
     df: DataFrame,
     model: NaiveBayesModel,
@@ -89,20 +84,43 @@ def class_scores(
     ``row`` names a column of ``keep`` that is known to be unique; without one the rows are
     written first and told apart by their place, so equal ids are never merged.
     A model that fits is broadcast: words meet it where the text was read and only k sums
-    per text are shuffled. A larger one is joined on (word, salt), from words counted per text.
+    per text are shuffled. Of a larger one the likeliest words are, and only the other words of the texts,
+    counted per text, are shuffled to the rest of it.
     """
     k = len(model.classes)
     keep = list(keep)
     if row is None:
         row, df = "_row", with_row_key(df.select(*keep, F.col(text).alias(text)) if text not in keep else df.select(*keep))
     carried = [c for c in keep if c != row]
-    rows = word_rows(df, [row, *carried], text)
+    rows = word_rows(df, [row], text)
     if model.bytes <= max_bytes:
-        joined = rows.join(F.broadcast(model.tokens), "token", "left").withColumn("tf", F.lit(1))
+        summed = _summed(rows.join(F.broadcast(model.tokens), "token", "left"), F.lit(1), k, row)
     else:
-        counted = rows.groupBy(row, "token").agg(F.count("*").alias("tf"), *_firsts(carried))
-        joined = shuffled_lookup(counted, model.tokens, "token", row, hot=hot_keys(rows, "token"))
-    sums = [F.expr(f"sum(get(weights, {c}) * tf) AS _s{c}") for c in range(k)]
-    summed = joined.groupBy(row).agg(*_firsts(carried), *sums)
+        head, tail = likeliest(model, max_bytes)
+        near = _summed(rows.join(F.broadcast(head), "token", "left"), F.lit(1), k, row)
+        others = rows.where("token <> ''").join(F.broadcast(head.select("token")), "token", "left_anti")
+        others = materialize(others.groupBy(row, "token").agg(F.count("*").alias("tf")), "other-words")
+        far = _summed(shuffled_lookup(others, tail, "token", row, "inner"), F.col("tf"), k, row)
+        summed = near.union(far).groupBy(row).agg(*[F.sum(f"_s{c}").alias(f"_s{c}") for c in range(k)])
+    if carried:  # put to the sums, not to the words: words with a text beside them could only be summed by sorting
+        beside = df.groupBy(F.col(row).alias("_of")).agg(*[F.first(c).alias(c) for c in carried])
+        summed = summed.join(beside, F.col(row).eqNullSafe(F.col("_of")))
     scores = ", ".join(f"coalesce(_s{c}, 0D) + double('{p!r}')" for c, p in enumerate(model.log_priors))
     return summed.select(*keep, F.expr(f"array({scores})").alias("scores"))
+
+
+def _summed(joined: DataFrame, tf: Column, k: int, row: str) -> DataFrame:
+    """(row, _s0, _s1, ...): weights of the words summed per row and class."""
+    return joined.groupBy(row).agg(*[F.sum(F.get("weights", F.lit(c)) * tf).alias(f"_s{c}") for c in range(k)])
+
+
+def likeliest(model: NaiveBayesModel, max_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The token table in two: the words of the greatest weight in any class, about ``max_bytes`` of them, and the rest.
+
+    These few are most words of a text. The bound is an approximate quantile; it only places rows.
+    """
+    share = min(1.0, max_bytes / max(model.bytes, 1))
+    tokens = materialize(model.tokens.withColumn("_likely", F.array_max("weights")), "weights")
+    bound = tokens.agg(F.percentile_approx("_likely", 1.0 - share, 10_000)).first()[0]
+    is_head = F.col("_likely") > F.lit(bound)
+    return tokens.where(is_head).drop("_likely"), tokens.where(~is_head).drop("_likely")

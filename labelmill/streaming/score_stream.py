@@ -56,7 +56,9 @@ def answer_requests(
     """
 
     def answer_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = with_row_key(with_request_key(with_request_text(batch.select("value"))), "place")
+        rows = with_request_key(with_request_text(batch.select("value")))
+        only_rejects = F.when(F.col("text").isNull(), F.col("value"))  # the others' text is written, not their line
+        rows = with_row_key(rows.withColumn("value", only_rejects), "place")
         own = F.concat_ws(":", F.lit(f"batch {batch_id}"), F.col("place"))
         rows = rows.withColumn("key", F.coalesce("key", own))
         answers = scorer(accepted(rows).select("key", "text")).select("key", "prediction", "confidence")

@@ -9,6 +9,7 @@ from labelmill.operators import evaluate, labels, logistic, naive_bayes, scoring
 from labelmill.operators.labels import Classes
 from labelmill.plans import scoring as score_plan
 from labelmill.plans import training
+from labelmill.scratch import materialize
 from labelmill.sources import models, requests
 from labelmill.streaming import score_stream as streams
 from tests.conftest import values
@@ -202,6 +203,23 @@ def language_samples(make):
     return make(rows)
 
 
+def test_only_rare_words_leave_their_text(spark, make, monkeypatch):
+    """A model too large to broadcast: its likeliest words are, and only the others are shuffled."""
+    docs = make([("a " * 50 + f"b x{i} y{i}", "pq"[i % 2]) for i in range(40)] + [("", "p"), ("zz zz", "q")])
+    p = training.prepare(docs)
+    model = p.fit_naive_bayes()
+    head, tail = naive_bayes.likeliest(model, model.bytes // 2)
+    assert {"a", "b"} <= {t for t, _ in values(head)} and head.count() + tail.count() == model.tokens.count()
+    written = []
+    monkeypatch.setattr(naive_bayes, "materialize", lambda df, name: written.append((name, materialize(df))) or written[-1][1])
+    got = naive_bayes.class_scores(docs, model, ["id"], max_bytes=model.bytes // 2, row="id")
+    whole = naive_bayes.class_scores(docs, model, ["id"], row="id")
+    assert [name for name, _ in written] == ["weights", "other-words"]
+    assert {"a", "b"}.isdisjoint({t for t, in values(written[1][1], "token")})
+    for (i, s), (j, t) in zip(sorted(values(got)), sorted(values(whole)), strict=True):
+        assert i == j and s == pytest.approx(t)
+
+
 def test_stream_equals_batch(spark, make, tmp_path):
     docs = language_samples(make)
     p = training.prepare(docs)
