@@ -93,7 +93,15 @@ def _letters_of_syllables(c: Column) -> Column:
 
 
 def fold_marks(c: Column) -> Column:
-    """Canonical decomposition without its non-spacing marks: ``é`` becomes ``e``."""
+    """Canonical decomposition without its non-spacing marks: ``é`` becomes ``e``.
+
+    Characters fold one by one, so only the pieces between blanks that are not ASCII have to.
+    """
+    folded = F.transform(F.split(c, " "), lambda w: F.when(w.rlike(r"[^\x00-\x7F]"), _fold(w)).otherwise(w))
+    return F.array_join(folded, " ")
+
+
+def _fold(c: Column) -> Column:
     source, target, several = _folding()
     wide = c
     for a, b in several.items():

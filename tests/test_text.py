@@ -1,3 +1,5 @@
+import unicodedata
+
 import random
 
 import pytest
@@ -110,3 +112,11 @@ def test_subwords_against_brute_force(spark, make, monkeypatch, max_letters):
     assert spelled == {w: (p, [ids[x] for x in p]) for w, p in by_hand.items() if p != ["[UNK]"]}
     short = {r["word"] for r in sub.segment_words(distinct, vocab, max_word_chars=100).collect()}
     assert short == {w for w in spelled if len(w) <= 100} and short < set(spelled)
+
+
+def test_folding_by_pieces_keeps_blanks_and_ascii(spark):
+    texts = ["  a  é ", "e\u0301 b", "", " ", "가 x가", "\u0301 \u0301", "tab\té\n é"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    got = [r[0] for r in rows.select(tx.fold_marks(F.col("t"))).collect()]
+    fold = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+    assert got == [*map(fold, texts), None]
