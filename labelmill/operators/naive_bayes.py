@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from labelmill.operators.labels import Classes, class_sizes
 from labelmill.operators.tokens import word_rows
-from labelmill.scratch import BROADCAST_BYTES, materialize, row_bytes, shuffled_lookup, with_row_key
+from labelmill.scratch import BROADCAST_BYTES, largest, materialize, row_bytes, shuffled_lookup, with_row_key
 
 
 @dataclass(frozen=True)
@@ -119,8 +119,4 @@ def likeliest(model: NaiveBayesModel, max_bytes: int) -> tuple[DataFrame, DataFr
 
     These few are most words of a text. The bound is an approximate quantile; it only places rows.
     """
-    share = min(1.0, max_bytes / max(model.bytes, 1))
-    tokens = materialize(model.tokens.withColumn("_likely", F.array_max("weights")), "weights")
-    bound = tokens.agg(F.percentile_approx("_likely", 1.0 - share, 10_000)).first()[0]
-    is_head = F.col("_likely") > F.lit(bound)
-    return tokens.where(is_head).drop("_likely"), tokens.where(~is_head).drop("_likely")
+    return largest(model.tokens, F.array_max("weights"), max_bytes / max(model.bytes, 1))

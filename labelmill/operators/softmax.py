@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from labelmill.functions.scores import with_softmax
 from labelmill.functions.text import words
-from labelmill.scratch import BROADCAST_BYTES, materialize, shuffled_lookup, table_bytes
+from labelmill.scratch import BROADCAST_BYTES, largest, lookup_join, materialize, shuffled_lookup, table_bytes
 
 # Training defaults.
 EPOCHS = 8
@@ -65,15 +65,23 @@ def logits(rows: DataFrame, weights: DataFrame | None, k: int, keep: Sequence[st
         raise ValueError(f"{k} classes, at most {MAX_CLASSES}")
     id, *rest = keep
     carried = [F.first(c).alias(c) for c in rest]
+    sums = [F.sum(f"_s{c}").alias(f"_s{c}") for c in range(k)]
+
+    def summed(joined: DataFrame) -> DataFrame:
+        return joined.groupBy(id).agg(*carried, *[F.sum(F.get("w", F.lit(c)) * F.col("x")).alias(f"_s{c}") for c in range(k)])
+
     if weights is None:
         found = rows.groupBy(id).agg(*carried, *[F.lit(0.0).alias(f"_s{c}") for c in range(k)])
+    elif (size := table_bytes(weights)) <= max_bytes:
+        found = summed(rows.join(F.broadcast(weights), "token", "left"))
     else:
-        if table_bytes(weights) <= max_bytes:
-            joined = rows.join(F.broadcast(weights), "token", "left")
-        else:
-            joined = shuffled_lookup(rows, weights, "token", id)
-        sums = [F.coalesce(F.sum(F.get("w", F.lit(c)) * F.col("x")), F.lit(0.0)).alias(f"_s{c}") for c in range(k)]
-        found = joined.groupBy(id).agg(*carried, *sums)
+        # the words of the largest weights are broadcast, the texts' other words are shuffled to the rest
+        head, tail = largest(weights, F.array_max(F.transform("w", F.abs)), max_bytes / size)
+        near = summed(rows.join(F.broadcast(head), "token", "left"))
+        others = rows.join(F.broadcast(head.select("token")), "token", "left_anti")
+        far = summed(shuffled_lookup(others, tail, "token", id, "inner"))
+        found = near.union(far.select(near.columns)).groupBy(id).agg(*carried, *sums)
+    found = found.select(*keep, *[F.coalesce(f"_s{c}", F.lit(0.0)).alias(f"_s{c}") for c in range(k)])
     return found.select(*keep, F.array(*[f"_s{c}" for c in range(k)]).alias("scores"))
 
 
@@ -86,7 +94,7 @@ def step(batch: DataFrame, weights: DataFrame | None, k: int, rate: float, l2: f
     if not n:
         return weights if weights is not None else batch.limit(0).select("token", F.array().cast("array<double>").alias("w"))
     sums = [F.sum(F.get("e", F.lit(c)) * F.col("x")).alias(f"_g{c}") for c in range(k)]
-    slope = batch.drop("class_id").join(errors, "id").groupBy("token").agg(*sums)
+    slope = lookup_join(batch.drop("class_id"), errors, "id", "token", "inner").groupBy("token").agg(*sums)
     slope = slope.select("token", F.array(*[f"_g{c}" for c in range(k)]).alias("g"))
     zeros = F.array_repeat(F.lit(0.0), k)
     if weights is None:

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from labelmill.operators import (
     curate,
@@ -104,12 +105,14 @@ def search_epochs(
     spark, k = prepared.corpus.sparkSession, len(prepared.classes)
     path = new_path(spark, "runs")
     rows = materialize(softmax.word_weights(prepared.fold("train"), ["id", "class_id"]), "words")
-    valid = materialize(softmax.word_weights(prepared.fold("valid"), ["id", "label"]), "words")
+    truth = prepared.fold("valid").withColumnRenamed("class_id", "truth")
+    valid = materialize(softmax.word_weights(truth, ["id", "truth"]), "words")  # numbers: names would be summed by sorting
+    label = F.element_at(prepared.classes.array(), F.col("truth") + 1)
     weights, by_epoch = None, {}
     for epoch in range(1, epochs + 1):
         weights = by_epoch[epoch] = softmax.run_epoch(rows, weights, k, epoch, schedule)
-        scored = scoring.with_prediction(softmax.logits(valid, weights, k, ["id", "label"]), prepared.classes)
-        _log(scored, path, run_id, epoch)
+        scored = scoring.with_prediction(softmax.logits(valid, weights, k, ["id", "truth"]), prepared.classes)
+        _log(scored.withColumn("label", label), path, run_id, epoch)
         stopped = selection.early_stop(read_runs(spark, path), patience=patience).first()
         if stopped["stop"] is not None:
             break
