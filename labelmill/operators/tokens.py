@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelmill.functions.text import NON_WORD, words
-from labelmill.scratch import lookup_join, materialize, with_row_key
+from labelmill.operators.word_lookup import with_word_ids
+from labelmill.scratch import materialize
 
 # Reserved tokens in id order, and the longest encoded text (both ends included).
 RESERVED = ("[PAD]", "[UNK]", "[CLS]", "[SEP]")
@@ -82,25 +83,11 @@ def encode_ids(
     toks = words(F.col(text))
     if max_length is not None:
         toks = F.slice(toks, 1, max_length - 2)
-    kept = [F.first(c).alias(c) for c in (id, *keep)]
-    rows = with_row_key(df.select(id, *keep, toks.alias("_words")))
-    rows = rows.select("_row", id, *keep, F.posexplode_outer("_words").alias("pos", "token"))
-    found = lookup_join(rows, vocab.select("token", "token_id"), "token", "_row")
-    # place and id in one number: what is moved and sorted is 8 bytes a word
-    item = F.shiftleft(F.col("pos").cast("bigint"), 32) + F.coalesce("token_id", F.lit(UNK))
-    return (
-        found.groupBy("_row")
-        .agg(*kept, F.sort_array(F.collect_list(item)).alias("items"))
-        .select(
-            id,
-            *keep,
-            F.concat(
-                F.array(F.lit(CLS)),
-                F.transform("items", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")),
-                F.array(F.lit(SEP)),
-            ).alias("input_ids"),
-        )
-    )
+    known = vocab.select(F.col("token").alias("word"), "token_id", F.array(F.col("token_id").cast("int")).alias("ids"))
+    texts = df.select(id, *keep, toks.alias("_words"))
+    # ids of a vocabulary follow frequency, the most frequent word first
+    found = with_word_ids(texts, "_words", materialize(known, "known"), -F.col("token_id"), UNK, "_ids")
+    return found.select(id, *keep, F.concat(F.array(F.lit(CLS)), "_ids", F.array(F.lit(SEP))).alias("input_ids"))
 
 
 def pad_and_mask(
