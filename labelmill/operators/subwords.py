@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from labelmill.operators.piece_trie import CONTINUATION, collect_trie
 from labelmill.operators.tokens import UNK
+from labelmill.operators.word_lookup import with_word_ids
 from labelmill.functions.text import words
-from labelmill.scratch import lookup_join, materialize, with_row_key
+from labelmill.scratch import lookup_join, materialize
 
 
 def segment_words(distinct_words: DataFrame, vocab: DataFrame, max_word_chars: int | None = None) -> DataFrame:
@@ -97,17 +98,14 @@ def subwords(
 ) -> DataFrame:
     """(id, input_ids): piece ids per text; a word that cannot be spelled becomes one [UNK].
 
-    Only distinct words are segmented; their piece ids are then joined back to the texts. Rows
-    that share an id stay rows of their own.
+    Only distinct words are segmented; the texts then look their words up. Rows that share an id
+    stay rows of their own.
     """
-    rows = with_row_key(df.select(id, words(F.col(text)).alias("_words")))
-    rows = rows.select("_row", id, F.posexplode_outer("_words").alias("pos", "word"))
-    distinct_words = rows.where(F.col("word").isNotNull()).select("word").distinct()
-    spelled = segment_words(distinct_words, vocab, max_word_chars).select("word", "piece_ids")
-    found = lookup_join(rows, materialize(spelled, "segmented"), "word", "_row")
-    item = F.struct("pos", F.coalesce("piece_ids", F.array(F.lit(unk_id))).alias("piece_ids"))
-    return (
-        found.groupBy("_row")
-        .agg(F.first(id).alias(id), F.sort_array(F.collect_list(F.when(F.col("pos").isNotNull(), item))).alias("items"))
-        .select(id, F.flatten("items.piece_ids").alias("input_ids"))
-    )
+    texts = materialize(df.select(id, words(F.col(text)).alias("_words")), "words")
+    counted = texts.select(F.explode("_words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counted = materialize(counted, "distinct-words")
+    dealt = counted.select("word").repartition("word")  # the substrings of a word then stay where it is
+    spelled = materialize(segment_words(dealt, vocab, max_word_chars).select("word", "piece_ids"), "segmented")
+    unknown = F.array(F.lit(unk_id))
+    known = counted.join(spelled, "word", "left").select("word", "n", F.coalesce("piece_ids", unknown).alias("ids"))
+    return with_word_ids(texts, "_words", materialize(known, "known"), F.col("n"), unk_id, "input_ids").select(id, "input_ids")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from labelmill.operators import tokens, word_lookup
+from labelmill.operators import subwords, tokens, word_lookup
 from labelmill.scratch import materialize
 
 
@@ -31,3 +31,12 @@ def test_no_word_of_a_small_vocabulary_is_shuffled(spark):
     plan = encoded._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan and "Generate" not in plan
     assert sorted((r["id"], r["input_ids"]) for r in encoded.collect()) == [(1, [2, 4, 5, 4, 3]), (2, [2, 3])]
+
+
+def test_no_word_of_a_text_is_shuffled_for_its_pieces(spark):
+    df = spark.createDataFrame([(1, "ab a abx"), (1, "b"), (2, None)], "id int, text string")
+    vocab = materialize(spark.createDataFrame([("a", 4), ("##b", 5)], "piece string, token_id int"))
+    found = subwords.subwords(df, vocab)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "Generate" not in plan
+    assert sorted((r["id"], r["input_ids"]) for r in found.collect()) == [(1, [1]), (1, [4, 5, 4, 1]), (2, [])]
