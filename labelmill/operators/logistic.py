@@ -50,9 +50,14 @@ def pipeline(
 
 
 def fit_terms(train: DataFrame, **knobs) -> tuple[PipelineModel, DataFrame]:
-    """The fitted ``terms``, and the vectors of ``train`` as a written table that every fit can read."""
-    model = terms(**knobs).fit(train)
-    return model, materialize(model.transform(train).select("class_id", "_features"), "terms")
+    """The fitted ``terms``, and the vectors of ``train``, weighted as they are read from a written table of its term counts.
+
+    Each text is split into words once, for the weights and for the vectors.
+    """
+    *counting, idf = terms(**knobs).getStages()
+    counted = materialize(PipelineModel(counting).transform(train).select("class_id", "_tf"), "terms")
+    weights = idf.fit(counted)
+    return PipelineModel([*counting, weights]), weights.transform(counted).select("class_id", "_features")
 
 
 def fit(
