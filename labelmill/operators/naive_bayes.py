@@ -33,26 +33,28 @@ def token_class_counts(train: DataFrame, k: int, text: str = "text") -> DataFram
 
 
 def fit_from_counts(
-    counts: DataFrame, sizes: dict[int, int], classes: Classes, smoothing: float = 1.0
+    counts: DataFrame, sizes: dict[int, int], classes: Classes, smoothing: float | Sequence[float] = 1.0
 ) -> NaiveBayesModel:
     """Model from a (materialized) count table; several smoothings can share one table.
 
-    ``sizes`` are the training texts per class id.
+    ``sizes`` are the training texts per class id. Of several smoothings the models stand side by side: priors,
+    weights and the scores made of them are those of the first, then those of the second, and so on.
     """
-    k, smoothing = len(classes), float(smoothing)
+    k, smoothings = len(classes), [float(x) for x in (smoothing if isinstance(smoothing, Sequence) else [smoothing])]
     totals = counts.agg(
         F.count("*").alias("v"),
         F.coalesce(F.sum(row_bytes(counts.schema)), F.lit(0)).alias("bytes"),
         *[F.expr(f"coalesce(sum(get(counts, {c})), 0) AS t{c}") for c in range(k)],
     ).first()
     weights = ", ".join(
-        f"ln((get(counts, {c}) + {smoothing!r}D) / {totals[f't{c}'] + smoothing * totals['v']!r}D)"
+        f"ln((get(counts, {c}) + {x!r}D) / {totals[f't{c}'] + x * totals['v']!r}D)"
+        for x in smoothings
         for c in range(k)
     )
     n = sum(sizes.values())
     priors = tuple(log(sizes[c] / n) if sizes.get(c) else float("-inf") for c in range(k))
     tokens = counts.selectExpr("token", f"array({weights}) AS weights")
-    return NaiveBayesModel(classes, priors, tokens, totals["bytes"])
+    return NaiveBayesModel(classes, priors * len(smoothings), tokens, totals["bytes"] * len(smoothings))
 
 
 def fit(
@@ -87,7 +89,7 @@ def class_scores(
     per text are shuffled. Of a larger one the likeliest words are, and only the other words of the texts,
     counted per text, are shuffled to the rest of it.
     """
-    k = len(model.classes)
+    k = len(model.log_priors)
     keep = list(keep)
     if row is None:
         row, df = "_row", with_row_key(df.select(*keep, F.col(text).alias(text)) if text not in keep else df.select(*keep))

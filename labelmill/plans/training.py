@@ -24,6 +24,9 @@ from labelmill.operators.naive_bayes import NaiveBayesModel
 from labelmill.scratch import materialize, new_path
 from labelmill.sources.models import append_run, read_runs
 
+#: Sums a text has in one pass of a search, over classes and candidates.
+MAX_SUMS = 64
+
 
 @dataclass(frozen=True)
 class Prepared:
@@ -79,15 +82,23 @@ def _log(test: DataFrame, path: str, run_id: str, candidate: int) -> None:
 
 
 def search_naive_bayes(prepared: Prepared, smoothings: Iterable[float], run_id: str = "nb") -> DataFrame:
-    """Run log of one candidate per smoothing, measured on 'valid'. Words are counted once."""
+    """Run log of one candidate per smoothing, measured on 'valid'.
+
+    Words are counted once, and the texts of 'valid' meet the models of several smoothings in one pass.
+    """
     train, valid = prepared.fold("train"), prepared.fold("valid")
-    k = len(prepared.classes)
+    k, smoothings = len(prepared.classes), list(smoothings)
     counts = materialize(naive_bayes.token_class_counts(train, k), "token-counts")
     sizes = prepared.sizes_by_id()
     path = new_path(train.sparkSession, "runs")
-    for i, smoothing in enumerate(smoothings, start=1):
-        model = naive_bayes.fit_from_counts(counts, sizes, prepared.classes, smoothing)
-        _log(nb_predictions(valid, model), path, run_id, i)
+    together = max(1, MAX_SUMS // k)
+    for first in range(0, len(smoothings), together):
+        some = smoothings[first : first + together]
+        model = naive_bayes.fit_from_counts(counts, sizes, prepared.classes, some)
+        scored = materialize(naive_bayes.class_scores(valid, model, ["id", "label"], row="id"), "scored")
+        for i in range(len(some)):
+            own = scored.withColumn("scores", F.slice("scores", i * k + 1, k))
+            _log(scoring.with_prediction(own, prepared.classes), path, run_id, first + i + 1)
     return read_runs(train.sparkSession, path)
 
 
