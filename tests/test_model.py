@@ -220,6 +220,18 @@ def test_only_rare_words_leave_their_text(spark, make, monkeypatch):
         assert i == j and s == pytest.approx(t)
 
 
+def test_words_are_summed_without_sorting(make):
+    """A label beside the id rides on the sums of a text: with it, the words themselves could only be summed by sorting all of them."""
+    docs = make([(f"a b x{i} y{i}", "pq"[i % 2]) for i in range(40)])
+    p = training.prepare(docs)
+    model = p.fit_naive_bayes()
+    for limit in (model.bytes, model.bytes // 2):
+        scored = naive_bayes.class_scores(p.fold("test"), model, ["id", "label"], max_bytes=limit, row="id")
+        plan = scored._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert any("HashAggregate" in line and "sum(" in line for line in plan)
+        assert not [line for line in plan if "SortAggregate" in line and ("sum(" in line or "token" in line)]
+
+
 def test_stream_equals_batch(spark, make, tmp_path):
     docs = language_samples(make)
     p = training.prepare(docs)
