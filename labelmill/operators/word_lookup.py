@@ -28,12 +28,20 @@ _RARELY = -(1 << 62)
 
 
 def with_word_ids(
-    df: DataFrame, words: str, known: DataFrame, often: Column, unk_id: int, out: str, near_words: int = NEAR_WORDS
+    df: DataFrame,
+    words: str,
+    known: DataFrame,
+    often: Column,
+    unk_id: int,
+    out: str,
+    near_words: int = NEAR_WORDS,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``df`` with ``out``, the ids of all words of array column ``words`` in order, in the place of ``words``.
 
     ``known(word, ids)`` is a written table, unique on word; ``often`` orders its words, most frequent
     ones greatest. A word that is not in it becomes ``unk_id``; a null array is one without words.
+    The rest of the table is broadcast below ``max_bytes``.
     """
     short = F.octet_length("word") <= NEAR_BYTES
     n = known.count()  # told by the footers of the written files
@@ -47,7 +55,7 @@ def with_word_ids(
     parts = _looked_up(df, words, near, T.StructField("_parts", T.ArrayType(_IDS)), None)
     rows = with_row_key(parts)
     rare = rows.where(F.size("_rare") > 0).select("_row", F.posexplode("_rare").alias("pos", "word"))
-    found = lookup_join(rare, far, "word", "_row")
+    found = lookup_join(rare, far, "word", "_row", max_bytes=max_bytes)
     item = F.struct("pos", F.coalesce("ids", F.array(F.lit(unk_id))).alias("ids"))
     gaps = found.groupBy("_row").agg(F.sort_array(F.collect_list(item)).alias("_items"))
     gaps = materialize(gaps.select("_row", F.col("_items.ids").alias("_gaps")), "rare-ids")

@@ -115,9 +115,9 @@ def search_epochs(
     """
     spark, k = prepared.corpus.sparkSession, len(prepared.classes)
     path = new_path(spark, "runs")
-    rows = materialize(softmax.word_weights(prepared.fold("train"), ["id", "class_id"]), "words")
+    rows = softmax.encode(materialize(softmax.word_weights(prepared.fold("train"), ["id", "class_id"]), "words"))
     truth = prepared.fold("valid").withColumnRenamed("class_id", "truth")
-    valid = materialize(softmax.word_weights(truth, ["id", "truth"]), "words")  # numbers: names would be summed by sorting
+    valid = softmax.encode(softmax.word_weights(truth, ["id", "truth"]), rows)  # numbers: names would be summed by sorting
     label = F.element_at(prepared.classes.array(), F.col("truth") + 1)
     weights, by_epoch = None, {}
     for epoch in range(1, epochs + 1):
@@ -127,7 +127,8 @@ def search_epochs(
         stopped = selection.early_stop(read_runs(spark, path), patience=patience).first()
         if stopped["stop"] is not None:
             break
-    return read_runs(spark, path), by_epoch[stopped["best"]]
+        by_epoch = {e: w for e, w in by_epoch.items() if e in (epoch, stopped["best"])}
+    return read_runs(spark, path), by_epoch[stopped["best"]].table(rows)
 
 
 def search_logistic(

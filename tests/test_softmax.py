@@ -86,3 +86,73 @@ def test_too_many_classes_are_refused(spark):
     rows = spark.createDataFrame([(1, "a", 1.0)], "id long, token string, x double")
     with pytest.raises(ValueError):
         softmax.logits(rows, None, softmax.MAX_CLASSES + 1, ["id"])
+
+
+def dense_step(x, labels, w, rate, l2, k=3):
+    """One step over rows that may stand for several texts."""
+    z = x @ w
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    return w * (1 - rate * l2) - rate / len(x) * x.T @ (p - np.eye(k)[labels])
+
+
+@pytest.mark.parametrize("max_bytes", [softmax.NEAR_BYTES, 4 * 8 * 3, 0])
+def test_epochs_are_equal_wherever_the_weights_lie(spark, max_bytes):
+    schedule = softmax.Schedule(rate=0.7, l2=0.05, warm_up=3, batches=2)
+    df = spark.createDataFrame(list(zip(range(8), TEXTS, LABELS)), "id long, text string, class_id int").repartition(3)
+    terms = softmax.encode(materialize(softmax.word_weights(df, ["id", "class_id"])))
+    dealt = []
+    for epoch in (1, 2):
+        by_id = dict(values(df.select("id", softmax.batch_of("id", epoch, schedule).alias("b"))))
+        dealt.append([by_id[i] for i in range(8)])
+    weights = None
+    for epoch, want in zip((1, 2), plain(TEXTS, LABELS, dealt, schedule)):
+        weights = softmax.run_epoch(terms, weights, 3, epoch, schedule, max_bytes)
+        got = dict(values(weights.table(terms), "token", "w"))
+        assert got.keys() == want.keys()
+        assert all(np.allclose(got[token], w, atol=1e-12) for token, w in want.items())
+    assert (weights.far is None) == (max_bytes == softmax.NEAR_BYTES)
+    other = spark.createDataFrame([(1, "good unseen"), (2, None)], "id long, text string")
+    scored = softmax.logits(softmax.encode(softmax.word_weights(other, ["id"]), terms), weights, 3, ["id"], max_bytes)
+    scores = dict(values(scored))
+    assert np.allclose(scores[1], want[""] + want["good"] / math.sqrt(2)) and np.allclose(scores[2], want[""])
+
+
+@pytest.mark.parametrize("max_bytes", [softmax.NEAR_BYTES, 0])
+def test_texts_of_one_id_are_one_and_those_without_id_only_count(spark, max_bytes):
+    rows = [(1, "good cheap", 0), (1, "good", 0), (2, "bad", 1), (3, "price bad", 2), (None, "lost", 1), (None, "gone", 1)]
+    df = spark.createDataFrame(rows, "id long, text string, class_id int")
+    words = materialize(softmax.word_weights(df, ["id", "class_id"]))
+    terms = softmax.encode(words)
+    s = 1 / math.sqrt(2)
+    names = ["", "good", "cheap", "bad", "price"]
+    x = np.array([[2, s + 1, s, 0, 0], [1, 0, 0, 1, 0], [1, 0, 0, s, s], [0, 0, 0, 0, 0]])
+    want = dense_step(x, [0, 1, 2, 0], np.zeros((5, 3)), 0.7, 0.05)
+    schedule = softmax.Schedule(rate=0.7, l2=0.05, warm_up=0, batches=1)
+    weights = softmax.run_epoch(terms, None, 3, 1, schedule, max_bytes)
+    got = dict(values(weights.table(terms), "token", "w"))
+    assert got.keys() == set(names) and np.allclose([got[t] for t in names], want)
+    scores = dict(values(softmax.logits(terms, weights, 3, ["id"], max_bytes)))
+    assert scores.keys() == {1, 2, 3, None} and np.allclose([scores[i] for i in (1, 2, 3)], (x @ want)[:3])
+
+
+def test_texts_without_words(spark):
+    df = spark.createDataFrame([(1, "", 0), (2, None, 1), (3, "!", 1)], "id long, text string, class_id int")
+    terms = softmax.encode(materialize(softmax.word_weights(df, ["id", "class_id"])))
+    weights = softmax.run_epoch(terms, None, 2, 1, softmax.Schedule(rate=0.6, l2=0.0, warm_up=0, batches=1))
+    assert terms.size == 1 and np.allclose(dict(values(weights.table(terms)))[""], [-0.1, 0.1])
+
+
+def test_steps_of_a_search_write_no_table(spark, make, monkeypatch):
+    written = []
+
+    def noted(df, name="table"):
+        written.append(name)
+        return materialize(df, name)
+
+    monkeypatch.setattr(softmax, "materialize", noted)
+    pairs = [(f"{'good fine' if i % 2 else 'bad poor'} w{i % 7} n{i}", "xy"[i % 2]) for i in range(60)]
+    prepared = training.with_validation(training.prepare(make(pairs)))
+    training.search_epochs(prepared, epochs=2, schedule=softmax.Schedule(batches=3))
+    assert written.count("errors") + written.count("weights") == 0  # was two a step
+    assert written.count("scores") == 2  # of the texts of 'valid', one an epoch
